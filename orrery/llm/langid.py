@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +16,9 @@ from .shared import small_batches
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 256, 2048, 128 << 10, 512
 #: A prediction is rejected if the runner-up is larger by less than this share of itself.
 MIN_MARGIN = 0.002
-LEVEL = 3
+#: Compression level for texts of up to SHORT bytes, where each byte counts, and for longer ones.
+FINE_LEVEL, LEVEL, SHORT = 12, 3, 2048
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
 
 SCHEMA = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
@@ -46,11 +49,16 @@ def language_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     rows = drawn.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS)
     found: dict[str, list[bytes]] = {}
     for row in rows.select("lang", "r", "t").toLocalIterator():
-        found.setdefault(row.lang, []).append((row.r, row.t.encode()))
+        found.setdefault(row.lang, []).append((row.r, letters_only(row.t)))
     # the end of a dictionary is nearest to the text that it encodes
     return {k: b"\n".join(t for _, t in sorted(v, reverse=True))[-DICT_BYTES:] for k, v in sorted(found.items())}
 
 
+def letters_only(text: str) -> bytes:
+    """What is encoded: the text lower-cased, each run of other characters than letters as one space."""
+    return NOT_LETTERS.sub(" ", text.lower()).encode()
+
+
 class Scorer:
     """Encoded sizes of a text under each language's dictionary."""
 
@@ -58,18 +66,20 @@ class Scorer:
         import zstandard as z
 
         self.langs = list(dictionaries)
-        self.encoders = []
-        for content in dictionaries.values():
-            shared = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=LEVEL)
-            self.encoders.append(z.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.encoders = {}
+        for level in (FINE_LEVEL, LEVEL):
+            for content in dictionaries.values():
+                shared = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+                shared.precompute_compress(level=level)
+                self.encoders.setdefault(level, []).append(z.ZstdCompressor(level=level, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin, rejected. `und`, and rejected, without a letter or without a language to choose."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0, True
-        data = text.encode()
-        sizes = sorted((len(e.compress(data)), lang) for e, lang in zip(self.encoders, self.langs))
+        data = letters_only(text)
+        encoders = self.encoders[FINE_LEVEL if len(data) <= SHORT else LEVEL]
+        sizes = sorted((len(e.compress(data)), lang) for e, lang in zip(encoders, self.langs))
         best = sizes[0][0]
         other = sizes[1][0] if len(sizes) > 1 else max(best, len(data) + 9)
         margin = 1 - best / other

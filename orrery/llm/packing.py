@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,57 +17,71 @@ from .shared import small_batches
 
 #: Tokens of a sequence; the id that ends each document; documents of a group, on average.
 MAX_TOKENS, END_ID, GROUP_DOCS = 4096, 2, 8192
-#: Entries after which a worker's table of encoded words starts anew.
-CACHE_WORDS = 600_000
+#: Entries after which a worker's table of encoded words forgets the older half.
+CACHE_WORDS = 1_000_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 
 
 class WordIds(dict):
-    """Whitespace-separated chunk of text -> its ids as little-endian 32-bit bytes, by the tokenizer of a file.
+    """Pre-token -> its ids as little-endian 32-bit bytes, by the tokenizer of a word-level BPE file.
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its chunks in
-    turn. Latin letters followed by punctuation go straight to the tokenizer's BPE model; every other chunk takes the
-    tokenizer's whole path. Works for word-level BPE files with a lower-casing normaliser; for others use `general`.
+    The file's tokenizer lower-cases, parts text by a fixed pattern and encodes each part alone, so a text's ids are
+    those of its parts in turn. Where all characters are Latin-1 the pattern is applied here and each distinct part
+    goes to the tokenizer's BPE model once; any other text takes the tokenizer's own path, by white-space chunks.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:|$%&*#\"()\[\]{}=+_/-]*)")
+    # The file's pre-tokenizer pattern with its classes spelt out for lower-cased Latin-1.
+    L, N, S = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc\xbd\xbe", "\t-\r \x85\xa0"
+    PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.units = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit // 2, {}
         self.model = self.tokenizer.model
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: b for b in kept} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in kept)}
 
-    def unit(self, text: str) -> bytes:
-        found = self.units.get(text)
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
         if found is None:
-            shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            found = b"".join(struct.pack("<I", t.id) for t in self.model.tokenize(shown))
-            if len(self.units) >= self.limit:
-                self.units.clear()
-            self.units[text] = found
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self.keep(part, found)
         return found
 
-    def __missing__(self, chunk: str) -> bytes:
-        plain = self.PLAIN.fullmatch(chunk)
-        if plain:
-            found = b"".join(self.unit(x.lower()) for x in plain.groups() if x)
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            found = struct.pack(f"<{len(ids)}I", *ids)
+    def keep(self, part: str, found: bytes) -> None:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        self[chunk] = found
+        self[part] = found
+
+    def chunk(self, chunk: str) -> bytes:
+        """Any chunk between white space, kept under a key that no part has."""
+        key = " " + chunk
+        found = self.get(key) or self.older.get(key)
+        if found is None:
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self.keep(key, found)
         return found
 
     def text(self, text: str) -> bytes:
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # white space to str.split, not to the tokenizer
-        return b"".join(map(self.__getitem__, filter(None, re.split(r"[ \t\n\r\x0b\x0c]+", text)) if odd else text.split()))
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            plain = False
+        else:
+            plain = "<|" not in text and not any(c in text for c in _CONTROLS)
+        if plain:
+            return b"".join(map(self.__getitem__, self.PART.findall(text.lower())))
+        return b"".join(map(self.chunk, filter(None, re.split(r"[ \t\n\r\x0b\x0c]+", text))))
+
+
+#: White space to str.split and friends, but not to the tokenizer: such text takes the tokenizer's own path.
+_CONTROLS = "\x1c\x1d\x1e\x1f"
 
 
 #: One table of words a worker, whatever number of tasks it runs.
