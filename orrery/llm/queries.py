@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, ngram_join, packing, secrets
+from pyspark.sql import functions as F
+
+from . import chat, decontam, langid, ngram_join, packing, secrets, vafile, warc
 from .shared import table
 
 
@@ -18,6 +20,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+with bytes as (select page_id, encode(coalesce(html, '')) as body from pages),
+hashed as (select page_id, octet_length(body) as payload_bytes, upper(sha1(body)) as hex from bytes),
+spelt as (
+    select page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(hex, 1 + 5 * cast(i // 4 as int), 5) as bigint) >> (15 - 5 * cast(i % 4 as int))) & 31 as int), 1)), 'string_agg', '') as payload_digest
+    from hashed),
+kept as (select *, max(page_id) over (partition by payload_digest) as m from spelt)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest, case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to
+from kept
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -26,6 +44,44 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = """
+with said as (select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
+sides as (select distinct conv_id, role as perspective from said where role <> 'system'),
+placed as (
+    select m.conv_id, cast(floor(m.turn / 64) as bigint) as part, s.perspective, m.turn, m.role, m.text,
+        case when m.role = s.perspective then '<|assistant|>' || chr(10) when m.role = 'system' then '<|system|>' || chr(10) else '<|user name=' || m.role || '|>' || chr(10) end as head,
+        m.text || '<|end|>' || chr(10) as body, m.role = s.perspective as own
+    from said m join sides s on m.conv_id is not distinct from s.conv_id),
+measured as (
+    select *, sum(length(head) + length(body)) over (partition by conv_id, part, perspective order by turn, role, text rows unbounded preceding) as finish from placed)
+select conv_id, part, perspective, count(*) as n_messages, count(*) filter (where own) as n_targets,
+    string_agg(head || body, '' order by turn, role, text) as text,
+    coalesce(string_agg(case when own then cast(finish - length(body) as varchar) || ':' || cast(finish as varchar) end, ',' order by turn, role, text), '') as mask,
+    cast(max(finish) as bigint) as n_chars, cast(coalesce(sum(length(body)) filter (where own), 0) as bigint) as n_mask_chars
+from measured group by conv_id, part, perspective
+"""
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP8_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as f from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.f, v.f) as bigint) as score
+    from v as q join v on q.vec_id <> v.vec_id and len(q.f) = len(v.f) where q.vec_id % 50 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,8 +89,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op4_language_id, op5_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_language_id, op5_decontamination, op6_chat_rotation, op8_top_k, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op6_chat_rotation": OP6_SQL, "op8_top_k": OP8_SQL}
