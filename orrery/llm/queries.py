@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_join, packing, secrets, vafile, warc
+from . import chat, decontam, langid, ngram_join, packing, quality, secrets, vafile, warc, wrappers
 from .shared import table
 
 
@@ -70,6 +70,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 with v as (
     select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as f from embeddings
@@ -88,8 +92,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_language_id, op5_decontamination, op6_chat_rotation, op8_top_k, op9_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_language_id, op5_decontamination, op6_chat_rotation, op7_quality, op8_top_k, op9_packing, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
