@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: Words of a window and of a shingle; pairs of window and item that are broadcast at once (more go in blocks of this size); items in a row.
-WINDOW, SHINGLE, BLOCK, ITEMS = 10, 3, 100_000, 1000
+#: Words of a window and of a shingle; pairs of window and item that are broadcast at once (more go in blocks of this size); items in a row; hit documents that are broadcast at most.
+WINDOW, SHINGLE, BLOCK, ITEMS, BROADCAST_ROWS = 10, 3, 100_000, 1000, 500_000
 
 # What parts words, before and after A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -90,9 +90,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items_sha256 is of their ids, sorted as strings and joined by commas. A null or empty text has no words. Repeated
     rows give a row each. Without windows nothing is hit. Other columns are not read.
     """
-    # A text's key is its hash; with the doc_id it names a row, so that a task that runs again groups alike.
+    row, had = docs.select("doc_id", _key(docs).alias("key")).alias("row"), judged(docs, benchmark).alias("had")
+    each = row.join(had, F.col("row.doc_id").eqNullSafe(F.col("had.doc_id")) & (F.col("row.key") == F.col("had.key")))
+    return each.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _key(docs: DataFrame) -> Column:
+    """A text's hash; with the doc_id it names a row, so that equal rows meet, and meet alike when a task runs again."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key, n_words, n_hit, n_items, items_sha256 for each different row of docs."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = rows.withColumn("key", F.xxhash64("text"))
+    known = rows.withColumn("key", _key(rows))
     found = staged(windows(benchmark), "windows")
     total = found.agg(F.sum(F.size("items"))).first()[0] or 0
     sizes = _sizes(found)
@@ -110,7 +121,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key").agg(F.max("n").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("items"))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten("items")))
-    out = one.select("doc_id", "key", "n_words", F.size(places).cast("bigint").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
-    row, had = known.select("doc_id", "key").alias("row"), out.alias("had")
-    each = row.join(had, F.col("row.doc_id").eqNullSafe(F.col("had.doc_id")) & (F.col("row.key") == F.col("had.key")))
-    return each.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    return one.select("doc_id", "key", "n_words", F.size(places).cast("bigint").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
+    found = staged(judged(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")), "hit")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (_key(docs) == F.col("hit_key")), "left_anti")

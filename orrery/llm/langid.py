@@ -118,3 +118,17 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     learned = language_dictionaries(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     return classify(docs, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not rejected."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    text_at = docs.columns.index("text")
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([not scorer(t.as_py())[3] for t in batch.column(text_at)], pa.bool_()))
+
+    return docs.mapInArrow(chosen, docs.schema)

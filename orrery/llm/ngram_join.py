@@ -4,14 +4,15 @@ Documents with equal shingle sets form a class; classes are joined, not copies.
 ceil(t / (1 + t) * (n1 + n2)) shingles, so two linked classes share one of their floor((1 - t) * n) + 1 rarest. Rarity is
 a document frequency over the whole corpus, kept in a sketch of fixed size; any order is correct, a rare-first one is fast.
 
-Only components are asked for, so a pair is left out where other links join its ends. Each class is verified against its
-likeliest partner first; what is left of the candidates lies between different components, and all of it is verified.
+Only components are asked for, so a pair is left out where other links join its ends. In a few rounds each component's
+likeliest pairs are verified; the candidates then left lie between different components, and all of them are verified.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from .shared import discard, small_batches, staged
 
 #: Words of a shingle; similarity as a fraction.
 WORDS, NUM, DEN = 5, 3, 4
-#: Cells of the frequency sketch and the pieces in which it is summed; hash ranges of the suffix filter; words that a worker remembers.
-CELLS, CHUNKS, RANGES, CACHE_WORDS = 1 << 20, 32, 32, 400_000
+#: Cells of the frequency sketch and the pieces in which it is summed; hash ranges of the suffix filter; words that a worker remembers; dropped documents that are broadcast at most.
+CELLS, CHUNKS, RANGES, CACHE_WORDS, BROADCAST_ROWS = 1 << 20, 32, 32, 400_000, 500_000
+#: Rounds in which components join by their likeliest pairs, and how many pairs each tries in a round. Then all other pairs follow.
+ROUNDS, PARTNERS = 3, 3
 
 _WEIGHTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -74,15 +77,15 @@ def _cells(found: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """For each document doc_id, n, cls (null if n is 0) and ranges (shingles by hash range, for the suffix filter); besides,
+    """For each document doc_id, key (hash of the text), n, cls (null if n is 0) and ranges (shingles by hash range, for the suffix filter); besides,
     for each task, rows of chunk, counts: its part of the frequency sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("ranges", pa.binary()), ("chunk", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("ranges", pa.binary()), ("chunk", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, salt = np.zeros(CELLS, np.uint32), 0
         for batch in batches:
             n, cls, ranges, cells = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_set(text.as_py())
                 n.append(len(found))
                 cls.append(_class_of(found) if len(found) else None)
@@ -92,12 +95,12 @@ def profiles(docs: DataFrame) -> DataFrame:
                 counts += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
                 salt = (salt + sum(n)) % 1024
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(ranges, pa.binary()), *(none.cast(f.type) for f in list(schema)[4:])], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(ranges, pa.binary()), *(none.cast(f.type) for f in list(schema)[5:])], schema=schema)
         parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, CHUNKS)]
         none = pa.nulls(CHUNKS)
-        yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:4]), pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(none.cast(f.type) for f in list(schema)[:5]), pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    return docs.select("doc_id", "text").mapInArrow(profiled, "doc_id long, n long, cls long, ranges binary, chunk int, salt int, counts binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(profiled, "doc_id long, key long, n long, cls long, ranges binary, chunk int, salt int, counts binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,27 +161,41 @@ def _passes(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
 
 
 def shared_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose token several classes have, once each, with the class before (in order of size) and the first one."""
-    by = Window.partitionBy("token").orderBy("n", "cls")
+    """Entries whose token several classes have, once each."""
+    by, whole = Window.partitionBy("token").orderBy("n", "cls"), Window.partitionBy("token")
+    seen = entries.select("token", "cls", "n", "pos", F.lag("cls").over(by).alias("before"), (F.min("cls").over(whole) != F.max("cls").over(whole)).alias("several"))
+    return seen.where("several and (before is null or before <> cls)").drop("several", "before")
+
+
+def between(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Entries with comp, their class's component so far, of the tokens that classes of several components have."""
+    if comps is None:
+        return shared.withColumn("comp", F.col("cls"))
+    known = shared.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
     whole = Window.partitionBy("token")
-    me = F.struct("cls", "n", "pos")
-    seen = entries.select("token", "cls", "n", "pos", F.lag(me).over(by).alias("before"), F.first(me).over(by).alias("head"), (F.min("cls").over(whole) != F.max("cls").over(whole)).alias("several"))
-    return seen.where("several and (before is null or before.cls <> cls)").drop("several")
+    return known.withColumn("several", F.min("comp").over(whole) != F.max("comp").over(whole)).where("several").drop("several")
+
 
+def likely_pairs(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """a, b: for each component so far, the PARTNERS pairs with a class of another one that meet most often.
 
-def likely_pairs(shared: DataFrame) -> DataFrame:
-    """a, b: for each class, the one class among those before it in its tokens' lists that meets it most often."""
-    met = [shared.where(f"{c}.cls <> cls" if c == "head" else "before is not null").where(_passes(F.col("n"), F.col("pos"), F.col(f"{c}.n"), F.col(f"{c}.pos"))).select(F.col("cls").alias("b"), F.col(f"{c}.cls").alias("a")) for c in ("before", "head")]
-    votes = met[0].unionByName(met[1]).groupBy("a", "b").count()
-    best = votes.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+    Only neighbours in the order of size, and each token's first class with the others, are met here: a few pairs for
+    each entry, however many entries a token has.
+    """
+    by = Window.partitionBy("token").orderBy("n", "cls")
+    me = F.struct("cls", "n", "pos", "comp")
+    seen = between(shared, comps).select("cls", "n", "pos", "comp", F.array(F.lag(me).over(by), F.first(me).over(by)).alias("others"))
+    met = seen.select("cls", "n", "pos", "comp", F.explode(F.array_distinct("others")).alias("o")).where("o is not null and o.comp <> comp")
+    met = met.where(_passes(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
+    votes = met.groupBy(F.col("o.cls").alias("a"), F.col("cls").alias("b"), "comp").count()
+    rank = Window.partitionBy("comp").orderBy(F.desc("count"), "a", "b")
+    best = votes.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PARTNERS)
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def remaining_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
+def remaining_pairs(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
     """a, b: all pairs of classes with a common token that pass the filters and lie in different components so far."""
-    known = shared.select("token", "cls", "n", "pos").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    whole = Window.partitionBy("token")
-    open_ = known.withColumn("several", F.min("comp").over(whole) != F.max("comp").over(whole)).where("several").drop("several")
+    open_ = between(shared, comps)
     one, two = (open_.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("cls", "n", "pos", "comp"))) for i in (1, 2))
     met = one.join(two, "token").where((F.col("cls1") < F.col("cls2")) & (F.col("comp1") != F.col("comp2")) & _passes(*(F.col(c) for c in ("n1", "pos1", "n2", "pos2"))))
     return met.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()
@@ -206,10 +223,8 @@ def linked(left: np.ndarray, right: np.ndarray) -> bool:
     return len(left) > 0 and DEN * both >= NUM * (len(left) + len(right) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that are links, each compared once over whole texts. classes: cls, rep (a document that has the set)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    texts = _texts(needed, docs)
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that are links, each compared once over whole texts. texts: cls, packed."""
     left, right = (texts.select(F.col("cls").alias(c), F.col("packed").alias(f"packed_{c}")) for c in ("a", "b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +242,12 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(compared, "a long, b long")
 
 
-def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """cls, packed: a compressed text of each class needed. A doc_id can be null or stand for several texts, so each text's
-    class is computed again."""
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").where("text is not null")
-    found = needed.alias("w").join(rows.alias("d"), F.col("w.rep").eqNullSafe(F.col("d.rep"))).select("w.cls", "d.text")
+def packed_texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """cls, packed: a compressed text of each class needed (cls, rep). A doc_id can be null or stand for several texts, so
+    each text's class is computed again."""
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    rows = docs.select("doc_id", "text").where("text is not null")
+    found = rows.join(needed, F.col("rep").eqNullSafe(F.col("doc_id"))).select("cls", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -248,9 +264,10 @@ def _texts(needed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links, the own one included), cls for each row of docs.
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links, the own one included), comp (names the
+    component; null without words) and key (hash of the text) for each row of docs.
 
-    Rows without words have n_shingles 0, cls null, and link with nothing: component_id is their doc_id. Null doc_ids
+    Rows without words have n_shingles 0 and link with nothing: component_id is their doc_id. Null doc_ids
     count as larger than all; a component of only such rows has a null component_id. Repeated rows are linked as equals.
     An empty table gives no rows. Columns other than doc_id and text are not read.
     """
@@ -258,15 +275,57 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text")
     profiled = staged(profiles(docs), "profiles")
-    base = profiled.where("chunk is null").select("doc_id", "n", "cls", "ranges")
+    base = profiled.where("chunk is null").select("doc_id", "key", "n", "cls", "ranges")
     classes = base.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
     shared = staged(shared_entries(prefix_entries(docs, frequency_sketch(profiled))), "shared")
-    first = staged(verified(staged(suffix_filter(likely_pairs(shared), classes), "likely"), docs, classes), "links")
-    rest = staged(suffix_filter(remaining_pairs(shared, components(first, "a", "b")), classes), "rest")
-    links = first.unionByName(staged(verified(rest, docs, classes), "links")) if not rest.isEmpty() else first
-    comps = components(links, "a", "b")
+    links: DataFrame | None = None
+    tried: list[DataFrame] = []
+    texts: list[DataFrame] = []
+    comps: DataFrame | None = None
+    for last in [False] * ROUNDS + [True]:
+        pairs = remaining_pairs(shared, comps) if last else likely_pairs(shared, comps)
+        for old in tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = staged(suffix_filter(pairs, classes), "pairs")
+        if pairs.isEmpty():
+            if last:
+                break
+            continue
+        tried.append(pairs)
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        for old in texts:
+            needed = needed.join(old.select("cls"), "cls", "left_anti")
+        texts.append(staged(packed_texts(staged(needed.join(classes.select("cls", "rep"), "cls"), "needed"), docs), "texts"))
+        found = staged(verified(pairs, reduce(DataFrame.unionByName, texts)), "links")
+        links = found if links is None else links.unionByName(found)
+        comps = staged(components(links, "a", "b"), "components")
+    if comps is None:
+        comps = spark.createDataFrame([], "node long, component long")
     known = base.drop("ranges").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     least = known.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = known.join(least, "comp", "left")
-    discard(shared)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "cls")
+    discard(shared, *texts)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "comp", "key")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, without near duplicates: of each component the document with the smallest
+    doc_id, one row of it. Rows without words stay. Components of null doc_ids alone keep one row."""
+    found = staged(near_duplicates(docs).where("comp is not null").select("doc_id", "key", "comp"), "found")
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    judged = found.join(best, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
+    others = judged.where("not stays").select(F.col("doc_id").alias("other_id"), F.col("key").alias("other_key")).distinct()
+    repeats = judged.where("stays").groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias("other_id"), F.col("key").alias("other_key"))
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        rows = staged(rows, "others")
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    repeats = staged(repeats, "repeats")
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    match = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("__key") == F.col("other_key"))
+    left = keyed.join(bounded(others), match, "left_anti")
+    if not repeats.isEmpty():
+        again = bounded(repeats)
+        left = left.join(again, match, "left_anti").unionByName(left.join(again, match, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return left.drop("__key")

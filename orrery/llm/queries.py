@@ -13,7 +13,7 @@ from .shared import table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("comp", "key")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
