@@ -24,26 +24,32 @@ def dersimonian_laird(effects: DataFrame, keys: list[str] = (), delta: str = "de
     A single study has null q, tau2, i2 and hk_se. hk_se is the Hartung-Knapp error with a scale of 1 at least.
     """
     keys = list(keys)
-    rows = effects.select(*keys, F.col(delta).cast("double").alias("d"), F.col(se).cast("double").alias("s")).withColumn("w", 1 / (F.col("s") * F.col("s")))
-    rows = rows if keys else rows.withColumn("__all", F.lit(1))
-    by = keys or ["__all"]
-    fixed = rows.groupBy(*by).agg(F.count("*").alias("k"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), (F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("delta_fe"))
-    spread = rows.join(fixed, by).groupBy(*by, "k", "sw", "sww", "delta_fe").agg(F.sum(F.col("w") * F.pow(F.col("d") - F.col("delta_fe"), F.lit(2.0))).alias("q0"))
+    one = F.struct(F.col(delta).cast("double").alias("d"), F.col(se).cast("double").alias("s"))
+    studies = effects.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("e")).where(F.size("e") > 0)  # studies of a pool, not cells
+
+    def total(f) -> Column:
+        return F.aggregate("e", F.lit(0.0), lambda acc, x: acc + f(x))
+
+    def w(x) -> Column:
+        return 1 / (x["s"] * x["s"])
+
+    def ws(x) -> Column:
+        return 1 / (x["s"] * x["s"] + F.col("tau2_used"))
+
+    k, free, many = F.col("k"), F.col("k") - 1, F.col("k") > 1
+    sums = studies.select(*keys, "e", F.size("e").cast("long").alias("k"), total(w).alias("sw"), total(lambda x: w(x) * w(x)).alias("sww"), total(lambda x: w(x) * x["d"]).alias("swd"))
+    fixed = sums.withColumn("delta_fe", F.col("swd") / F.col("sw"))
+    spread = fixed.withColumn("q0", total(lambda x: w(x) * (x["d"] - F.col("delta_fe")) * (x["d"] - F.col("delta_fe"))))
     c = F.col("sw") - F.col("sww") / F.col("sw")
-    free = F.col("k") - 1
-    spread = spread.withColumn("tau2_used", F.when(c > 0, F.greatest(F.lit(0.0), F.try_divide(F.col("q0") - free, c))).otherwise(0.0))
-    spread = spread.withColumn("tau2_used", F.when(F.col("k") > 1, F.col("tau2_used")).otherwise(0.0))
-    again = rows.join(spread, by).withColumn("ws", 1 / (F.col("s") * F.col("s") + F.col("tau2_used")))
-    pooled = again.groupBy(*by, "k", "q0", "tau2_used", "delta_fe").agg((F.sum(F.col("ws") * F.col("d")) / F.sum("ws")).alias("delta"), F.sqrt(1 / F.sum("ws")).alias("se"))
-    scale = again.join(pooled.select(*by, F.col("delta").alias("delta_re")), by).groupBy(*by).agg(F.sum(F.col("ws") * F.pow(F.col("d") - F.col("delta_re"), F.lit(2.0))).alias("r"), F.sum("ws").alias("sws"))
-    many = F.col("k") > 1
-    out = pooled.join(scale, by).select(
-        *by, "k", "delta", "se", (F.col("delta") - CRITICAL * F.col("se")).alias("ci_lo"), (F.col("delta") + CRITICAL * F.col("se")).alias("ci_hi"), (F.col("delta") / F.col("se")).alias("z"),
+    spread = spread.withColumn("tau2_used", F.when(many & (c > 0), F.greatest(F.lit(0.0), F.try_divide(F.col("q0") - free, c))).otherwise(0.0))
+    pooled = spread.withColumn("sws", total(ws)).withColumn("re", total(lambda x: ws(x) * x["d"]) / F.col("sws"))
+    pooled = pooled.withColumn("r", total(lambda x: ws(x) * (x["d"] - F.col("re")) * (x["d"] - F.col("re")))).withColumn("rse", F.sqrt(1 / F.col("sws")))
+    return pooled.select(
+        *keys, k.alias("k"), F.col("re").alias("delta"), F.col("rse").alias("se"), (F.col("re") - CRITICAL * F.col("rse")).alias("ci_lo"), (F.col("re") + CRITICAL * F.col("rse")).alias("ci_hi"), (F.col("re") / F.col("rse")).alias("z"),
         F.when(many, F.col("q0")).alias("q"), free.alias("df"), F.when(many, F.col("tau2_used")).alias("tau2"),
         F.when(many, F.when(F.col("q0") > 0, F.greatest(F.lit(0.0), F.try_divide(F.col("q0") - free, F.col("q0"))) * 100).otherwise(0.0)).alias("i2"),
         "delta_fe", F.when(many, F.sqrt(F.greatest(F.lit(1.0), F.try_divide(F.col("r"), free)) / F.col("sws"))).alias("hk_se"),
     )
-    return out if keys else out.drop("__all")
 
 
 def with_tails(pooled: DataFrame) -> DataFrame:

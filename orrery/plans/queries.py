@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import effects, gates, graph, labels, meta, ml, normalize, ranks, sampling
+from ..operators import cluster, curvature, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling
+from ..session import pinned
+from . import composites
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,7 +133,7 @@ COHORT = "select c_custkey as user_id, n_regionkey as cohort from customer join
 
 
 def estimable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effects.estimable(effects.per_patient_contrasts(scores(spark, sf_dir), "user_id", "value", is_a()))
+    return effects.estimable(pinned(effects.per_patient_contrasts(scores(spark, sf_dir), "user_id", "value", is_a()), "contrasts"))
 
 
 # Effects and pooling
@@ -774,7 +776,7 @@ def connected_components(spark, sf_dir):
 
 @query()
 def graph_summary(spark, sf_dir):
-    return graph.graph_summary(cells(spark, sf_dir).select(F.col("vec_id").alias("id")), knn(spark, sf_dir, 8))
+    return graph.graph_summary(cells(spark, sf_dir).select(F.col("vec_id").alias("id")), pinned(knn(spark, sf_dir, 8), "edges"))
 
 
 # Classifiers
@@ -814,3 +816,152 @@ def logistic_auc(spark, sf_dir):
 @query()
 def leave_one_out(spark, sf_dir):
     return ml.leave_one_group_out(labelled(spark, sf_dir).withColumn("cohort", F.col("id") % 3), "cohort", "y", "features")
+
+
+# Whole analyses
+
+
+def _points(spark, sf_dir):
+    return cells(spark, sf_dir).withColumn("patient", F.col("vec_id") % 6)
+
+
+def odd() -> Column:
+    return F.col("label") % 2 == 1
+
+
+@query()
+def meta_flagship(spark, sf_dir):
+    return composites.patient_meta(_points(spark, sf_dir), "vec_id", "embedding", "patient", odd(), n_edges=600)
+
+
+@query()
+def ollivier_edges(spark, sf_dir):
+    e = pinned(knn(spark, sf_dir, 10), "edges")
+    return curvature.ollivier_edges(e, sampling.sampled_edges(e, 300))
+
+
+@query()
+def ollivier_node(spark, sf_dir):
+    return composites.node_curvature(cells(spark, sf_dir), "vec_id", "embedding", 10, 300)[0]
+
+
+@query()
+def two_group_contrast(spark, sf_dir):
+    return composites.two_group(cells(spark, sf_dir), "vec_id", "embedding", odd(), 10, 300, 150)
+
+
+@query()
+def forman_ollivier_correlation(spark, sf_dir):
+    return composites.forman_against_ollivier(pinned(knn(spark, sf_dir, 10), "edges"), 300)
+
+
+@query()
+def bakry_emery(spark, sf_dir):
+    nodes = sampling.first_n(cells(spark, sf_dir), 40, "vec_id").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("group"))
+    return composites.curvature_dimension(pinned(knn(spark, sf_dir, 10), "edges"), nodes)
+
+
+@query()
+def depth_stratified(spark, sf_dir):
+    nodes = composites.node_curvature(cells(spark, sf_dir), "vec_id", "embedding", 10, 300)[0]
+    depth = cells(spark, sf_dir).select(F.col("vec_id").alias("id"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("depth"), "label")
+    return composites.by_depth(nodes, depth, odd(), least=3)
+
+
+@query()
+def spatial_dual_graph(spark, sf_dir):
+    p = cells(spark, sf_dir).withColumn("place", F.slice("embedding", 1, 2))
+    return composites.dual_graph(p, "vec_id", "place", "embedding", odd(), 6, 10, 200)
+
+
+@query()
+def ward_subclones(spark, sf_dir):
+    return cluster.subclones(_points(spark, sf_dir), "patient", "vec_id", "embedding")
+
+
+@query()
+def subclone_kruskal(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumn("score", F.get("embedding", F.lit(0)).cast("double"))
+    return composites.subclone_contrast(p, "patient", "vec_id", "embedding", "score")
+
+
+@query()
+def contact_curvature(spark, sf_dir):
+    return composites.contact_curvature(contacts(spark, sf_dir, 30), 1.1, 100)
+
+
+@query()
+def louvain_communities(spark, sf_dir):
+    return cluster.communities(knn(spark, sf_dir, 10))
+
+
+@query()
+def delaunay_graph(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    return cluster.delaunay_graph(s.withColumn("x", F.col("s_nationkey") + F.col("s_suppkey") / 1000.0), "s_suppkey", "x", "s_acctbal")
+
+
+@query()
+def pseudotime(spark, sf_dir):
+    return cluster.pseudotime(sampling.first_n(cells(spark, sf_dir), 200, "vec_id").unionByName(cells(spark, sf_dir).where("vec_id = 0")).dropDuplicates(["vec_id"]), "vec_id", "embedding", 0)
+
+
+@query()
+def batch_correction(spark, sf_dir):
+    out = cluster.batch_corrected(_points(spark, sf_dir), "vec_id", "patient", "embedding")
+    return out.select("id", F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+
+
+@query()
+def kmeans_batches(spark, sf_dir):
+    return normalize.pseudo_batches(cells(spark, sf_dir), "embedding", 8).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+@query()
+def mixed_effects(spark, sf_dir):
+    return spark.createDataFrame([models.mixed_effect(scores(spark, sf_dir), "user_id", "value", is_a())])
+
+
+@query()
+def response_logit(spark, sf_dir):
+    d = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg("value").alias("mean_value"), F.count("*").alias("n_cells"), (F.max("user_id") % 2).alias("responder"))
+    out = models.logit(d, "responder", ["mean_value", "n_cells"])
+    return spark.createDataFrame([(out["log_likelihood"], out["log_likelihood_null"], out["llr_p"], out["n"])], "log_likelihood double, log_likelihood_null double, llr_p double, n long")
+
+
+@query()
+def pca_embedding(spark, sf_dir):
+    out = composites.from_counts(counts(spark, sf_dir), 50, 10)
+    return out.select("cell", F.sqrt(F.aggregate("pcs", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+
+
+@query()
+def arm_copy_number(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("arm"), F.col("p_partkey").alias("start"))
+    v = normalize.log_normalised(counts(spark, sf_dir), 1e6, 5)
+    return normalize.arm_scores(v, p, v.where("cell % 4 = 0").select("cell").distinct())
+
+
+@query()
+def signature_labels(spark, sf_dir):
+    v = normalize.log_normalised(counts(spark, sf_dir), 1e6, 5)
+    p = panels(spark, sf_dir)
+    level = normalize.gene_moments(v).select("gene", F.col("mean"))
+    controls = None
+    for name, _, _ in PANELS:
+        one = sampling.control_genes(level, "gene", "mean", p.where(F.col("panel") == name)).select(F.lit(name).alias("panel"), "gene")
+        controls = one if controls is None else controls.unionByName(one)
+    return labels.signature_label(labels.signature_scores(v, p, v.select("cell").distinct(), controls))
+
+
+@query()
+def bootstrap_cliff(spark, sf_dir):
+    return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir).where("user_id % 10 = 0"), "event_id", "value", is_a(), 50))
+
+
+@query("select count(*) as n_rows, sum(n_a) as n_a, sum(n_b) as n_b from (select user_id, date_trunc('day', ts) as d, count(*) filter (where event_type = 'purchase') as n_a, count(*) filter (where event_type = 'view') as n_b from events where ts is not null group by all)", "n_rows *n_a *n_b")
+def arm_counts_by_day(spark, sf_dir):
+    from ..streaming.patients import arm_counts
+
+    out = arm_counts(table(spark, sf_dir, "events"), "user_id", "ts", is_a(), is_b())
+    return out.agg(F.count("*").alias("n_rows"), F.sum("n_a").cast("double").alias("n_a"), F.sum("n_b").cast("double").alias("n_b"))
