@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .shared import new_path, small_batches, staged
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-#: Bytes of records after which a new archive begins; bytes read at once; responses that are broadcast at most.
-ARCHIVE_BYTES, RANGE_BYTES, BROADCAST_ROWS = 256 << 20, 4 << 20, 100_000
+#: Bytes of records after which a new archive begins; bytes read at once; ranges of a task; responses that are broadcast at most.
+ARCHIVE_BYTES, RANGE_BYTES, RANGES_A_TASK, BROADCAST_ROWS = 256 << 20, 4 << 20, 8, 100_000
 
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -239,7 +239,8 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
                     columns, names = [*columns, pa.array([r.payload for r in found], pa.binary())], [*names, "payload"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return runs.repartition("path", "offset").mapInArrow(read, RECORDS + ", payload binary" * with_payload)
+    parts = max(1, -(-runs.count() // RANGES_A_TASK))  # a count of one's own: by their bytes these rows would all go to one task
+    return runs.repartition(parts, "path", "offset").mapInArrow(read, RECORDS + ", payload binary" * with_payload)
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
