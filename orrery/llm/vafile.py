@@ -103,7 +103,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     itself with the highest integer inner products, or all if fewer, ties to the smaller vec_id.
 
     Vectors that are null or hold null or non-finite components take no part; a vector meets those of its own length. A
-    repeated row is a row of its own, so its copies find each other. Empty tables give no rows; other columns are not read.
+    repeated row is a row of its own, so its copies find each other. A score beyond 64 bits is an error. Empty tables give no
+    rows; other columns are not read.
     """
     small_batches(vectors.sparkSession)
     whole = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("v is not null")
