@@ -74,7 +74,9 @@ def test_empty_table(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("at_once", [0, 1000])
+def test_components_of_a_long_path(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
     n = 200
     edges = spark.createDataFrame([((i * 37) % n, ((i + 1) * 37) % n) for i in range(n - 1)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, "a", "b").collect()}
