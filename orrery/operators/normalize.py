@@ -162,6 +162,12 @@ def moving_average(df: DataFrame, keys: list[str], order: str, value: str, windo
     return two.where(~((F.col("w") % 2 == 1) & (F.col("i") == F.col("n")))).select(*df.columns, (total / F.col("w")).alias("smooth"))
 
 
+def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, window: int) -> DataFrame:
+    """df with smooth: the mean of value over up to window rows around each, fewer at the ends."""
+    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(-((window - 1) // 2), window // 2)
+    return df.withColumn("smooth", F.avg(value).over(by))
+
+
 def arm_scores(values: DataFrame, genes: DataFrame, reference: DataFrame, window: int = 100, bound: float = 3.0) -> DataFrame:
     """cell, arm, score: copy-number scores. values: cell, gene, value; genes: gene, arm, start; reference: cells.
 

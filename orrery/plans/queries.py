@@ -468,6 +468,43 @@ def arm_moving_average(spark, sf_dir):
     return normalize.moving_average(rows, ["arm"], "start", "value").select("arm", "start", (F.col("smooth") + 1e-9).alias("smooth"))
 
 
+@query("select p_partkey, avg(p_retailprice) over (partition by p_brand order by p_partkey rows between 4 preceding and 5 following) + 1e-9 as smooth from part", "p_partkey *smooth")
+def rolling_mean(spark, sf_dir):
+    out = normalize.rolling_mean(table(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_retailprice", 10)
+    return out.select("p_partkey", (F.col("smooth") + 1e-9).alias("smooth"))
+
+
+@query("select s_suppkey as bin, s_acctbal as x_1, c_acctbal as x_2 from supplier full outer join (select c_custkey, c_acctbal from customer where c_custkey % 20 = 0) on s_suppkey = c_custkey where s_suppkey is not null union all select c_custkey, null, c_acctbal from customer where c_custkey % 20 = 0 and c_custkey not in (select s_suppkey from supplier)", "bin *x_1 *x_2")
+def both_maps(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bin"), F.col("s_acctbal").alias("x"))
+    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("bin"), F.col("c_acctbal").alias("x"))
+    return labels.both_maps(s, c, "bin", "x")
+
+
+@query("select c_custkey, coalesce(n_name, 'none') as n_name from customer left join (select * from nation where n_regionkey < 3) on c_nationkey = n_nationkey", "c_custkey n_name")
+def default_lookup(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return labels.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), n, "c_nationkey", "n_name", "none").select("c_custkey", "n_name")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as r from lineitem) where r = 1", "l_orderkey l_linenumber l_partkey")
+def first_of_each(spark, sf_dir):
+    return labels.first_of(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("select o_orderkey from orders where o_custkey not in (select s_suppkey from supplier)", "o_orderkey")
+def excluded_specimens(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "specimen")
+    return labels.without_specimens(o, "specimen", table(spark, sf_dir, "supplier").select("s_suppkey")).select("o_orderkey")
+
+
+@query("select s_name as name, s_suppkey as source_at, n.n_nationkey as target_at from supplier s left join nation n on s.s_name = 'Supplier#' || lpad(cast(n.n_nationkey as varchar), 9, '0') union all select 'Supplier#' || lpad(cast(n_nationkey as varchar), 9, '0'), null, n_nationkey from nation where 'Supplier#' || lpad(cast(n_nationkey as varchar), 9, '0') not in (select s_name from supplier)", "name source_at target_at")
+def axis_permutation(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("k"), F.col("s_suppkey").alias("at"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("k"), F.col("n_nationkey").alias("at"))
+    return labels.permutation(s, n, "k", "at")
+
+
 # Labels
 
 
