@@ -27,7 +27,7 @@ from .shared import discard, small_batches, staged
 #: Words of a shingle; similarity as a fraction.
 WORDS, NUM, DEN = 5, 3, 4
 #: Cells of the frequency sketch and the pieces in which it is summed; hash ranges of the suffix filter; words that a worker remembers; dropped documents that are broadcast at most.
-CELLS, CHUNKS, RANGES, CACHE_WORDS, BROADCAST_ROWS = 1 << 20, 32, 32, 400_000, 500_000
+CELLS, CHUNKS, RANGES, CACHE_WORDS, BROADCAST_ROWS = 1 << 20, 32, 32, 100_000, 500_000
 #: Rounds in which components join by their likeliest pairs, and how many pairs each tries in a round. Then all other pairs follow.
 ROUNDS, PARTNERS = 3, 3
 
@@ -138,7 +138,7 @@ def prefix_entries(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 found = shingle_set(text.as_py())
                 if not len(found) or (cls := _class_of(found)) in done:
                     continue
-                if len(done) >= 500_000:
+                if len(done) >= 200_000:
                     done.clear()
                 done.add(cls)
                 length = len(found) - -(-NUM * len(found) // DEN) + 1

@@ -18,7 +18,7 @@ from .shared import small_batches
 #: Tokens of a sequence; the id that ends each document; documents of a group, on average.
 MAX_TOKENS, END_ID, GROUP_DOCS = 4096, 2, 8192
 #: Entries after which a worker's table of encoded words forgets the older half.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import discard, small_batches, staged
 
 #: Documents that the scorer is fitted on at most, about; hashed features; passes of EM; steps of the fit; words that a worker remembers.
-SAMPLE_DOCS, FEATURES, EM_PASSES, STEPS, CACHE_WORDS = 4000, 1 << 15, 100, 150, 300_000
+SAMPLE_DOCS, FEATURES, EM_PASSES, STEPS, CACHE_WORDS = 4000, 1 << 15, 100, 150, 150_000
 KEEP_FROM = 0.5
 
 LABELLERS = ("symbols", "capitals", "separators", "repetition", "variety", "plain_words", "word_length", "letters")
