@@ -894,7 +894,7 @@ def forman_ollivier_correlation(spark, sf_dir):
 
 @query()
 def bakry_emery(spark, sf_dir):
-    nodes = sampling.first_n(cells(spark, sf_dir), 40, "vec_id").select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("group"))
+    nodes = cells(spark, sf_dir).select(F.col("vec_id").alias("id"), (F.col("label") % 2).alias("group"))
     return composites.curvature_dimension(pinned(knn(spark, sf_dir, 10), "edges"), nodes)
 
 
@@ -940,7 +940,7 @@ def delaunay_graph(spark, sf_dir):
 
 @query()
 def pseudotime(spark, sf_dir):
-    return cluster.pseudotime(sampling.first_n(cells(spark, sf_dir), 200, "vec_id").unionByName(cells(spark, sf_dir).where("vec_id = 0")).dropDuplicates(["vec_id"]), "vec_id", "embedding", 0)
+    return cluster.pseudotime(cells(spark, sf_dir), "vec_id", "embedding", 0)
 
 
 @query()
@@ -993,7 +993,7 @@ def signature_labels(spark, sf_dir):
 
 @query()
 def bootstrap_cliff(spark, sf_dir):
-    return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir).where("user_id % 10 = 0"), "event_id", "value", is_a(), 50))
+    return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir), "event_id", "value", is_a(), 50))
 
 
 @query("select count(*) as n_rows, sum(n_a) as n_a, sum(n_b) as n_b from (select user_id, date_trunc('day', ts) as d, count(*) filter (where event_type = 'purchase') as n_a, count(*) filter (where event_type = 'view') as n_b from events where ts is not null group by all)", "n_rows *n_a *n_b")

@@ -48,3 +48,20 @@ def test_the_rest_imports_without_the_llm_folder(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "tests"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
+
+
+def test_analyses_run_over_all_rows(spark, tables, monkeypatch):
+    from orrery.operators import meta
+
+    n = tables.execute("select count(*) from embeddings").fetchone()[0]
+    assert entry.queries()["pseudotime"](spark, DATA).count() == n
+    assert sum(r.n for r in entry.queries()["bakry_emery"](spark, DATA).collect()) == n
+    seen, whole = [], meta.bootstrap_cliff
+
+    def watched(df, *args, **kwargs):
+        seen.append(df.count())
+        return whole(df, *args, **kwargs)
+
+    monkeypatch.setattr(meta, "bootstrap_cliff", watched)
+    entry.queries()["bootstrap_cliff"](spark, DATA)
+    assert seen == [tables.execute("select count(*) from events where event_type in ('purchase', 'view')").fetchone()[0]]
