@@ -18,6 +18,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 256, 2048, 128 << 10, 512
 MIN_MARGIN = 0.002
 #: Compression level for texts of up to SHORT bytes, where each byte counts, and for longer ones.
 FINE_LEVEL, LEVEL, SHORT = 12, 3, 2048
+#: Bytes that are encoded at a time, each with the dictionary alone, so that what it saves is the same share of a text of any length.
+BLOCK = 16 << 10
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
 
@@ -77,11 +79,12 @@ class Scorer:
         """Language, score, margin, rejected. `und`, and rejected, without a letter or without a language to choose."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0, True
-        data = letters_only(text)
+        data = memoryview(letters_only(text))
         encoders = self.encoders[FINE_LEVEL if len(data) <= SHORT else LEVEL]
-        sizes = sorted((len(e.compress(data)), lang) for e, lang in zip(encoders, self.langs))
+        blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
+        sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for e, lang in zip(encoders, self.langs))
         best = sizes[0][0]
-        other = sizes[1][0] if len(sizes) > 1 else max(best, len(data) + 9)
+        other = sizes[1][0] if len(sizes) > 1 else max(best, len(data) + 9 * len(blocks))
         margin = 1 - best / other
         return sizes[0][1], other / (best + other), margin, margin < MIN_MARGIN
 
@@ -90,7 +93,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] =
     """docs' doc_id and the columns in keep, with lang_pred, score, margin and rejected; text alone decides.
 
     Null, empty or letterless texts are `und`, score 0, rejected. Equal sizes go to the language first in the alphabet,
-    with margin 0, so rejected. Every row gives a row; whole texts are encoded.
+    with margin 0, so rejected. Every row gives a row; whole texts are encoded, in blocks of BLOCK bytes.
     """
     small_batches(docs.sparkSession)
     kept = ["doc_id", *keep]

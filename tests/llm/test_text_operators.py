@@ -140,6 +140,15 @@ def test_language_of_what_was_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_the_margin_of_a_language_does_not_fall_with_length():
+    rng = random.Random(3)
+    words = {k: ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(3000)] for k in "abcd"}
+    scorer = langid.Scorer({k: " ".join(rng.choices(w, k=30_000)).encode()[: langid.DICT_BYTES] for k, w in words.items()})
+    short, long = (scorer(" ".join(rng.choices(words["c"], k=n))) for n in (2_500, 1_250_000))
+    assert short[0] == long[0] == "c" and not short[3] and not long[3]
+    assert long[2] > 0.9 * short[2]
+
+
 def test_language_without_labels_or_rows(spark):
     none = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string")
     assert langid.identify(none).first().lang_pred == "und"
