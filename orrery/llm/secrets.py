@@ -28,11 +28,13 @@ BARE = re.compile(r"[A-Za-z0-9+/_.=$~!@%^*-]+", re.ASCII)
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", re.ASCII)
 PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-HINT = re.compile(r"pass|pwd|secret|token|key|cred|auth|salt|private", re.ASCII | re.IGNORECASE)
 
 #: What a target name's words weigh, alone or as neighbours; a literal is reported from MIN_SCORE on.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "passcode": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "pass": 2, "bearer": 2, "salt": 2, "api key": 3, "access key": 3, "private key": 3, "secret key": 3, "signing key": 3, "encryption key": 3, "auth key": 3, "account key": 3, "client key": 2}
-MIN_SCORE, MIN_LITERAL, ROUNDS = 4.0, 8, 8
+MIN_SCORE, MIN_LITERAL = 4.0, 8
+#: The last word of each entry, less those that hold another: a text without any of them has no sensitive name.
+HINTS = {k.split()[-1] for k in SENSITIVE}
+HINT = re.compile("|".join(sorted(w for w in HINTS if not any(o in w for o in HINTS - {w}))), re.ASCII | re.IGNORECASE)
 PLACEHOLDER = re.compile(r"^(?:(.)\1*|[xX*.#-]+|change_?me.*|your[_-].*|example.*|placeholder.*|none|null|true|false|undefined|redacted|\$\{.*|\$\(.*|<.*|%\(.*|\{\{.*)$", re.IGNORECASE | re.DOTALL)
 
 
@@ -118,22 +120,21 @@ def literal_spans(text: str) -> list[Span]:
     for p in pairs:
         bound.setdefault(p.name, []).extend(p.parts)
     found: dict[tuple[int, int], float] = {}
-    for weight, pair in wanted:
+    seen: set[str] = set()
+    # by falling weight, so that a name or literal met before has had no less
+    for weight, pair in sorted(wanted, key=lambda w: -w[0]):
         if not weight:
-            continue
-        names, literals, seen = [x for x in pair.parts if isinstance(x, str)], [x for x in pair.parts if not isinstance(x, str)], {pair.name}
-        for _ in range(ROUNDS):
-            nexts = [n for n in names if n not in seen and n in bound]
+            break
+        parts = pair.parts
+        while parts:
+            for part in parts:
+                if not isinstance(part, str):
+                    found.setdefault(part, weight)
+            nexts = dict.fromkeys(x for x in parts if isinstance(x, str) and x not in seen and x in bound)
             seen.update(nexts)
-            parts = [x for n in dict.fromkeys(nexts) for x in bound[n]]
-            literals += [x for x in parts if not isinstance(x, str)]
-            names = [x for x in parts if isinstance(x, str)]
-            if not names:
-                break
-        for start, end in literals:
-            score = weight + strength(text[start:end]) if strength(text[start:end]) else 0
-            found[start, end] = max(found.get((start, end), 0), score)
-    return [Span(a, "literal", b, a, b) for (a, b), score in found.items() if score >= MIN_SCORE]
+            parts = [x for n in nexts for x in bound[n]]
+    scores = {(a, b): (weight, strength(text[a:b])) for (a, b), weight in found.items()}
+    return [Span(a, "literal", b, a, b) for (a, b), (weight, s) in scores.items() if s and weight + s >= MIN_SCORE]
 
 
 def spans(text: str | None) -> list[Span]:

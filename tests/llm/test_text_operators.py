@@ -104,6 +104,14 @@ def test_literals_through_names_and_concatenation():
     assert literals("private_key = head + 'Zx81_LmQp02'\nhead = 'aV77-bbQ1xx'\n") == ["Zx81_LmQp02", "aV77-bbQ1xx"]
 
 
+def test_literals_of_every_sensitive_word_and_through_any_chain():
+    assert literals("bearer = 'Zx81_LmQp02aV77bbQ1'") == ["Zx81_LmQp02aV77bbQ1"]
+    for words in secrets.SENSITIVE:
+        assert literals(f"{words.replace(' ', '_')} = 'Zx81_Lm!Qp02aV77bbQ1'") or secrets.base_spans(f"{words.replace(' ', '_')} = 'Zx81_Lm!Qp02aV77bbQ1'"), words
+    for n in (7, 8, 9, 50, 5000):
+        assert literals("session_token = n0\n" + "".join(f"n{i} = n{i + 1}\n" for i in range(n)) + f"n{n} = 'aB3$xY9!kLm2pQ'\n") == ["aB3$xY9!kLm2pQ"], n
+
+
 def test_what_is_no_secret():
     for text in ('note: "the password is not here at all"', "pwd = ${PASSWORD_FROM_ENV}", 'auth_key = "changeme"', "colour = 'aB3$xY9!kLm2pQ'", "Of the pass, and key: then", "x" * 100_000 + "=1"):
         assert literals(text) == [], text
