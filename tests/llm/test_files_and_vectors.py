@@ -138,6 +138,23 @@ def test_template_texts_and_what_is_not_the_article():
     assert text.startswith("Title 2 & more\n\nParagraph") and not any(x in text for x in ("Share", "Read more", "Mail", "Nice", "Side", "Home", "BUY", "©"))
 
 
+def test_versions_of_an_article_keep_what_they_share(spark):
+    versions = [page(f"<article><h1>One title</h1><div>Lone block</div><p>Edited {i}</p></article>") for i in range(6)]
+    assert wrappers.main_text(versions[2], wrappers.infer(versions)) == "One title\n\nLone block\n\nEdited 2"
+    # the same without a heading, where pages have a block in common that is no template
+    versions = [page(f"<article><div>Lone block</div><p>Same start</p><p>Edited {i}</p></article>") for i in range(6)]
+    assert "Lone block" in wrappers.main_text(versions[2], wrappers.infer(versions))
+
+
+def test_template_is_what_no_page_of_the_host_lacks(spark):
+    body = "<article><h1>Title {0}</h1><div>{1}</div><p>Text {0}</p></article>"
+    rows = [(i, f"http://{h}.example/{i}", page(body.format(i, "Shared" if h == "a" or i < 300 else f"Own {i}"))) for h in "ab" for i in range(320)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    shared = {h: sum("Shared" in r.text for r in got if f"//{h}." in r.url) for h in "ab"}
+    assert shared == {"a": 0, "b": 300}
+    assert all(f"Title {r.page_id}\n\n" in r.text for r in got)
+
+
 def test_articles_without_the_element():
     pages = [page(f'<div class="wrap"><div class="sidebar">Links {i}</div><div class="post"><h2>News {i}</h2><p>{"long text " * 30}{i}</p></div></div>', str(i)) for i in range(5)]
     assert wrappers.main_text(pages[3], wrappers.infer(pages)) == f"News 3\n\n{('long text ' * 30).strip()} 3"
