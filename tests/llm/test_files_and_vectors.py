@@ -155,6 +155,17 @@ def test_template_is_what_no_page_of_the_host_lacks(spark):
     assert all(f"Title {r.page_id}\n\n" in r.text for r in got)
 
 
+def test_long_and_deep_pages_are_narrowed_to_their_article(monkeypatch):
+    def of(n, deep):
+        text = "".join(f"<p>Text {i}</p>" for i in range(n))
+        return page('<div class="site">Site text</div>' + "<section>" * deep + f'<div class="post">{text}</div>' + "</section>" * deep)
+
+    for n, deep in ((100, 0), (20_000, 0), (100, 150)):
+        assert wrappers.main_text(of(n, deep), None) == "\n\n".join(f"Text {i}" for i in range(n)), (n, deep)
+    for html in (of(50, 3), article(3), *(article(i, "<p>one</p><div class=x>two</div><p>three <a href=/>four</a></p>") for i in range(20))):
+        assert wrappers.streamed_path(html) == wrappers.article_path(wrappers.page_items(html))
+
+
 def test_articles_without_the_element():
     pages = [page(f'<div class="wrap"><div class="sidebar">Links {i}</div><div class="post"><h2>News {i}</h2><p>{"long text " * 30}{i}</p></div></div>', str(i)) for i in range(5)]
     assert wrappers.main_text(pages[3], wrappers.infer(pages)) == f"News 3\n\n{('long text ' * 30).strip()} 3"
