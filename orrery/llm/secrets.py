@@ -142,7 +142,12 @@ def spans(text: str | None) -> list[Span]:
     if not text:
         return []
     base = base_spans(text)
-    more = [s for s in literal_spans(text) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    more, reach, held = [], 0, sorted(base, reverse=True)
+    for s in sorted(literal_spans(text)):
+        while held and held[-1].start <= s.start:  # reach: the furthest end of the base spans that start no later
+            reach = max(reach, held.pop().end)
+        if s.end > reach:
+            more.append(s)
     return sorted(base + more, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
