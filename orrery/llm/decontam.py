@@ -125,7 +125,12 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    found = staged(judged(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")), "hit")
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs.
+
+    Null and empty texts have no words and stay; equal rows stay or go together; other columns may have any names. An
+    empty table stays empty, and without windows every row stays. Texts of any length are read whole.
+    """
+    found = staged(judged(docs, benchmark).where("n_hit > 0").select("doc_id", "key"), "hit")
     found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (_key(docs) == F.col("hit_key")), "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), _key(docs).alias("text_key"))
+    return rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")), "left_anti").select("row.*")
