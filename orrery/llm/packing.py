@@ -95,7 +95,7 @@ def _encoder(path: str) -> WordIds:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most max_tokens ids: doc_id, start, length, ids_crc32, doc_tokens, grp (a 64-bit random group key), and ids if asked for.
+    """One row per piece of at most max_tokens ids: doc_id, start, length, ids_crc32, doc_tokens, grp (a 64-bit random group key of the document), and ids if asked for.
 
     A null text is an empty one: its document is the end id alone. Repeated rows are documents of their own.
     """
@@ -112,11 +112,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKE
                 ids = words.text(text.as_py() or "") + end
                 same = (doc, len(ids), zlib.crc32(ids))
                 seen[same] = again = seen.get(same, -1) + 1
+                group = _mixed(*same, again)
                 if len(seen) > 200_000:
                     seen.clear()
                 for at in range(0, len(ids), step):
                     part = ids[at : at + step]
-                    row = [doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, _mixed(*same, at, again)]
+                    row = [doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, group]
                     for column, value in zip(out, row + [np.frombuffer(part, "<u4").astype(np.int32)] * with_ids):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
@@ -124,10 +125,10 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKE
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECE_SCHEMA + ", grp long" + ", ids array<int>" * with_ids)
 
 
-def _mixed(doc: int | None, size: int, crc: int, at: int, again: int) -> int:
-    """A signed 64-bit key that follows from the piece and from how many equal rows came before, so that a task that
+def _mixed(doc: int | None, size: int, crc: int, again: int) -> int:
+    """A signed 64-bit key that follows from the document and from how many equal rows came before, so that a task that
     runs again deals alike and repeated rows spread out."""
-    x = ((doc or 0) * 0x9E3779B97F4A7C15 ^ size << 40 ^ at ^ crc << 8 ^ again * 0xD6E8FEB86659FD93) & (1 << 64) - 1
+    x = ((doc or 0) * 0x9E3779B97F4A7C15 ^ size << 40 ^ crc << 8 ^ again * 0xD6E8FEB86659FD93) & (1 << 64) - 1
     x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
     x = (x ^ x >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
     return (x ^ x >> 31) - (1 << 63)
@@ -160,7 +161,7 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
 
 
 def pack(pieces: DataFrame, n_docs: int, max_tokens: int = MAX_TOKENS, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Pieces with sequence_id and offset. Groups are random, hold group_docs documents on average and are packed alone.
+    """Pieces with sequence_id and offset. Groups are random, hold group_docs whole documents on average and are packed alone.
 
     A piece of max_tokens fills a sequence of its own. sequence_id is the group's number times 2**32 plus the bin's.
     """
