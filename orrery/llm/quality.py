@@ -168,6 +168,8 @@ def classify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep_from: float =
     score is the linear scorer's chance of good quality, posterior that of the document's votes alone, keep whether score
     is keep_from or more. votes has a digit per labeller: 0 bad, 1 none, 2 good. Null and empty texts have no features:
     their score is their posterior. Votes are counted over all rows, repeated ones each; an empty table gives no rows.
+    Equal texts score alike; texts of any length are read whole; other columns are not read. The scorer is fitted on some
+    sample_docs rows, those with the smallest hashes of doc_id and text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -177,8 +179,11 @@ def classify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep_from: float =
     discard(voted)
     good = posteriors(counts)
     total = sum(counts.values())
-    h = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
-    drawn = docs.where(h < int((1 << 30) * min(1.0, sample_docs / max(1, total))))
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit("quality")), F.lit(1 << 30))
+    share = min(1.0, sample_docs / max(1, total))
+    drawn = docs.where(h < int((1 << 30) * share))
+    if share < 1 and len(drawn.select("doc_id").take(sample_docs // 4)) < sample_docs // 4:  # most rows repeat one another
+        drawn = docs.orderBy(h).limit(sample_docs)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
