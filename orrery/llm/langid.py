@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: The bounded sample of labelled rows: documents of a language, characters from the start of each, bytes kept in its dictionary, and languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 256, 2048, 128 << 10, 512
+#: The bounded sample that is learned from: rows of a language, bytes of its dictionary, and of a piece where its rows hold more.
+SAMPLE_DOCS, DICT_BYTES, PIECE = 256, 256 << 10, 512
 #: A prediction is rejected if the runner-up is larger by less than this share of itself.
-MIN_MARGIN = 0.002
+MIN_MARGIN = 0.01
 #: Compression level for texts of up to SHORT bytes, where each byte counts, and for longer ones.
 FINE_LEVEL, LEVEL, SHORT = 12, 3, 2048
 #: Bytes that are encoded at a time, each with the dictionary alone, so that what it saves is the same share of a text of any length.
@@ -34,26 +35,41 @@ def held_out() -> F.Column:
 def language_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionary content of each language in labelled (doc_id, text, lang), from SAMPLE_DOCS rows of it at most.
 
-    The rows with the smallest hashes are taken, so the sample is the same whatever the order. Rows without a language
-    or a letter teach nothing. More than MAX_LANGS languages raise an error.
+    The rows with the smallest hashes are taken, so the sample is the same whatever the order; what repeats does not crowd
+    a language out. Of each, the whole text is read. Where they hold more than DICT_BYTES, pieces of PIECE bytes are drawn
+    from all over them by hash. Rows without a language or a letter teach nothing.
     """
-    known = labelled.where("lang is not null")
-    counts = known.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    known = labelled.where("lang is not null").where(F.col("text").rlike("\\p{L}"))
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
     if not counts:
         return {}
-    # a hash bound that some 8 * SAMPLE_DOCS rows of each language pass, so that ranking sees no more however many there are
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 8 * SAMPLE_DOCS / r["count"]))))
-    h = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 40)).alias("h")
-    drawn = known.select("lang", h, "text").where((F.col("h") <= share[F.col("lang")] * float(1 << 40)) & F.col("text").rlike("\\p{L}"))
-    rank = Window.partitionBy("lang").orderBy("h", "t")
-    rows = drawn.select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS)
-    found: dict[str, list[bytes]] = {}
-    for row in rows.select("lang", "r", "t").toLocalIterator():
-        found.setdefault(row.lang, []).append((row.r, letters_only(row.t)))
-    # the end of a dictionary is nearest to the text that it encodes
-    return {k: b"\n".join(t for _, t in sorted(v, reverse=True))[-DICT_BYTES:] for k, v in sorted(found.items())}
+    h = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 40)).alias("h")
+    hashed = known.select("lang", h, "text")
+
+    def rows(share: dict[str, float]) -> dict[str, list[bytes]]:
+        """Letters of the first rows by hash, of those below a share of all hashes."""
+        least = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
+        rank = Window.partitionBy("lang").orderBy("h", "text")
+        drawn = hashed.where(F.col("h") < least * float(1 << 40)).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SAMPLE_DOCS)
+        found: dict[str, list[tuple[int, bytes]]] = {k: [] for k in share}
+        for row in drawn.select("lang", "r", "text").toLocalIterator():
+            found[row.lang].append((row.r, letters_only(row.text)))
+        return {k: [t for _, t in sorted(v)] for k, v in found.items()}
+
+    # some 8 * SAMPLE_DOCS rows of a language pass, so that ranking sees no more however many there are
+    found = rows({k: min(1.0, 8 * SAMPLE_DOCS / n) for k, n in counts.items()})
+    if few := {k: 1.0 for k, n in counts.items() if len(found[k]) < min(n, SAMPLE_DOCS)}:  # most of its rows repeat one another
+        found |= rows(few)
+    return {k: _dictionary(v) for k, v in sorted(found.items())}
+
+
+def _dictionary(texts: list[bytes]) -> bytes:
+    """texts, the first ones last, as the end of a dictionary is nearest to what it encodes; or pieces drawn from them."""
+    if sum(map(len, texts)) + len(texts) <= DICT_BYTES:
+        return b"\n".join(reversed(texts))
+    pieces = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
+    drawn = sorted(range(len(pieces)), key=lambda i: xxhash.xxh3_64_intdigest(pieces[i], i))[: DICT_BYTES // (PIECE + 1)]
+    return b"\n".join(pieces[i] for i in sorted(drawn, reverse=True))
 
 
 def letters_only(text: str) -> bytes:
@@ -92,7 +108,7 @@ class Scorer:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] = ()) -> DataFrame:
     """docs' doc_id and the columns in keep, with lang_pred, score, margin and rejected; text alone decides.
 
-    Null, empty or letterless texts are `und`, score 0, rejected. Equal sizes go to the language first in the alphabet,
+    Languages are as many as dictionaries. Null, empty or letterless texts are `und`, score 0, rejected. Equal sizes go to the language first in the alphabet,
     with margin 0, so rejected. Every row gives a row; whole texts are encoded, in blocks of BLOCK bytes.
     """
     small_batches(docs.sparkSession)
@@ -109,7 +125,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str] =
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], *columns], names=[*kept, *names])
 
-    read = docs.select(*kept, docs["text"].alias("__text"))
+    read = docs.select(*kept, F.col("text").alias("text_read"))
     fields = ", ".join(f"`{c}` {t}" for c, t in read.dtypes[:-1])
     return read.mapInArrow(scored, f"{fields}, {kind}")
 
@@ -124,7 +140,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is not rejected."""
+    """The rows of docs, with all their columns, whose language is not rejected: null, empty and letterless texts go, equal
+    rows stay or go together, other columns may have any names, texts of any length are encoded whole."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
     text_at = docs.columns.index("text")
