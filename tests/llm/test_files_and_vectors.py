@@ -2,6 +2,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -106,12 +107,37 @@ def test_top_k_of_few_and_repeated_rows(spark):
     assert vafile.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_huge_components_stay_exact():
-    v = np.array([[1 << 30, 1], [1 << 30, 2], [-(1 << 30), 0]], np.int64)
-    grid, cells = vafile._grid(v)
-    uids = np.arange(3)
-    ((_, rows, _),) = list(vafile.scan_block(v[:1], uids[:1], grid, cells.astype(np.int64), v, uids, uids, 2))
-    assert rows.tolist() == [1, 2]
+def test_bounds_hold_whatever_the_size():
+    rng = np.random.default_rng(2)
+    for size in (3, 200, 1 << 30, 1 << 54):
+        v = rng.integers(-size, size, (50, 6))
+        grid, cells = vafile._grid(v)
+        lower, upper = vafile.bounds(v[:9], grid, cells)
+        exact = v[:9].astype(object) @ v.T.astype(object)
+        assert (lower <= exact).all() and (exact <= upper).all()
+
+
+def test_exact_vectors_are_read_for_few_only(spark, monkeypatch):
+    """Bounds from the cells leave few vectors to read."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(2000, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    reads = []
+    plain = vafile.scored
+    monkeypatch.setattr(vafile, "scored", lambda asked, q, v: (reads.append(asked.count()), plain(asked, q, v))[1])
+    assert vafile.top_k(table, F.col("vec_id") % 50 == 0).count() == 200
+    assert reads[0] == 200 and sum(reads) < 0.02 * 40 * 2000
+
+
+def test_components_that_are_too_large_are_an_error(spark):
+    table = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        vafile.top_k(table, F.col("vec_id") % 50 == 0).collect()
+    huge = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 2.0]), (2, [-(2.0**22), 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception):  # 2 ** 96
+        vafile.top_k(huge, F.col("vec_id") == 0).collect()
+    large = spark.createDataFrame([(0, [2.0**22, 1.0]), (1, [2.0**22, 2.0]), (2, [-(2.0**22), 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in vafile.top_k(large, F.col("vec_id") == 0).collect()] == [(1, 2**60 + 131072), (2, -(2**60))]
 
 
 # HTML
@@ -183,3 +209,21 @@ def test_extraction_of_a_table(spark):
     assert next(r for r in got if r.page_id == 7).text.startswith("Title 7 & more\n\nParagraph")
     assert next(r for r in got if r.page_id == 100).text == ""
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("unit", ['<b "', "<title>", "<svg>", "<p><a>", "<", "<!", "</x", "<b '>", "&amp", "<div><p>"])
+def test_time_does_not_follow_the_square_of_odd_pages(unit):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        wrappers.main_text(f"<article><p>Words here</p>{unit * n}", None)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_elements_that_never_end_hold_no_more_than_their_parent():
+    for tag in ("svg", "object", "canvas", "title", "noscript"):
+        html = f"<body><article><h1>Head</h1><div><{tag}></div><p>One</p><object><object>x</object>y</object><p>Two</p></article></body>"
+        assert wrappers.main_text(html, None) == "Head\n\nOne\n\nTwo", tag
+    assert wrappers.main_text("<article><p>One</p><script>var x = 1", None) == "One"
+    assert wrappers.main_text("<article><p>One<b><i><u><s><q><em><tt><code><kbd><var>deep<h2>Two</h2>", None) == "One deep\n\nTwo".replace(" ", "")
