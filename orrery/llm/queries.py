@@ -49,20 +49,23 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = """
-with said as (select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations),
-sides as (select distinct conv_id, role as perspective from said where role <> 'system'),
+with said as (select distinct conv_id, coalesce(turn, -1) as turn, role, coalesce(text, '') as text from conversations),
+sides as (select distinct conv_id, role as perspective from said where role is distinct from 'system'),
+divided as (select *, cast(floor(turn / 64) as bigint) as part from said),
+numbered as (
+    select *, case when count(*) over (partition by conv_id, part) > 256 then cast(floor((row_number() over (partition by conv_id, part order by turn, role nulls first, text) - 1) / 256) as int) else 0 end as sub from divided),
 placed as (
-    select m.conv_id, cast(floor(m.turn / 64) as bigint) as part, s.perspective, m.turn, m.role, m.text,
-        case when m.role = s.perspective then '<|assistant|>' || chr(10) when m.role = 'system' then '<|system|>' || chr(10) else '<|user name=' || m.role || '|>' || chr(10) end as head,
-        m.text || '<|end|>' || chr(10) as body, m.role = s.perspective as own
-    from said m join sides s on m.conv_id is not distinct from s.conv_id),
+    select m.conv_id, part, sub, s.perspective, m.turn, m.role, m.text, m.role is not distinct from s.perspective as own,
+        case when m.role is not distinct from s.perspective then '<|assistant|>' || chr(10) when m.role = 'system' then '<|system|>' || chr(10) else '<|user name=' || replace(replace(replace(replace(coalesce(m.role, 'unknown'), '<|', '<\\|'), '|>', '|\\>'), chr(10), ' '), chr(13), ' ') || '|>' || chr(10) end as head,
+        replace(m.text, '<|', '<\\|') || '<|end|>' || chr(10) as body
+    from numbered m join sides s on m.conv_id is not distinct from s.conv_id),
 measured as (
-    select *, sum(length(head) + length(body)) over (partition by conv_id, part, perspective order by turn, role, text rows unbounded preceding) as finish from placed)
-select conv_id, part, perspective, count(*) as n_messages, count(*) filter (where own) as n_targets,
-    string_agg(head || body, '' order by turn, role, text) as text,
-    coalesce(string_agg(case when own then cast(finish - length(body) as varchar) || ':' || cast(finish as varchar) end, ',' order by turn, role, text), '') as mask,
-    cast(max(finish) as bigint) as n_chars, cast(coalesce(sum(length(body)) filter (where own), 0) as bigint) as n_mask_chars
-from measured group by conv_id, part, perspective
+    select *, sum(length(head) + length(body)) over (partition by conv_id, perspective order by part, sub, turn, role nulls first, text rows unbounded preceding) as finish from placed)
+select conv_id, coalesce(perspective, 'unknown') as perspective, part, sub, cast(max(finish) - sum(length(head) + length(body)) as bigint) as start, count(*) as n_messages, count(*) filter (where own) as n_targets,
+    string_agg(head || body, '' order by turn, role nulls first, text) as text,
+    coalesce(string_agg(case when own then cast(finish - length(body) as varchar) || ':' || cast(finish as varchar) end, ',' order by turn, role nulls first, text), '') as mask,
+    cast(sum(length(head) + length(body)) as bigint) as n_chars, cast(coalesce(sum(length(body)) filter (where own), 0) as bigint) as n_mask_chars
+from measured m group by conv_id, m.perspective, part, sub
 """
 
 
