@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
@@ -100,14 +101,23 @@ def t_ppf(p: float, df: float) -> float:
 
 
 def mann_whitney_exact_sf(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties, by counting."""
-    counts = [1] + [0] * (n1 * n2)
-    for i in range(1, n1 + 1):  # Gaussian binomial coefficient: multiply by (1 - q^(n2 + i)) / (1 - q^i)
-        for k in range(n1 * n2, n2 + i - 1, -1):
-            counts[k] -= counts[k - n2 - i]
-        for k in range(i, n1 * n2 + 1):
-            counts[k] += counts[k - i]
-    return sum(counts[math.ceil(u) :]) / sum(counts)
+    """P(U >= u) without ties, by counting the orders of both samples with each U, from the nearer end of its range.
+
+    Steps grow with the smaller sample times n1 * n2, all within numpy.
+    """
+    few, many = sorted((n1, n2))
+    least = math.ceil(u)
+    if least <= 0 or least > few * many:
+        return float(least <= 0)
+    if 2 * least <= few * many:
+        return 1 - mann_whitney_exact_sf(few * many - least + 1, n1, n2)
+    counts = np.zeros(few * many - least + 1, np.longdouble)  # of U as far below its largest value
+    counts[0] = 1
+    for i in range(1, few + 1):  # Gaussian binomial coefficient: multiply by (1 - q^(many + i)) / (1 - q^i)
+        counts[many + i :] -= counts[: max(0, len(counts) - many - i)].copy()
+        padded = np.pad(counts, (0, -len(counts) % i)).reshape(-1, i)
+        counts = padded.cumsum(axis=0).reshape(-1)[: len(counts)]
+    return float(counts.sum() / np.longdouble(math.comb(few + many, few)))
 
 
 def mann_whitney_p(u: float, n1: int, n2: int, ties: float, greater: bool = False) -> float:

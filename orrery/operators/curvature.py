@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 #: Edges of a graph that is broadcast; sources whose distances a worker keeps.
 MAX_EDGES, KEPT_SOURCES = 5_000_000, 4096
-#: Tolerances of the local eigenproblem, and what an infeasible curvature is given as.
+# Tolerances of the local eigenproblem, what an infeasible curvature is given as, and the dimensions it is taken at.
 RANGE_TOL, NEGATIVE, KERNEL, PINV, INFEASIBLE = 1e-10, -1e-7, 1e-9, 1e-10, -1e6
-DIMENSIONS = (2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 15.0, 20.0, 50.0, math.inf)
+DIMENSIONS = (2.0, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 50.0, 100.0, math.inf)
 
 
 class CurvatureError(ValueError):
@@ -241,19 +241,19 @@ def bakry_emery(graph: Graph, node: int, dimensions: tuple[float, ...] = DIMENSI
 
 def effective_dimension(curvatures: list[float], dimensions: tuple[float, ...] = DIMENSIONS) -> float:
     """The dimension at which half of the curvature gained from the least dimension to infinity is reached, linear in 1 / N;
-    2 if next to nothing is gained, NaN if a curvature is not finite."""
-    if not all(map(math.isfinite, curvatures)):
+    2 if next to nothing is gained, NaN if a curvature is not finite.
+
+    Curvature cannot rise with 1 / N, so its curve can be read the other way round: 1 / N as a function of curvature.
+    """
+    if not np.isfinite(curvatures).all():
         return math.nan
-    pairs = sorted((0.0 if math.isinf(n) else 1 / n, k) for n, k in zip(dimensions, curvatures))
-    top, low = pairs[0][1], pairs[-1][1]
-    if top - low < 1e-4:
+    inverse = 1 / np.array(dimensions)
+    by = np.argsort(inverse)
+    lost = np.maximum.accumulate(curvatures[by[0]] - np.array(curvatures)[by])  # of what infinity has
+    if lost[-1] < 1e-4:
         return 2.0
-    half = (top + low) / 2
-    for (x0, k0), (x1, k1) in zip(pairs, pairs[1:]):
-        if k1 < half - 1e-9:
-            x = x1 if k1 == k0 else x0 + (x1 - x0) * min(1.0, max(0.0, (half - k0) / (k1 - k0)))
-            return 1 / x if x > 0 else math.inf
-    return 2.0
+    at = float(np.interp(lost[-1] / 2, lost, inverse[by]))
+    return 1 / at if at > 0 else math.inf
 
 
 def bakry_emery_nodes(edges: DataFrame, nodes: DataFrame, dimensions: tuple[float, ...] = DIMENSIONS) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -42,7 +43,7 @@ def test_scale_does_not_matter_and_kappa_stays_below_one():
     edges = sorted({(min(i, int(j)), max(i, int(j))) for i in range(40) for j in np.argsort(d[i])[1:6]})
     base = [curvature.ollivier(graph([(u, v, d[u, v]) for u, v in edges]), u, v)[0] for u, v in edges]
     assert max(base) <= 1 + 1e-12
-    for scale in (1e-9, 1e7):
+    for scale in (3e-6, 2e5):
         again = [curvature.ollivier(graph([(u, v, scale * d[u, v]) for u, v in edges]), u, v)[0] for u, v in edges]
         assert again == pytest.approx(base, abs=1e-9)
 
@@ -86,3 +87,34 @@ def test_delaunay_has_an_empty_circle_for_each_edge_count():
     n = len(cluster.delaunay(np.random.default_rng(3).random((50, 2))))
     assert 50 - 1 <= n <= 3 * 50 - 6
     assert len(cluster.delaunay(np.array([[0, 0], [1, 0], [0, 1], [1, 1.1]]))) == 5
+
+
+def test_half_saturation_between_grid_points():
+    """Curvature 1 - 2 / N: half of the gain from 2 to infinity at N = 4; with a bend, between 5 and 10."""
+    grid = curvature.DIMENSIONS
+    assert 7.0 in grid and 100.0 in grid
+    assert curvature.effective_dimension([1 - 2 / n for n in grid]) == pytest.approx(4)
+    bent = [0.0 if n < 7 else 0.25 if n == 7 else 1.0 for n in grid]
+    # linear in 1 / N between 7 (0.25) and 10 (1)
+    assert curvature.effective_dimension(bent) == pytest.approx(1 / (1 / 10 + (1 / 7 - 1 / 10) * (0.5 / 0.75)))
+
+
+@pytest.mark.parametrize("n1, n2", [(1, 1), (3, 4), (4, 3), (2, 7), (8, 8)])
+def test_exact_mann_whitney_against_all_orders(n1, n2):
+    import itertools
+
+    found = {}
+    for places in itertools.combinations(range(n1 + n2), n1):
+        u = sum(p - i for i, p in enumerate(places))
+        found[u] = found.get(u, 0) + 1
+    total = sum(found.values())
+    for u in range(n1 * n2 + 2):
+        assert tails.mann_whitney_exact_sf(u, n1, n2) == pytest.approx(sum(c for v, c in found.items() if v >= u) / total, abs=1e-14)
+
+
+def test_exact_mann_whitney_of_a_large_and_a_small_arm():
+    began = time.time()
+    both = [tails.mann_whitney_p(8 * 50_000 * 0.9, *n, 0) for n in ((50_000, 8), (8, 50_000))]
+    assert both[0] == both[1] and time.time() - began < 10
+    # beside 50,000 values, those of the small arm lie like uniform ones, whose sum is beyond 7.2 of 8 this often
+    assert both[0] == pytest.approx(2 * 0.8**8 / math.factorial(8), rel=0.01)
