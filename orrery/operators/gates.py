@@ -48,7 +48,7 @@ def tables_agree(one: DataFrame, two: DataFrame, key: str, columns: list[str], t
     b = two.select(key, *(F.col(c).alias(f"b_{c}") for c in columns), F.lit(1).alias("b"))
     def differ(c):
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
-        return F.when(tolerance > 0, F.abs(x - y) > tolerance * F.greatest(F.abs(x), F.abs(y))).otherwise(~x.eqNullSafe(y)) if tolerance else ~x.eqNullSafe(y)
+        return F.abs(x - y) > tolerance * F.greatest(F.abs(x), F.abs(y)) if tolerance else ~x.eqNullSafe(y)
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     return a.join(b, key, "full_outer").agg(F.count("*").alias("n_rows"), F.count_if(~both).alias("n_bad_missing"), *(F.count_if(both & F.coalesce(differ(c), F.col(f"a_{c}").isNull() != F.col(f"b_{c}").isNull())).alias(f"n_bad_{c}") for c in columns))
 

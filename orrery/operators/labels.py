@@ -152,16 +152,26 @@ def align_labels(barcodes: DataFrame, labels: DataFrame, key: str = "barcode") -
 
 
 def permutation(names: DataFrame, targets: DataFrame, name: str, at: str) -> DataFrame:
-    """name, source_at, target_at: where each name of one axis stands in the other; the sets must be equal. Null marks what either lacks."""
-    a = names.select(F.col(name).alias("name"), F.col(at).alias("source_at"))
-    b = targets.select(F.col(name).alias("name"), F.col(at).alias("target_at"))
-    return a.join(b, "name", "full_outer")
-
-
-def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default) -> DataFrame:
-    """df with value from a small table, default where the key has none."""
-    small = table.select(F.col(key), F.col(value))
-    return df.join(small, key, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
+    """name, source_at, target_at: where each name of one axis stands in the other. A name that either side lacks or repeats
+    is an error when the result is read, as a row for a row cannot be had then."""
+    a = names.groupBy(F.col(name).alias("name")).agg(F.first(at).alias("source_at"), F.count("*").alias("n1"))
+    b = targets.groupBy(F.col(name).alias("name")).agg(F.first(at).alias("target_at"), F.count("*").alias("n2"))
+    both = a.join(b, "name", "full_outer")
+    good = F.col("name").isNotNull() & F.coalesce((F.col("n1") == 1) & (F.col("n2") == 1), F.lit(False))
+    kind = dict(both.dtypes)["name"]
+    return both.select(F.when(good, F.col("name")).otherwise(F.raise_error(F.lit("the axes do not have the same names once each")).cast(kind)).alias("name"), "source_at", "target_at")
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str, default=None, strict: bool = False) -> DataFrame:
+    """df with value from a table, default where the key has none; strict: that is an error when the result is read.
+    So is a key that the table repeats."""
+    once = table.groupBy(F.col(key).alias("lookup_key")).agg(F.first(value).alias("found"), F.count("*").alias("times"))
+    kind = dict(table.dtypes)[value]
+    wrong = lambda text: F.raise_error(F.lit(text)).cast(kind)
+    missing = wrong("a key is not in the table") if strict else F.lit(default).cast(kind)
+    joined = df.join(once, df[key] == once["lookup_key"], "left")
+    shown = F.when(F.col("times") > 1, wrong("a key is in the table more than once")).when(F.col("times").isNull(), missing).otherwise(F.coalesce("found", F.lit(default).cast(kind)) if default is not None else F.col("found"))
+    return joined.withColumn(value, shown).drop("lookup_key", "found", "times")
 
 
 def crosswalk(specimens: DataFrame, donors: DataFrame) -> DataFrame:

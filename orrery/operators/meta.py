@@ -114,18 +114,37 @@ def variance_by_axis(grid: DataFrame, axes: list[str], value: str) -> DataFrame:
     return out
 
 
+# Bounds of the two verdicts.
+STABLE_SHARE, STABLE_MEDIAN, FRAGILE_SHARE, FRAGILE_MEDIAN = 0.80, 0.30, 0.50, 0.10
+WEAKENED, CONFOUNDED = 0.5, 0.2
+
+
 def stability(grid: DataFrame, value: str = "delta") -> DataFrame:
-    """Whether an effect keeps its sign over a parameter grid: n, n_positive, share, verdict."""
-    counts = grid.agg(F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("n_positive"))
-    share = F.try_divide(F.greatest("n_positive", F.col("n") - F.col("n_positive")).cast("double"), F.col("n"))
-    return counts.select("n", "n_positive", share.alias("share"), F.when(share >= 0.95, "stable").when(share >= 0.75, "mostly_stable").otherwise("unstable").alias("verdict"))
+    """n, share, median, verdict: whether an effect holds over a parameter grid. share is that of positive effects.
+
+    stable: more than STABLE_SHARE are positive and the median is beyond STABLE_MEDIAN of zero; fragile: fewer than
+    FRAGILE_SHARE are, or the median is within FRAGILE_MEDIAN; else partly fragile. Null effects count as no run.
+    """
+    counts = grid.agg(F.count(value).alias("n"), F.count_if(F.col(value) > 0).alias("n_positive"), F.percentile(value, F.lit(0.5)).alias("median"))
+    share = F.try_divide(F.col("n_positive").cast("double"), F.col("n"))
+    stable = (share > STABLE_SHARE) & (F.abs("median") > STABLE_MEDIAN)
+    fragile = (share < FRAGILE_SHARE) | (F.abs("median") < FRAGILE_MEDIAN)
+    return counts.select("n", share.alias("share"), "median", F.when(F.col("n") > 0, F.when(stable, "stable").when(fragile, "fragile").otherwise("partly fragile")).alias("verdict"))
+
 
+def batch_verdict(effects: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """keys, original, corrected, random, depth, drop, verdict, for effects (keys, method, delta) with one of these four methods;
+    several random embeddings count by their mean.
 
-def batch_verdict(effects: DataFrame, original: str = "original", keep: float = 0.5) -> DataFrame:
-    """method, delta, verdict: against the original embedding's effect, whether another's survives, weakens or flips."""
-    base = effects.where(F.col("method") == original).select(F.col("delta").alias("base"))
-    ratio = F.try_divide("delta", "base")
-    return effects.where(F.col("method") != original).crossJoin(F.broadcast(base)).select("method", "delta", F.when(ratio < 0, "flips").when(ratio >= keep, "survives").otherwise("weakens").alias("verdict"))
+    KILLED: the corrected embedding's effect has another sign; WEAKENED: its size falls by half or more; NULL-MATCHED: that of
+    random embeddings is beyond CONFOUNDED; DEPTH-CONFOUNDED: that of sequencing depth alone is, with the original's sign;
+    else SURVIVES. An original effect of zero has no drop.
+    """
+    one = effects.groupBy(*keys).agg(*(F.avg(F.when(F.col("method") == m, F.col("delta"))).alias(m) for m in ("original", "corrected", "random", "depth")))
+    one = one.withColumn("drop", F.try_divide(F.abs("original") - F.abs("corrected"), F.abs("original")))
+    flips = F.signum("original") != F.signum("corrected")
+    verdict = F.when(flips, "KILLED").when(F.col("drop") >= WEAKENED, "WEAKENED").when(F.abs("random") > CONFOUNDED, "NULL-MATCHED")
+    return one.withColumn("verdict", verdict.when((F.abs("depth") > CONFOUNDED) & (F.signum("depth") == F.signum("original")), "DEPTH-CONFOUNDED").otherwise("SURVIVES"))
 
 
 def against_random(observed: DataFrame, random: DataFrame, value: str = "delta") -> DataFrame:

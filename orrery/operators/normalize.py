@@ -51,19 +51,19 @@ def log_normalised_lenient(counts: DataFrame, target: float = 1e4) -> DataFrame:
 
 
 def gene_moments(values: DataFrame, n_cells: int | None = None) -> DataFrame:
-    """gene, mean, var: population moments over all cells, absent ones as zero."""
+    """gene, mean, var: population moments over all cells, absent ones as zero. n_cells: all cells, if some have no row in values."""
     sums = values.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     total = values.agg(F.count_distinct("cell").alias("n")) if n_cells is None else values.sparkSession.createDataFrame([(n_cells,)], "n long")
     mean = F.col("s") / F.col("n")
     return sums.crossJoin(F.broadcast(total)).select("gene", mean.alias("mean"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)).alias("var"))
 
 
-def variable_genes(values: DataFrame, n: int = 2000) -> DataFrame:
-    """The n genes of the largest variance, ties to the lesser gene."""
-    return gene_moments(values).orderBy(F.desc("var"), "gene").limit(n)
+def variable_genes(values: DataFrame, n: int = 2000, n_cells: int | None = None) -> DataFrame:
+    """The n genes of the largest variance, to 9 places, ties to the lesser gene. n_cells: all cells, if some have none of the genes."""
+    return gene_moments(values, n_cells).orderBy(F.desc(F.round("var", 9)), "gene").limit(n)
 
 
-def dispersed_genes(values: DataFrame, n: int = 2000, flavour: str = "seurat", bins: int = 20) -> DataFrame:
+def dispersed_genes(values: DataFrame, n: int = 2000, flavour: str = "seurat", bins: int = 20, n_cells: int | None = None) -> DataFrame:
     """gene, dispersion: the n genes of the largest dispersion, normalised within bins of the mean.
 
     seurat: equal-width bins of ln(1 + mean), by mean and standard deviation of the log dispersion (a bin of one gene: 0
@@ -71,7 +71,7 @@ def dispersed_genes(values: DataFrame, n: int = 2000, flavour: str = "seurat", b
     """
     from .labels import quantile_bin
 
-    m = gene_moments(values).where("mean > 0").select("gene", ln1p(F.col("mean")).alias("m"), F.col("mean").alias("raw"), (F.col("var") / F.col("mean")).alias("d"))
+    m = gene_moments(values, n_cells).where("mean > 0").select("gene", ln1p(F.col("mean")).alias("m"), F.col("mean").alias("raw"), (F.col("var") / F.col("mean")).alias("d"))
     if flavour == "seurat":
         span = m.agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
         width = F.try_divide(F.col("hi") - F.col("lo"), F.lit(float(bins)))
@@ -86,11 +86,19 @@ def dispersed_genes(values: DataFrame, n: int = 2000, flavour: str = "seurat", b
     return b.join(stats, "bin").select("gene", F.coalesce(score, F.lit(0.0)).alias("dispersion")).orderBy(F.desc("dispersion"), "gene").limit(n)
 
 
-def scaled(values: DataFrame, bound: float = 10.0, ddof: int = 0) -> DataFrame:
-    """cell, gene, value: each gene centred and divided by its standard deviation over the rows given (0 if that is 0), clipped."""
-    by = Window.partitionBy("gene")
-    spread = F.stddev_pop("value").over(by) if ddof == 0 else F.stddev_samp("value").over(by)
-    return values.select("cell", "gene", clip(F.coalesce(F.try_divide(F.col("value") - F.avg("value").over(by), spread), F.lit(0.0)), bound).alias("value"))
+def scaled(values: DataFrame, bound: float = 10.0, ddof: int = 0, cells: DataFrame | None = None) -> DataFrame:
+    """cell, gene, value for every cell and gene: centred on the gene's mean over all cells and divided by its standard deviation
+    (0 if that is 0), clipped. What is absent is zero, and has a value here. cells: all cells, if some have no row in values.
+    """
+    whole = (values if cells is None else cells).select("cell").distinct()
+    n = whole.agg(F.count("*").alias("n"))
+    means = values.groupBy("gene").agg(F.sum("value").alias("s"), F.count("*").alias("present")).crossJoin(F.broadcast(n)).withColumn("mean", F.col("s") / F.col("n"))
+    apart = values.join(means.select("gene", "mean"), "gene").groupBy("gene").agg(F.sum((F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean"))).alias("squares"))
+    spread = F.sqrt(F.try_divide(F.col("squares") + (F.col("n") - F.col("present")) * F.col("mean") * F.col("mean"), F.col("n") - ddof))
+    # less than this is what rounding makes of equal values
+    stats = means.join(apart, "gene").select("gene", "mean", F.when(spread > 1e-12 * F.abs("mean"), spread).alias("sd"))
+    dense = whole.crossJoin(stats).join(values.select("cell", "gene", "value"), ["cell", "gene"], "left")  # the result has all pairs
+    return dense.select("cell", "gene", clip(F.coalesce((F.coalesce("value", F.lit(0.0)) - F.col("mean")) / F.col("sd"), F.lit(0.0)), bound).alias("value"))
 
 
 def vectors(values: DataFrame, genes: list) -> DataFrame:
@@ -168,12 +176,36 @@ def rolling_mean(df: DataFrame, keys: list[str], order: str, value: str, window:
     return df.withColumn("smooth", F.avg(value).over(by))
 
 
+def smoothing_weights(genes: DataFrame, window: int = 100) -> DataFrame:
+    """gene, arm, weight: what each gene's value counts for in the average, over an arm, of its moving average (moving_average).
+
+    Both are linear, so an arm's average can be taken of the values themselves. genes: gene, arm, start.
+    """
+    by = Window.partitionBy("arm").orderBy("start", "gene")
+    placed = genes.select("gene", "arm", "start", F.row_number().over(by).alias("i"), F.count("*").over(Window.partitionBy("arm")).alias("n"))
+    placed = placed.withColumn("w", F.least(F.lit(window), F.col("n")).cast("int")).withColumn("late", F.col("w") % 2)  # the odd case is one row late, and has one output less
+    outputs = placed.where(F.col("i") <= F.col("n") - F.col("late"))
+    read = outputs.select("arm", "n", "w", "late", F.explode(F.sequence(F.col("i") + F.col("late") - F.floor((F.col("w") - 1) / 2).cast("int"), F.col("i") + F.col("late") + F.floor(F.col("w") / 2).cast("int"))).alias("at"))
+    counts = read.groupBy("arm", F.least(F.greatest("at", F.lit(1)), F.col("n")).cast("int").alias("i"), "n", "w", "late").agg(F.count("*").alias("c"))
+    weights = counts.select("arm", "i", (F.col("c") / (F.col("w") * (F.col("n") - F.col("late")))).alias("weight"))
+    return placed.select("gene", "arm", "i").join(weights, ["arm", "i"]).select("gene", "arm", "weight")
+
+
 def arm_scores(values: DataFrame, genes: DataFrame, reference: DataFrame, window: int = 100, bound: float = 3.0) -> DataFrame:
     """cell, arm, score: copy-number scores. values: cell, gene, value; genes: gene, arm, start; reference: cells.
 
-    Each gene is centred on the reference cells' mean and clipped; a cell's genes are smoothed along each arm and averaged.
+    Each gene is centred on the mean of all reference cells and clipped; a cell's genes are smoothed along each arm and
+    averaged. What is absent is zero and counts as such: a cell's score is that of a cell without counts plus what its present
+    genes change in it, so the dense matrix is never made. Genes that values has not are left out.
     """
-    placed = values.join(F.broadcast(genes.dropDuplicates(["gene"])), "gene")
-    base = placed.join(F.broadcast(reference.select("cell")), "cell", "left_semi").groupBy("gene").agg(F.avg("value").alias("base"))
-    centred = placed.join(base, "gene").withColumn("value", clip(F.col("value") - F.col("base"), bound))
-    return moving_average(centred.select("cell", "arm", "start", "value"), ["cell", "arm"], "start", "value", window).groupBy("cell", "arm").agg(F.avg("smooth").alias("score"))
+    here = genes.dropDuplicates(["gene"]).join(values.select("gene").distinct(), "gene", "left_semi")
+    asked = reference.select("cell").distinct()
+    total = asked.agg(F.count("*").alias("n_reference"))
+    base = values.join(asked, "cell", "left_semi").groupBy("gene").agg(F.sum("value").alias("s"))
+    known = smoothing_weights(here, window).join(base, "gene", "left").crossJoin(F.broadcast(total)).select("gene", "arm", "weight", F.coalesce(F.col("s") / F.col("n_reference"), F.lit(0.0)).alias("base"))
+    empty = clip(-F.col("base"), bound)
+    arms = known.groupBy("arm").agg(F.sum(F.col("weight") * empty).alias("of_none"))
+    change = F.col("weight") * (clip(F.col("value") - F.col("base"), bound) - empty)
+    present = values.join(known, "gene").groupBy("cell", "arm").agg(F.sum(change).alias("change"))
+    every = values.select("cell").distinct().crossJoin(F.broadcast(arms))  # some 40 arms
+    return every.join(present, ["cell", "arm"], "left").select("cell", "arm", (F.col("of_none") + F.coalesce("change", F.lit(0.0))).alias("score"))

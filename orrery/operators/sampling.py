@@ -87,8 +87,9 @@ def random_panels(genes: DataFrame, gene: str, size: int, panels: int, seed: int
 
 def gaussian_null(ids: DataFrame, id_col: str, dims: int, seed: int = 0) -> DataFrame:
     """id, embedding: independent normal coordinates, by the hash of id and axis, so that rows keep theirs wherever they are."""
+
     def uniform(j, which):
-        return (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), j, F.lit(which)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+        return (F.conv(F.substring(draw(seed, f"null-{which}", F.col(id_col), j), 1, 13), 16, 10).cast("bigint") + 0.5) / F.lit(float(1 << 52))
 
     axes = F.sequence(F.lit(1), F.lit(dims))
     return ids.select(id_col, F.transform(axes, lambda j: F.sqrt(-2 * F.log(uniform(j, 1))) * F.cos(2 * F.pi() * uniform(j, 2))).alias("embedding"))

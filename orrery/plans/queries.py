@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 PLACES = 6
+#: More genes than any genome has.
+ALL_GENES = 1_000_000
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -286,18 +288,24 @@ def variance_by_axis(spark, sf_dir):
     return meta.variance_by_axis(g, ["p_brand", "size_class"], "delta")
 
 
-@query(f"with c as (select count(*) as n, count(*) filter (where delta > 0) as n_positive from ({EST})), s as (select *, greatest(n_positive, n - n_positive) / n as share from c) select n, n_positive, share, case when share >= 0.95 then 'stable' when share >= 0.75 then 'mostly_stable' else 'unstable' end as verdict from s", "n n_positive *share verdict")
+@query("""
+select n, n_positive / n as share, median, case when n_positive / n > 0.80 and abs(median) > 0.30 then 'stable' when n_positive / n < 0.50 or abs(median) < 0.10 then 'fragile' else 'partly fragile' end as verdict
+from (select count(d) as n, count(*) filter (where d > 0) as n_positive, median(d) as median from (select p_brand, p_size % 4 as k, avg(p_retailprice) / 1000 - 1.2 as d from part group by all))
+""", "n *share *median verdict")
 def sign_stability(spark, sf_dir):
-    return meta.stability(estimable(spark, sf_dir))
+    runs = table(spark, sf_dir, "part").groupBy("p_brand", (F.col("p_size") % 4).alias("k")).agg((F.avg("p_retailprice") / 1000 - 1.2).alias("delta"))
+    return meta.stability(runs)
 
 
 @query("""
-with e as (select l_shipdate is not null as x, l_returnflag as method, avg(l_discount) - 0.05 as delta from lineitem group by all)
-select e.method, e.delta, case when e.delta / nullif(o.delta, 0) < 0 then 'flips' when e.delta / nullif(o.delta, 0) >= 0.5 then 'survives' else 'weakens' end as verdict from e, (select delta from e where method = 'A') o where e.method <> 'A'
-""", "method *delta verdict")
+with e as (select p_brand as cohort, p_size % 6 as m, avg(p_retailprice) / 1000 - 1.45 as d from part group by all),
+w as (select cohort, avg(d) filter (where m = 0) as original, avg(d) filter (where m = 1) as corrected, avg(d) filter (where m between 2 and 4) as random, avg(d) filter (where m = 5) as depth from e group by cohort)
+select *, (abs(original) - abs(corrected)) / abs(original) as drop, case when sign(original) <> sign(corrected) then 'KILLED' when (abs(original) - abs(corrected)) / abs(original) >= 0.5 then 'WEAKENED' when abs(random) > 0.2 then 'NULL-MATCHED' when abs(depth) > 0.2 and sign(depth) = sign(original) then 'DEPTH-CONFOUNDED' else 'SURVIVES' end as verdict from w
+""", "cohort *original *corrected *random *depth *drop verdict")
 def batch_verdict(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("method")).agg((F.avg("l_discount") - 0.05).alias("delta"))
-    return meta.batch_verdict(e, "A")
+    e = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("cohort"), (F.col("p_size") % 6).alias("m")).agg((F.avg("p_retailprice") / 1000 - 1.45).alias("delta"))
+    names = F.when(F.col("m") == 0, "original").when(F.col("m") == 1, "corrected").when(F.col("m") == 5, "depth").otherwise("random")
+    return meta.batch_verdict(e.withColumn("method", names), ["cohort"])
 
 
 @query(f"with r as (select avg(delta) as mean, stddev_samp(delta) as std, quantile_cont(delta, 0.025) as lo, quantile_cont(delta, 0.975) as hi from ({EST})) select 0.1 as value, mean, std, lo, hi, (0.1 - mean) / std as z, 0.1 between lo and hi as inside from r", "*value *mean *std *lo *hi *z inside")
@@ -328,10 +336,13 @@ t as (select *, row_number() over (partition by user_id, event_type order by {h(
 k as (select *, case when event_type = 'purchase' then 'a' else 'b' end as arm from t where r <= 20),
 x as (select *, row_number() over (order by {h('surplus', 'event_id')}, event_id) as pos from k where r > 10)
 select user_id as patient, event_id as id, arm from k where r <= 10
-union all select user_id, event_id, arm from x where pos <= (select case when count(*) <= 2500 then count(*) else 2500 - count(*) filter (where r <= 10) end from k)
+union all select user_id, event_id, arm from x where pos <= (select case when count(*) <= 25 * count(distinct user_id) then count(*) else 25 * count(distinct user_id) - count(*) filter (where r <= 10) end from k)
 """, "patient id arm")
 def stratified_minima(spark, sf_dir):
-    return sampling.stratified_minima_first(scores(spark, sf_dir), "user_id", "event_id", is_a(), is_b(), 10, 20, 2500)
+    """A total of 25 cells a patient that has enough, between the minima (20) and the caps (40)."""
+    rows = scores(spark, sf_dir)
+    patients = labels.qualifying(rows, "user_id", is_a(), is_b(), 10).where("qualifies").count()
+    return sampling.stratified_minima_first(rows, "user_id", "event_id", is_a(), is_b(), 10, 20, 25 * patients)
 
 
 
@@ -417,36 +428,37 @@ def gene_variance(spark, sf_dir):
     return normalize.gene_moments(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5))
 
 
-@query(f"select gene, var from (select gene, round(var, 9) as v9, var from ({MOMENTS})) order by v9 desc, gene limit 200", "gene *var")
+@query(f"select gene, mean, var from (select gene, mean, round(var, 9) as v9, var from ({MOMENTS})) order by v9 desc, gene limit 200", "gene *mean *var")
 def hvg_topk(spark, sf_dir):
-    m = normalize.gene_moments(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5))
-    return m.orderBy(F.desc(F.round("var", 9)), "gene").limit(200).select("gene", "var")
+    return normalize.variable_genes(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5), 200)
 
 
-@query(f"with v as ({LOGN}), s as (select gene, avg(value) as m, stddev_pop(value) as d from v group by gene) select cell, gene, least(greatest(coalesce((value - m) / nullif(d, 0), 0), -2), 2) as value from v join s using (gene) where gene % 100 = 0", "cell gene *value")
+@query(f"""
+with v as ({LOGN}), c as (select distinct cell from v), d as (select c.cell, g.gene, coalesce(v.value, 0) as value from c cross join (select distinct gene from v) g left join v on v.cell = c.cell and v.gene = g.gene),
+s as (select gene, avg(value) as m, stddev_pop(value) as sd from d group by gene)
+select cell, gene, least(greatest(case when sd > 1e-12 * abs(m) then (value - m) / sd else 0 end, -2), 2) as value from d join s using (gene)
+""", "cell gene *value")
 def gene_scaled(spark, sf_dir):
-    return normalize.scaled(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5).where("gene % 100 = 0"), 2.0)
+    return normalize.scaled(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5), 2.0)
 
 
 @query(f"""
 with m as (select gene, mean, var / mean as d from ({MOMENTS}) where mean > 0), q as (select quantile_cont(mean, [i / 20.0 for i in range(1, 20)]) as e from m),
 b as (select gene, d, len(list_filter(e, lambda x: x <= mean)) as bin from m, q), c as (select bin, median(d) as c from b group by bin),
 s as (select bin, c, median(abs(d - c)) as s from b join c using (bin) group by all)
-select count(*) as n, sum(x) as total from (select coalesce((d - c) / nullif(s, 0), 0) as x from b join s using (bin) order by 1 desc limit 300)
-""", "n *total")
+select gene, coalesce((d - c) / nullif(s, 0), 0) as dispersion from b join s using (bin)
+""", "gene *dispersion")
 def dispersion_cell_ranger(spark, sf_dir):
-    top = normalize.dispersed_genes(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5), 300, "cell_ranger")
-    return top.agg(F.count("*").alias("n"), F.sum("dispersion").alias("total"))
+    return normalize.dispersed_genes(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5), ALL_GENES, "cell_ranger")
 
 
 @query(f"""
 with m as (select gene, ln(1 + mean) as m, ln(var / mean) as d from ({MOMENTS}) where mean > 0 and var > 0), r as (select min(m) as lo, max(m) as hi from m),
 b as (select gene, d, least(coalesce(floor((m - lo) / nullif((hi - lo) / 20, 0)), 0), 19) as bin from m, r), s as (select bin, avg(d) as c, stddev_samp(d) as s from b group by bin)
-select count(*) as n, sum(x) as total from (select case when s is null then 1 else coalesce((d - c) / nullif(s, 0), 0) end as x from b join s using (bin) order by 1 desc limit 300)
-""", "n *total")
+select gene, case when s is null then 1 else coalesce((d - c) / nullif(s, 0), 0) end as dispersion from b join s using (bin)
+""", "gene *dispersion")
 def dispersion_seurat(spark, sf_dir):
-    top = normalize.dispersed_genes(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5), 300, "seurat")
-    return top.agg(F.count("*").alias("n"), F.sum("dispersion").alias("total"))
+    return normalize.dispersed_genes(normalize.log_normalised(counts(spark, sf_dir), 1e6, 5), ALL_GENES, "seurat")
 
 
 @query(f"select cell, ln(1 + sum(value)) as depth from {C} group by cell", "cell *depth")
@@ -474,10 +486,10 @@ def rolling_mean(spark, sf_dir):
     return out.select("p_partkey", (F.col("smooth") + 1e-9).alias("smooth"))
 
 
-@query("select s_suppkey as bin, s_acctbal as x_1, c_acctbal as x_2 from supplier full outer join (select c_custkey, c_acctbal from customer where c_custkey % 20 = 0) on s_suppkey = c_custkey where s_suppkey is not null union all select c_custkey, null, c_acctbal from customer where c_custkey % 20 = 0 and c_custkey not in (select s_suppkey from supplier)", "bin *x_1 *x_2")
+@query("select coalesce(s_suppkey, c_custkey) as bin, s_acctbal as x_1, c_acctbal as x_2 from supplier full outer join customer on s_suppkey = c_custkey", "bin *x_1 *x_2")
 def both_maps(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("bin"), F.col("s_acctbal").alias("x"))
-    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("bin"), F.col("c_acctbal").alias("x"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bin"), F.col("c_acctbal").alias("x"))
     return labels.both_maps(s, c, "bin", "x")
 
 
@@ -498,11 +510,11 @@ def excluded_specimens(spark, sf_dir):
     return labels.without_specimens(o, "specimen", table(spark, sf_dir, "supplier").select("s_suppkey")).select("o_orderkey")
 
 
-@query("select s_name as name, s_suppkey as source_at, n.n_nationkey as target_at from supplier s left join nation n on s.s_name = 'Supplier#' || lpad(cast(n.n_nationkey as varchar), 9, '0') union all select 'Supplier#' || lpad(cast(n_nationkey as varchar), 9, '0'), null, n_nationkey from nation where 'Supplier#' || lpad(cast(n_nationkey as varchar), 9, '0') not in (select s_name from supplier)", "name source_at target_at")
+@query("select c_name as name, c_custkey as source_at, row_number() over (order by c_acctbal desc, c_custkey) as target_at from customer", "name source_at target_at")
 def axis_permutation(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("k"), F.col("s_suppkey").alias("at"))
-    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("Supplier#"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("k"), F.col("n_nationkey").alias("at"))
-    return labels.permutation(s, n, "k", "at")
+    c = table(spark, sf_dir, "customer")
+    placed = c.withColumn("at", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("bigint"))  # the test's other axis
+    return labels.permutation(c.select(F.col("c_name").alias("k"), F.col("c_custkey").alias("at")), placed.select(F.col("c_name").alias("k"), "at"), "k", "at")
 
 
 # Labels
@@ -811,7 +823,13 @@ def connected_components(spark, sf_dir):
     return graph.components(shops(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")))
 
 
-@query()
+@query(f"""
+with recursive e as (select u, v from {graph_sql(8)}), i as (select u as n, v as o from e union all select v, u from e), d as (select n, count(*) as degree from i group by n),
+t as (select a.n, count(*) / 2 as t from i a join i b on a.n = b.n and a.o <> b.o join i c on c.n = a.o and c.o = b.o group by a.n),
+c as (select sum(coalesce(coalesce(t, 0) / nullif(degree * (degree - 1) / 2.0, 0), 0)) as s from d left join t on t.n = d.n),
+reach as (select vec_id as id, vec_id as c from embeddings union select i.o, reach.c from reach join i on i.n = reach.id)
+select (select count(*) from embeddings) as n_nodes, (select count(*) from e) as n_edges, 2.0 * (select count(*) from e) / (select count(*) from embeddings) as mean_degree, (select s from c) / (select count(*) from embeddings) as mean_clustering, (select count(distinct m) from (select id, min(c) as m from reach group by id)) as n_components
+""", "n_nodes n_edges *mean_degree *mean_clustering n_components")
 def graph_summary(spark, sf_dir):
     return graph.graph_summary(cells(spark, sf_dir).select(F.col("vec_id").alias("id")), pinned(knn(spark, sf_dir, 8), "edges"))
 
@@ -972,18 +990,41 @@ def pca_embedding(spark, sf_dir):
     return out.select("cell", F.sqrt(F.aggregate("pcs", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
 
 
-@query()
+@query(f"""
+with v as ({LOGN}), g as (select p_partkey as gene, p_brand as arm, row_number() over (partition by p_brand order by p_partkey) as i, count(*) over (partition by p_brand) as n from part where p_partkey in (select gene from v)),
+d as (select c.cell, g.gene, g.arm, g.i, g.n, coalesce(v.value, 0) as value from (select distinct cell from v) c cross join g left join v on v.cell = c.cell and v.gene = g.gene),
+b as (select gene, avg(value) as base from d where cell % 4 = 0 group by gene),
+x as (select cell, arm, list(least(greatest(value - base, -3), 3) order by i) as xs, any_value(n) as n, least(any_value(n), 100) as w from d join b using (gene) group by cell, arm),
+o as (select cell, arm, list_transform(range(1, n - w % 2 + 1), lambda k: list_avg(list_transform(range(k + w % 2 - (w - 1) // 2, k + w % 2 + w // 2 + 1), lambda j: xs[least(greatest(j, 1), n)]))) as smooth from x)
+select cell, arm, list_avg(smooth) as score from o
+""", "cell arm *score")
 def arm_copy_number(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("arm"), F.col("p_partkey").alias("start"))
     v = normalize.log_normalised(counts(spark, sf_dir), 1e6, 5)
     return normalize.arm_scores(v, p, v.where("cell % 4 = 0").select("cell").distinct())
 
 
-@query()
+SIGNATURE = f"""
+with v as ({LOGN}), p as (select case p_partkey % 40 when 0 then 'alpha' when 1 then 'beta' else 'gamma' end as panel, p_partkey % 40 as ord, p_partkey as gene from part where p_partkey % 40 < 3),
+m as (select gene, round(mean, 9) as mean from ({MOMENTS})), q as (select quantile_cont(mean, [i / 25.0 for i in range(1, 25)]) as e from m),
+b as (select gene, len(list_filter(e, lambda x: x <= mean)) as bin from m, q),
+k as (select panel, gene, row_number() over (partition by panel, bin order by {h('controls', 'gene')}, gene) as r from (
+    select w.panel, b.gene, b.bin from (select distinct panel, bin from p join b using (gene)) w join b using (bin) where not exists (select 1 from p where p.panel = w.panel and p.gene = b.gene))),
+s as (select panel, ord, gene, 1 as own from p where gene in (select gene from v) union all select k.panel, o.ord, gene, 0 from k join (select distinct panel, ord from p) o using (panel) where r <= 50),
+z as (select panel, ord, own, count(*) as size from s group by all),
+f as (select c.cell, z.panel, z.ord, z.own, coalesce(t.s, 0) / z.size as score from (select distinct cell from v) c cross join z left join (select cell, panel, own, sum(value) as s from v join s using (gene) group by all) t on t.cell = c.cell and t.panel = z.panel and t.own = z.own),
+d as (select cell, panel, ord, max(score) filter (where own = 1) - coalesce(max(score) filter (where own = 0), 0) as score from f group by all),
+r as (select *, row_number() over (partition by cell order by score desc, ord) as r from d),
+t as (select cell, max(panel) filter (where r = 1) as panel, max(score) filter (where r = 1) as top, max(score) filter (where r = 2) as second from r group by cell)
+select cell, case when top > 0 and top - second >= 0.05 then panel else 'Unknown' end as label, top, second from t
+"""
+
+
+@query(SIGNATURE, "cell label *top *second")
 def signature_labels(spark, sf_dir):
     v = normalize.log_normalised(counts(spark, sf_dir), 1e6, 5)
     p = panels(spark, sf_dir)
-    level = normalize.gene_moments(v).select("gene", F.col("mean"))
+    level = normalize.gene_moments(v).select("gene", F.round("mean", 9).alias("mean"))
     controls = None
     for name, _, _ in PANELS:
         one = sampling.control_genes(level, "gene", "mean", p.where(F.col("panel") == name)).select(F.lit(name).alias("panel"), "gene")

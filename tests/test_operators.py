@@ -2,10 +2,11 @@ import gzip
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import effects, gates, graph, meta, models, normalize, sampling
+from orrery.operators import effects, gates, graph, labels, meta, models, normalize, sampling
 from orrery.sources import counts, results
 
 def arm():
@@ -207,3 +208,71 @@ def test_publication(tmp_path):
     results.write_json(f"{attempt}/r.json", {"a": 2})
     with pytest.raises(results.ResultError, match="changed"):
         pub.accepted()
+
+
+def dense(spark, seed=1, cells=12, genes=30):
+    """A sparse table and its matrix, a gene and a cell without counts included."""
+    rng = np.random.default_rng(seed)
+    x = rng.poisson(0.6, (cells, genes)).astype(float) * rng.uniform(0.5, 2, genes)
+    x[:, 3], x[5] = 0, 0
+    rows = [(i, j, float(x[i, j])) for i in range(cells) for j in range(genes) if x[i, j]]
+    return x, spark.createDataFrame(rows, "cell long, gene long, value double"), spark.range(cells).withColumnRenamed("id", "cell")
+
+
+@pytest.mark.parametrize("ddof", [0, 1])
+def test_scaling_against_the_dense_matrix(spark, ddof):
+    x, values, cells = dense(spark)
+    has = [j for j in range(x.shape[1]) if x[:, j].any()]
+    z = np.clip((x - x.mean(axis=0)) / np.where(x.std(axis=0, ddof=ddof) > 0, x.std(axis=0, ddof=ddof), 1), -1.5, 1.5)
+    got = {(r.cell, r.gene): r.value for r in normalize.scaled(values, 1.5, ddof, cells).collect()}
+    assert got.keys() == {(i, j) for i in range(len(x)) for j in has}
+    assert all(got[i, j] == pytest.approx(z[i, j], abs=1e-9) for i, j in got)
+
+
+@pytest.mark.parametrize("window", [3, 4, 7, 100])
+def test_copy_number_against_the_dense_matrix(spark, window):
+    x, values, _ = dense(spark)
+    x = np.delete(x, 5, axis=0)  # has no row in the table
+    cells = [c for c in range(12) if c != 5]
+    has = [j for j in range(30) if x[:, j].any()]
+    genes = spark.createDataFrame([(j, "pq"[j % 2], 100 - j) for j in range(30)], "gene long, arm string, start long")
+    got = {(r.cell, r.arm): r.score for r in normalize.arm_scores(values, genes, spark.createDataFrame([(0,), (2,), (4,)], "cell long"), window, 0.8).collect()}
+    base = x[[cells.index(c) for c in (0, 2, 4)]].mean(axis=0)
+    for arm in "pq":
+        mine = [j for j in sorted(has, reverse=True) if "pq"[j % 2] == arm]
+        centred = np.clip(x[:, mine] - base[mine], -0.8, 0.8)
+        n, w = len(mine), min(window, len(mine))
+        late = w % 2
+        outputs = [[min(max(j, 1), n) - 1 for j in range(i + late - (w - 1) // 2, i + late + w // 2 + 1)] for i in range(1, n + 1 - late)]
+        score = np.mean([centred[:, o].mean(axis=1) for o in outputs], axis=0)
+        assert [got[c, arm] for c in cells] == pytest.approx(score.tolist(), abs=1e-9)
+
+
+def test_axes_must_have_the_same_names_once(spark):
+    one = spark.createDataFrame([("a", 0), ("b", 1)], "k string, at long")
+    assert {tuple(r) for r in labels.permutation(one, spark.createDataFrame([("b", 5), ("a", 6)], "k string, at long"), "k", "at").collect()} == {("a", 0, 6), ("b", 1, 5)}
+    for other in ([("a", 0)], [("a", 0), ("b", 1), ("c", 2)], [("a", 0), ("b", 1), ("b", 2)]):
+        for pair in ((one, spark.createDataFrame(other, "k string, at long")), (spark.createDataFrame(other, "k string, at long"), one)):
+            with pytest.raises(Exception, match="same names"):
+                labels.permutation(*pair, "k", "at").collect()
+
+
+def test_lookups_are_strict_about_repeated_and_missing_keys(spark):
+    df = spark.createDataFrame([("a",), ("z",), (None,)], "k string")
+    once, twice = spark.createDataFrame([("a", 1)], "k string, v long"), spark.createDataFrame([("a", 1), ("a", 2)], "k string, v long")
+    assert {tuple(r) for r in labels.lookup(df, once, "k", "v", 0).collect()} == {("a", 1), ("z", 0), (None, 0)}
+    with pytest.raises(Exception, match="not in the table"):
+        labels.lookup(df, once, "k", "v", strict=True).collect()
+    with pytest.raises(Exception, match="more than once"):
+        labels.lookup(df, twice, "k", "v", 0).collect()
+
+
+@pytest.mark.parametrize("deltas, verdict", [([0.4] * 9 + [-0.1], "stable"), ([0.4] * 8 + [-0.1] * 2, "partly fragile"), ([0.2] * 10, "partly fragile"), ([0.05] * 10, "fragile"), ([0.4] * 4 + [-0.4] * 6, "fragile"), ([-0.5] * 10, "fragile")])
+def test_stability(spark, deltas, verdict):
+    assert meta.stability(spark.createDataFrame([(d,) for d in deltas], "delta double")).first().verdict == verdict
+
+
+@pytest.mark.parametrize("four, verdict", [((0.5, -0.1, 0.0, 0.0), "KILLED"), ((0.5, 0.25, 0.3, 0.3), "WEAKENED"), ((0.5, 0.4, -0.3, 0.3), "NULL-MATCHED"), ((0.5, 0.4, 0.1, 0.3), "DEPTH-CONFOUNDED"), ((0.5, 0.4, 0.1, -0.3), "SURVIVES"), ((0.0, 0.0, 0.1, 0.1), "SURVIVES")])
+def test_batch_verdicts(spark, four, verdict):
+    rows = list(zip(("original", "corrected", "random", "depth"), four)) + [("random", four[2] + 0.01), ("random", four[2] - 0.01)]
+    assert meta.batch_verdict(spark.createDataFrame(rows, "method string, delta double")).first().verdict == verdict
