@@ -28,7 +28,8 @@ def brute(rows):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             ids[root(i)] = min(d, ids.get(root(i), d))
-    return sorted(((d, len(found[i]), ids.get(root(i)) if found[i] else d) for i, (d, _) in enumerate(rows)), key=repr)
+    links = [sum(j != i and bool(f) and 100 * len(f & g) >= 75 * len(f | g) for j, g in enumerate(found)) for i, f in enumerate(found)]
+    return sorted(((d, len(found[i]), ids.get(root(i)) if found[i] else d, links[i]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 def corpus(seed):
@@ -50,13 +51,46 @@ def corpus(seed):
     return out + [out[0], out[5], (None, rows[3]), (None, None)]
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_against_all_pairs(spark, monkeypatch, rounds):
+def joined(docs, **given):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(docs, **given).collect()), key=repr)
+
+
+@pytest.mark.parametrize("rounds, block, bits", [(0, 256, 64), (1, 3, 64), (3, 5, 6)])
+def test_against_all_pairs(spark, monkeypatch, rounds, block, bits):
+    """Also with blocks of a few classes, and with keys so short that different sets have the same."""
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
     rows = corpus(rounds)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = ngram_join.near_duplicates(docs.selectExpr("doc_id", "text", "'x' as n", "1 as cls")).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+    assert joined(docs.selectExpr("doc_id", "text", "'x' as n", "1 as cls"), key_bits=bits) == brute(rows)
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Some copies link with few others only; no pair is lost, and frequent tokens are dealt into parts."""
+    monkeypatch.setattr(ngram_join, "TOKEN_ENTRIES", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 30)
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(500)}" for _ in range(70)]
+    rows = []
+    for i in range(200):
+        copy = list(words)
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"v{rng.randrange(500)}"
+        rows.append((i, " ".join(copy)))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_names_that_clash_and_long_texts(spark):
+    """Columns named as the operator's own, doubled rows, and a text of a megabyte with its near copy."""
+    long = " ".join(f"word{i * 7919 % 65521}" for i in range(100_000))
+    rows = [(1, long), (2, long + " end"), (3, "other"), (3, "other"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["key", "cls", "comp", "id", "text_key", "row", "stays", "other_id", "other_key", "__key", "a.b"]
+    wide = docs.selectExpr("*", *(f"doc_id as `{n}`" for n in names))
+    kept = ngram_join.representatives(wide)
+    assert kept.columns == wide.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [1, 3, 4, None]
+    assert joined(wide)[:2] == [(1, 65_521, 1, 1), (2, 65_522, 1, 1)]
 
 
 def test_one_of_each_group_stays(spark):
