@@ -154,31 +154,50 @@ def article(i, extra=""):
 
 def test_wrapper_of_a_host():
     found = wrappers.infer([article(i) for i in range(6)])
-    assert found["path"] == ["html", "body", "article"] and "(<p>#text</p>)+" in found["expression"] and "(<li>" in found["expression"]
+    assert found["path"] == [["html"], ["body"], ["article"]] and "(<p>#text</p>)+" in found["expression"] and "(<li>" in found["expression"]
 
 
-def test_template_texts_and_what_is_not_the_article():
-    extra = '<div class="share-bar">Share</div><p>Read more on our site</p><form><label>Mail</label><input></form><section id="comments"><article class="comment"><p>Nice</p></article></section><aside>Side</aside>'
+def test_runs_of_elements_become_repeated_groups():
+    def of(pairs, more=""):
+        return page("<article><h1>Head</h1>" + "".join(f"<h2>Part {i}</h2><p>Text {i}</p><ul><li>{i}</li></ul>" for i in pairs) + f"{more}</article>")
+
+    run = "<h2>#text</h2><p>#text</p><ul><li>#text</li></ul>"
+    assert f"<h1>Head</h1>({run})+</article>" in wrappers.infer([of(range(3)), of(range(3, 8))])["expression"]
+    # a page that has the run once, and one with something else behind
+    assert f"<h1>Head</h1>({run})+(<p><b>End</b></p>)?</article>" in wrappers.infer([of([9]), of(range(3)), of(range(3, 8), "<p><b>End</b></p>")])["expression"]
+
+
+def test_what_is_not_the_article():
+    extra = '<div class="share-bar">Share</div><form><label>Mail</label><input></form><section id="comments"><article class="comment"><p>Nice</p></article></section><aside>Side</aside>'
     pages = [article(i, extra) for i in range(6)]
     text = wrappers.main_text(pages[2], wrappers.infer(pages))
-    assert text.startswith("Title 2 & more\n\nParagraph") and not any(x in text for x in ("Share", "Read more", "Mail", "Nice", "Side", "Home", "BUY", "©"))
+    assert text.startswith("Title 2 & more\n\nParagraph") and not any(x in text for x in ("Share", "Mail", "Nice", "Side", "Home", "BUY", "©"))
 
 
-def test_versions_of_an_article_keep_what_they_share(spark):
-    versions = [page(f"<article><h1>One title</h1><div>Lone block</div><p>Edited {i}</p></article>") for i in range(6)]
-    assert wrappers.main_text(versions[2], wrappers.infer(versions)) == "One title\n\nLone block\n\nEdited 2"
-    # the same without a heading, where pages have a block in common that is no template
+def test_what_all_articles_of_a_host_hold_stays():
+    """Headings that all recipes have, and parts whose names only sound like something else."""
+    recipes = [page(f'<article><h1>Recipe {i}</h1><h2>Ingredients</h2><p>Item {i}</p><h2>Method</h2><p>Step {i}</p><div class="side-effects">None</div><p class="foot-note">Note</p><section id="legal">Law</section></article>') for i in range(5)]
+    found = wrappers.infer(recipes)
+    for i, html in enumerate(recipes):
+        assert wrappers.main_text(html, found) == "\n\n".join([f"Recipe {i}", "Ingredients", f"Item {i}", "Method", f"Step {i}", "None", "Note", "Law"])
     versions = [page(f"<article><div>Lone block</div><p>Same start</p><p>Edited {i}</p></article>") for i in range(6)]
-    assert "Lone block" in wrappers.main_text(versions[2], wrappers.infer(versions))
+    assert wrappers.main_text(versions[2], wrappers.infer(versions)) == "Lone block\n\nSame start\n\nEdited 2"
+
+
+def test_siblings_of_one_name_are_told_apart_by_what_they_hold():
+    def of(i, menu=True):
+        links = '<div><ul><li><a href="/">Home</a></li></ul></div>' if menu else ""
+        return f"<html><body>{links}<div><h1>News {i}</h1><p>{'long text ' * 20}{i}</p></div><div><ul><li><a href=/y>About</a></li><li><a href=/z>More</a></li></ul></div></body></html>"
+
+    found = wrappers.infer([of(i) for i in range(6)])
+    assert [e[0] for e in found["path"]] == ["html", "body", "div"] and len(found["path"][2]) == 3
+    for html, i in ((of(3), 3), (of(11), 11), (of(12, menu=False), 12)):
+        assert wrappers.main_text(html, found) == f"News {i}\n\n{('long text ' * 20).strip()} {i}"
 
 
-def test_template_is_what_no_page_of_the_host_lacks(spark):
-    body = "<article><h1>Title {0}</h1><div>{1}</div><p>Text {0}</p></article>"
-    rows = [(i, f"http://{h}.example/{i}", page(body.format(i, "Shared" if h == "a" or i < 300 else f"Own {i}"))) for h in "ab" for i in range(320)]
-    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    shared = {h: sum("Shared" in r.text for r in got if f"//{h}." in r.url) for h in "ab"}
-    assert shared == {"a": 0, "b": 300}
-    assert all(f"Title {r.page_id}\n\n" in r.text for r in got)
+def test_two_articles_of_a_page_are_both_read():
+    found = wrappers.infer([article(i) for i in range(4)])
+    assert wrappers.main_text(page("<article><p>One</p></article><div class=ad>no</div><article><p>Two</p></article>"), found) == "One\n\nTwo"
 
 
 def test_long_and_deep_pages_are_narrowed_to_their_article(monkeypatch):
