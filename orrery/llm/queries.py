@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, ngram_join, packing, quality, secrets, vafile, warc, wrappers
@@ -13,14 +12,20 @@ from .shared import table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by n-gram Jaccard join (ngram_join.near_duplicates): null, empty and wordless texts link with nothing, repeated
+    rows and equal texts link with one another, texts of any length are read whole; no rows give none."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("comp", "key")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in all documents (secrets.scan): a null text is empty, a repeated row is reported again, texts are read whole; no
+    rows give none."""
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through archives and back (warc.round_trip): a null html is empty; of equal payloads the one with the largest
+    page_id is the response, and so are rows that repeat it; no rows give none."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
@@ -37,14 +42,20 @@ from kept
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents (langid.identify): null, empty and letterless texts are `und`; ties go to the first language in
+    the alphabet; equal texts are judged alike, whole; no rows give none."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents (decontam.decontaminate): null and empty texts have no words, repeated rows are judged
+    each, texts are read whole; no rows give none, and without a benchmark nothing is hit."""
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations from every side (chat.rotate): null turns come first, a null role is `unknown`, a null text empty; messages
+    that repeat count once; no rows give none."""
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
@@ -70,10 +81,14 @@ from measured m group by conv_id, m.perspective, part, sub
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every 50th vector the five best of all others (vafile.top_k): vectors that are null or hold null or non-finite
+    components take no part, ties go to the smaller vec_id, repeated rows are rows of their own; no rows give none."""
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents (quality.classify): null and empty texts are judged by their votes alone, equal texts alike, texts are
+    read whole; no rows give none."""
     return quality.classify(table(spark, sf_dir, "documents"))
 
 
@@ -90,12 +105,16 @@ select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens (packing.pack_documents): a null text is empty and has the end id alone, repeated
+    rows are documents of their own, long texts are cut, never dropped; no rows give none."""
     import public_tokenizers
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of all pages (wrappers.extract): null and empty html have an empty text, a null url is of the host '', repeated rows
+    are read each, pages of any length whole; no rows give none."""
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
 
