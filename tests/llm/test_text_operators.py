@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
 import re
 import string
 import struct
+import time
 import zlib
 
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from orrery.llm import chat, decontam, langid, packing, quality, secrets
@@ -112,6 +115,50 @@ def test_literals_of_every_sensitive_word_and_through_any_chain():
         assert literals("session_token = n0\n" + "".join(f"n{i} = n{i + 1}\n" for i in range(n)) + f"n{n} = 'aB3$xY9!kLm2pQ'\n") == ["aB3$xY9!kLm2pQ"], n
 
 
+def brute_literals(text):
+    """Line by line, for assignments of one literal, name or sum to a name: each literal that a path of names leads to."""
+    pairs = []
+    for line in text.split("\n"):
+        if m := re.fullmatch(r"\s*([A-Za-z_]\w*)\s*=\s*(.+)", line):
+            parts, at = re.split(r"\s*\+\s*", m[2]), []
+            for part in parts:
+                at.append((part[0] == "'", part.strip("'")))
+            pairs.append((m[1], at))
+    out = set()
+    for name, parts in pairs:
+        weight = secrets.sensitivity(name)
+        seen, left = set(), list(parts)
+        while weight and left:
+            quoted, value = left.pop()
+            if quoted:
+                strong = secrets.strength(value)
+                if strong and weight + strong >= secrets.MIN_SCORE:
+                    out.add(value)
+            elif value not in seen:
+                seen.add(value)
+                left += [p for n, ps in pairs if n == value for p in ps]
+    return out
+
+
+def test_literals_against_all_paths_of_names():
+    rng = random.Random(9)
+    names = ["db_passphrase", "client_key", "authKey", "note", "a", "b", "c", "colour", "salt_x", "d"]
+    literal = lambda: "'" + "".join(rng.choice(string.ascii_letters + string.digits + "!-_") for _ in range(rng.choice([4, 9, 20]))) + "'"
+    for _ in range(300):
+        text = "\n".join(f"{rng.choice(names)} = " + " + ".join(rng.choice([literal(), rng.choice(names), literal()]) for _ in range(rng.choice([1, 1, 2, 3]))) for _ in range(8))
+        assert set(literals(text)) == brute_literals(text), text
+
+
+def test_time_of_a_scan_does_not_follow_the_square_of_its_names():
+    took = []
+    for n in (2_000, 8_000):
+        many = "".join(f"token_x = name\nname = 'aB3$xY9!k{i}'\npassword = abcdefgh{i}\n" for i in range(n))
+        began = time.process_time()
+        secrets.spans(many)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_what_is_no_secret():
     for text in ('note: "the password is not here at all"', "pwd = ${PASSWORD_FROM_ENV}", 'auth_key = "changeme"', "colour = 'aB3$xY9!kLm2pQ'", "Of the pass, and key: then", "x" * 100_000 + "=1"):
         assert literals(text) == [], text
@@ -157,6 +204,46 @@ def test_the_margin_of_a_language_does_not_fall_with_length():
     assert long[2] > 0.9 * short[2]
 
 
+def test_language_against_one_encoder_a_language():
+    """Each text by encoders of its own, with nothing kept between texts."""
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 7))) for _ in range(400)] for k in "xyz"}
+    learned = {k: " ".join(rng.choices(w, k=4000)).encode() for k, w in words.items()}
+    scorer = langid.Scorer(learned)
+    for _ in range(40):
+        text = " ".join(rng.choices(words[rng.choice("xyz")] + words["y"][:100], k=rng.choice([1, 3, 30, 900, 9000])))
+        data = langid.letters_only(text)
+        sizes = {}
+        for k, content in learned.items():
+            shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            level = langid.FINE_LEVEL if len(data) <= langid.SHORT else langid.LEVEL
+            shared.precompute_compress(level=level)
+            sizes[k] = sum(len(zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data[at : at + langid.BLOCK])) for at in range(0, len(data), langid.BLOCK))
+        best, second = sorted(sizes.items(), key=lambda s: (s[1], s[0]))[:2]
+        lang, score, margin, rejected = scorer(text)
+        assert lang == best[0] and margin == pytest.approx(1 - best[1] / second[1]) and rejected == (margin < langid.MIN_MARGIN) and score == pytest.approx(second[1] / (best[1] + second[1]))
+
+
+def test_rows_that_repeat_still_teach(spark):
+    rows = spark.range(20_000).selectExpr("7L as doc_id", "'der alte mann und das kleine haus' as text", "'de' as lang").unionByName(spark.range(50).selectExpr("id as doc_id", "concat('the old man and the little house ', id) as text", "'en' as lang"))
+    for doc in (1, 2, 3, 4, 5, 6):
+        learned = langid.language_dictionaries(rows.withColumn("doc_id", F.when(F.col("lang") == "de", F.lit(doc).cast("bigint")).otherwise(F.col("doc_id"))))
+        assert set(learned) == {"de", "en"} and all(learned.values())
+
+
+def test_whole_texts_teach():
+    """What stands behind a long opening is learned too."""
+    texts = [b"licence " * 2000 + f"word{i} other{i} ".encode() * 300 for i in range(100)]
+    learned = langid._dictionary(texts)
+    assert len(learned) <= langid.DICT_BYTES and sum(f"word{i} ".encode() in learned for i in range(100)) > 50
+    assert langid._dictionary([b"one", b"two"]) == b"two\none"
+
+
+def test_ties_go_to_the_first_language():
+    same = {"b": b"equal words " * 50, "a": b"equal words " * 50}
+    assert langid.Scorer(dict(sorted(same.items())))("equal words")[:1] + langid.Scorer(same)("equal words")[2:] == ("a", 0.0, True)
+
+
 def test_language_without_labels_or_rows(spark):
     none = spark.createDataFrame([(1, "the", None)], "doc_id long, text string, lang string")
     assert langid.identify(none).first().lang_pred == "und"
@@ -208,6 +295,14 @@ def test_decontamination_against_all_windows(spark, monkeypatch, block):
     assert sorted((tuple(r)[:2] for r in clean.collect()), key=repr) == sorted((x for x, h in zip(docs, hit) if not h), key=repr)
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(100_000)]
+    docs = [(1, " ".join(words[:60_000] + ["one", "two", "three"] * 4 + words[60_000:]))]
+    items = [(1, "one two three " * 4), (2, " ".join(words[500:512]))]
+    got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_windows(docs, items)
+
+
 def test_decontamination_without_a_benchmark_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
@@ -277,5 +372,60 @@ def test_quality_against_labels(spark):
     assert len(kept) == docs.count() + 4 and not kept[-1] and not kept[-2] and not kept[-3]
 
 
+def test_posteriors_against_plain_expectation_maximisation():
+    """Vote by vote over single documents, not over counts of patterns."""
+    rng = random.Random(4)
+    truth = [rng.random() < 0.7 for _ in range(300)]
+    votes = [tuple(0 if rng.random() < 0.3 else (1 if (rng.random() < 0.9) == good else -1) for _ in range(4)) for good in truth]
+    bad_weight, good_weight = quality.EXPECTED
+    mass = quality.STRENGTH * len(votes) + 1
+    good = [1 / (1 + math.exp(4 * v.count(-1) - v.count(1))) for v in votes]
+    for _ in range(quality.EM_PASSES):
+        chances = []
+        for expected, share in ((bad_weight, [1 - g for g in good]), (good_weight, good)):
+            chances.append([])
+            for j in range(4):
+                bad = sum(s for s, v in zip(share, votes) if v[j] == -1) + mass * expected
+                fine = sum(s for s, v in zip(share, votes) if v[j] == 1) + mass * (1 - expected)
+                chances[-1].append(bad / (bad + fine))
+        prior = min(0.98, max(0.02, sum(good) / len(good)))
+        after = []
+        for v in votes:
+            ratio = math.log(1 - prior) - math.log(prior)
+            for j, x in enumerate(v):
+                if x:
+                    a, b = (c[j] if x == -1 else 1 - c[j] for c in chances)
+                    ratio += math.log(a) - math.log(b)
+            after.append(1 / (1 + math.exp(min(50, max(-50, ratio)))))
+        if max(abs(a - g) for a, g in zip(after, good)) < 1e-9:
+            good = after
+            break
+        good = after
+    counts = {}
+    for v in votes:
+        counts["".join(str(x + 1) for x in v)] = counts.get("".join(str(x + 1) for x in v), 0) + 1
+    found = quality.posteriors(counts)
+    assert all(found["".join(str(x + 1) for x in v)] == pytest.approx(g, abs=1e-6) for v, g in zip(votes, good))
+    assert sum((g > 0.5) == t for g, t in zip(good, truth)) > 240
+
+
+def test_the_scorer_against_a_plain_gradient():
+    """Scores are those of the weights, summed word by word."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["fine", "plain", "word"] if i % 2 else ["###", "$$$", "word"]) for _ in range(30)) for i in range(60)]
+    rows = [(*quality.features(t), float(i % 2), 1.0) for i, t in enumerate(texts)]
+    weights, intercept = quality.fit(rows)
+    scores = [intercept + sum(weights[a] * v for a, v in zip(r[0].tolist(), r[1].tolist())) for r in rows]
+    assert all((s > 0) == bool(i % 2) for i, s in enumerate(scores))
+
+
+def test_quality_of_rows_that_repeat(spark):
+    """One document many times over, and ties of all scores."""
+    rows = spark.range(20_000).selectExpr("7L as doc_id", "'the plain words of a good text that goes on for a while and says what it has to say' as text")
+    for doc in (1, 2, 3):
+        got = quality.classify(rows.withColumn("doc_id", F.lit(doc).cast("bigint")), sample_docs=100).select("score", "posterior", "keep").distinct().collect()
+        assert len(got) == 1 and got[0].keep and got[0].score != 0.5
+
+
 def test_quality_of_nothing(spark):
     assert quality.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
