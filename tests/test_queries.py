@@ -39,13 +39,15 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_the_rest_imports_without_the_llm_folder(tmp_path):
+@pytest.mark.parametrize("also", [["corpus_pipeline.py"], []])
+def test_the_rest_imports_without_the_llm_folders(tmp_path, also):
+    """Without corpus_pipeline.py as well, and with that file left behind."""
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.abspath(entry.__file__))
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "tests"))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", *also, "tests"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') and k[2].isdigit() for k in q) and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
 
