@@ -1,11 +1,11 @@
 """Edge curvature: Ollivier-Ricci by exact transport over graph distances, and Bakry-Émery by local eigenproblems.
 
-Edges or vertices are dealt over the executors; the graph itself is broadcast, and must therefore stay below MAX_EDGES.
+Edges or vertices are dealt over the executors. A graph of up to MAX_EDGES edges is broadcast; the distances, or the
+neighbourhoods, of a larger one are found by joins.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges of a graph that is broadcast; sources whose distances a worker keeps.
-MAX_EDGES, KEPT_SOURCES = 5_000_000, 4096
+from ..session import pinned
+
+#: Edges of a graph that is broadcast; numbers that a worker keeps of distances found, and that one search holds.
+MAX_EDGES, KEPT_DISTANCES, SEARCHED = 5_000_000, 1 << 25, 1 << 22
 # Tolerances of the local eigenproblem, what an infeasible curvature is given as, and the dimensions it is taken at.
 RANGE_TOL, NEGATIVE, KERNEL, PINV, INFEASIBLE = 1e-10, -1e-7, 1e-9, 1e-10, -1e6
 DIMENSIONS = (2.0, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 50.0, 100.0, math.inf)
@@ -37,7 +39,12 @@ class Graph:
         order = np.lexsort((to, at))
         self.start = np.searchsorted(at[order], np.arange(len(self.ids) + 1))
         self.to, self.weight = to[order], np.concatenate([weight, weight])[order]
-        self.kept: dict[int, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> Graph:
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.held = 0
+        return self
 
     def index(self, node: int) -> int:
         return int(np.searchsorted(self.ids, node))
@@ -45,30 +52,51 @@ class Graph:
     def neighbours(self, i: int) -> np.ndarray:
         return self.to[self.start[i] : self.start[i + 1]]
 
-    def distances(self, source: int, targets: np.ndarray) -> np.ndarray:
-        """Shortest path lengths from a node to targets; the search ends when all are settled."""
-        found = self.kept.get(source)
-        if found is not None and np.isin(targets, found[0]).all():
-            return found[1][np.searchsorted(found[0], targets)]
-        left, settled, best, heap = set(targets.tolist()), {}, {source: 0.0}, [(0.0, source)]
-        while heap and left:
-            d, node = heapq.heappop(heap)
-            if node in settled:
-                continue
-            settled[node] = d
-            left.discard(node)
-            for k in range(self.start[node], self.start[node + 1]):
-                other, total = int(self.to[k]), d + float(self.weight[k])
-                if total < best.get(other, math.inf):
-                    best[other] = total
-                    heapq.heappush(heap, (total, other))
-        if left:
-            raise CurvatureError("support points are not connected")
-        if len(self.kept) >= KEPT_SOURCES:
-            self.kept.pop(next(iter(self.kept)))
-        nodes = np.array(sorted(settled))
-        self.kept[source] = (nodes, np.array([settled[n] for n in nodes.tolist()]))
-        return np.array([settled[t] for t in targets.tolist()])
+    def reached(self, sources: np.ndarray, limits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each source the nodes within its limit, and their distances.
+
+        All sources are searched at once: a step takes the edges of every node that the step before has brought nearer.
+        """
+        n = len(self.ids)
+        best = np.full(len(sources) * n, np.inf)
+        front = np.arange(len(sources)) * n + sources
+        best[front] = 0.0
+        while len(front):
+            row, node = np.divmod(front, n)
+            degree = self.start[node + 1] - self.start[node]
+            edge = np.repeat(self.start[node] - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
+            total = np.repeat(best[front], degree) + self.weight[edge]
+            place = np.repeat(row * n, degree) + self.to[edge]
+            nearer = (total < best[place]) & (total <= np.repeat(limits[row], degree))
+            place = place[nearer]
+            np.minimum.at(best, place, total[nearer])
+            front = np.unique(place)
+        rows = best.reshape(len(sources), n)
+        found = [np.flatnonzero(np.isfinite(r)) for r in rows]
+        return [(f, r[f]) for f, r in zip(found, rows)]
+
+    def distances(self, sources: np.ndarray, targets: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """Shortest path lengths from sources to targets, which are known not to be beyond the sources' limits."""
+        out = np.full((len(sources), len(targets)), np.inf)
+
+        def read(i: int) -> bool:
+            nodes, lengths = self.kept[int(sources[i])]
+            at = np.minimum(np.searchsorted(nodes, targets), len(nodes) - 1)
+            out[i] = np.where(nodes[at] == targets, lengths[at], np.inf)
+            return bool(np.isfinite(out[i]).all())
+
+        left = [i for i in range(len(sources)) if int(sources[i]) not in self.kept or not read(i)]
+        size = max(1, SEARCHED // max(1, len(self.ids)))
+        for at in range(0, len(left), size):
+            some = left[at : at + size]
+            for i, found in zip(some, self.reached(sources[some], limits[some])):
+                if self.held > KEPT_DISTANCES:
+                    self.forget()
+                self.kept[int(sources[i])] = found
+                self.held += len(found[0])
+                if not read(i):
+                    raise CurvatureError("support points are not connected")
+        return out
 
 
 def transport_cost(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, tol: float = 1e-12) -> float:
@@ -125,29 +153,45 @@ def transport_cost(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, tol
     return float((flow * cost).sum())
 
 
+def spread(end: int, around: list[int], alpha: float) -> dict[int, float]:
+    """Mass of a lazy walk's next step: alpha stays, the rest goes evenly to the neighbours."""
+    out = {end: alpha}
+    for k in around:
+        out[k] = out.get(k, 0.0) + (1 - alpha) / len(around)
+    return out
+
+
+def moved(one: dict[int, float], two: dict[int, float]) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    """Nodes that have mass to give and to take, and how much: what both spreads have at a node stays."""
+    rest = {k: one.get(k, 0.0) - two.get(k, 0.0) for k in sorted(one.keys() | two.keys())}
+    give, take = [k for k, x in rest.items() if x > 1e-15], [k for k, x in rest.items() if x < -1e-15]
+    supply, demand = np.array([rest[k] for k in give]), np.array([-rest[k] for k in take])
+    return give, take, supply, demand * (supply.sum() / demand.sum()) if take else demand
+
+
 def ollivier(graph: Graph, u: int, v: int, alpha: float = 0.5) -> tuple[float, float]:
     """Curvature of edge (u, v) and the graph distance of its ends.
 
     Each end spreads alpha on itself and the rest evenly over its neighbours; curvature is 1 less the cost of moving one
-    spread onto the other, in units of the ends' distance. Not clipped. Mass that both have at a node stays.
+    spread onto the other, in units of the ends' distance. Not clipped.
     """
     if not 0 <= alpha <= 1:
         raise CurvatureError("alpha must lie in [0, 1]")
     i, j = graph.index(u), graph.index(v)
-    mass: dict[int, float] = {}
-    for end, sign in ((i, 1.0), (j, -1.0)):
-        around = graph.neighbours(end)
-        mass[end] = mass.get(end, 0.0) + sign * alpha
-        for k in around.tolist():
-            mass[k] = mass.get(k, 0.0) + sign * (1 - alpha) / len(around)
-    d = float(graph.distances(i, np.array([j]))[0])
-    give = np.array(sorted(k for k, x in mass.items() if x > 1e-15))
-    take = np.array(sorted(k for k, x in mass.items() if x < -1e-15))
-    if not len(give) or not len(take):
+    around = [graph.neighbours(end) for end in (i, j)]
+    give, take, supply, demand = moved(*(spread(end, x.tolist(), alpha) for end, x in zip((i, j), around)))
+    # no way is longer than the one over the edge itself
+    edge = float(graph.weight[graph.start[i] : graph.start[i + 1]][around[0] == j].min(initial=np.inf))
+    if not math.isfinite(edge):
+        raise CurvatureError("there is no such edge")
+    reach = {int(k): float(w) for end in (i, j) for k, w in zip(graph.neighbours(end), graph.weight[graph.start[end] : graph.start[end + 1]])}
+    most = max([reach.get(b, 0.0) for b in take], default=0.0)
+    d = float(graph.distances(np.array([i]), np.array([j]), np.array([edge]))[0, 0])
+    if not give or not take:
         return 1.0, d
-    cost = np.stack([graph.distances(int(a), take) for a in give]) / d
-    supply, demand = np.array([mass[int(a)] for a in give]), np.array([-mass[int(b)] for b in take])
-    return 1.0 - transport_cost(supply, demand * (supply.sum() / demand.sum()), cost), d
+    limits = np.array([(reach.get(a, 0.0) + edge + most + edge) * (1 + 1e-12) for a in give])
+    cost = graph.distances(np.array(give), np.array(take), limits) / d
+    return 1.0 - transport_cost(supply, demand, cost), d
 
 
 def ollivier_restricted(edges: list[tuple[int, int, float]], u: int, v: int, alpha: float = 0.5) -> float:
@@ -161,29 +205,108 @@ def ollivier_restricted(edges: list[tuple[int, int, float]], u: int, v: int, alp
     return 1 - (1 - kappa) * d / weight[frozenset((u, v))]
 
 
-def _collected(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    count = edges.count()
-    if count > MAX_EDGES:
-        raise CurvatureError(f"{count} edges are more than the {MAX_EDGES} that are broadcast; split the graph by component or cohort")
+def _collected(edges: DataFrame) -> Graph | None:
+    """The graph, if it is small enough to be broadcast."""
+    if edges.count() > MAX_EDGES:
+        return None
     t = edges.select("u", "v", F.col("weight").cast("double").alias("weight")).toArrow()
-    return tuple(t[c].to_numpy() for c in ("u", "v", "weight"))
+    return Graph(*(t[c].to_numpy() for c in ("u", "v", "weight")))
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """node, other, weight in either direction."""
+    good = F.when(F.col("weight").cast("double") > 0, F.col("weight").cast("double")).otherwise(F.raise_error(F.lit("edge weights must be positive and finite")).cast("double"))
+    checked = edges.select("u", "v", good.alias("weight"))
+    return checked.select(F.col("u").alias("node"), F.col("v").alias("other"), "weight").unionByName(checked.select(F.col("v").alias("node"), F.col("u").alias("other"), "weight"))
+
+
+def distances_by_joins(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, d: nodes within the limit of each source (source, limit), by rounds of joins that bring nodes nearer."""
+    step = pinned(_both_ways(edges), "steps")
+    limits = pinned(sources.groupBy("source").agg(F.max("limit").alias("limit")), "limits")
+    found = front = pinned(limits.select("source", F.col("source").alias("node"), F.lit(0.0).alias("d")), "reached")
+    while not front.isEmpty():
+        tried = front.join(step, "node").select("source", F.col("other").alias("node"), (F.col("d") + F.col("weight")).alias("d"))
+        tried = tried.join(limits, "source").where(F.col("d") <= F.col("limit")).groupBy("source", "node").agg(F.min("d").alias("d"))
+        known = found.select("source", "node", F.col("d").alias("was"))
+        front = pinned(tried.join(known, ["source", "node"], "left").where(F.col("was").isNull() | (F.col("d") < F.col("was"))).select("source", "node", "d"), "front")
+        found = pinned(found.unionByName(front).groupBy("source", "node").agg(F.min("d").alias("d")), "reached")
+    return found
+
+
+def all_pairs(edges: DataFrame) -> DataFrame:
+    """source, node, d: the distances of all nodes to all that they reach, themselves included. The result has as many rows as there are such pairs."""
+    spark = edges.sparkSession
+    ends = edges.select(F.col("u").alias("source")).unionByName(edges.select(F.col("v").alias("source"))).distinct()
+    whole = _collected(edges)
+    if whole is None:
+        return distances_by_joins(edges, ends.withColumn("limit", F.lit(math.inf)))
+    shared = spark.sparkContext.broadcast(whole)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = shared.value
+        size = max(1, SEARCHED // max(1, len(graph.ids)))
+        for batch in batches:
+            sources = batch.column(0).to_numpy()
+            at = np.searchsorted(graph.ids, sources)
+            for i in range(0, len(at), size):
+                for source, (nodes, lengths) in zip(sources[i : i + size], graph.reached(at[i : i + size], np.full(len(at[i : i + size]), np.inf))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), source)), pa.array(graph.ids[nodes]), pa.array(lengths)], names=["source", "node", "d"])
+
+    return ends.select(F.col("source").cast("long")).repartition(spark.sparkContext.defaultParallelism).mapInArrow(found, "source long, node long, d double")
+
+
+def _ollivier_by_joins(edges: DataFrame, wanted: DataFrame, alpha: float) -> DataFrame:
+    """ollivier_edges of a graph that is too large to be broadcast."""
+    around = _both_ways(edges).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("other", "weight"))).alias("around"))  # an adjacency list a node
+    ends = [around.select(F.col("node").alias(c), F.col("around").alias(f"around_{c}")) for c in ("u", "v")]
+    held = pinned(wanted.select("u", "v", F.col("weight").cast("double").alias("weight")).join(ends[0], "u").join(ends[1], "v"), "supports")
+    most = F.array_max(F.transform("around_v", lambda x: x["weight"]))
+    near = F.concat(F.array(F.struct(F.col("u").alias("source"), F.lit(0.0).alias("way"))), F.transform("around_u", lambda x: F.struct(x["other"].alias("source"), x["weight"].alias("way"))))
+    asked = held.select(F.explode(near).alias("n"), "weight", most.alias("most")).select("n.source", ((F.col("n.way") + 2 * F.col("weight") + F.col("most")) * (1 + 1e-12)).alias("limit"))
+    lengths = distances_by_joins(edges, asked)
+    pairs = held.select("u", "v", F.explode(near).alias("a"), F.concat(F.array("v"), F.transform("around_v", lambda x: x["other"])).alias("bs"))
+    pairs = pairs.select("u", "v", F.col("a.source").alias("source"), F.explode("bs").alias("node")).distinct()
+    known = pairs.join(lengths, ["source", "node"], "left").groupBy("u", "v").agg(F.collect_list(F.struct("source", "node", "d")).alias("lengths"))
+    ready = held.join(known, ["u", "v"]).select("u", "v", "weight", F.transform("around_u", lambda x: x["other"]).alias("at_u"), F.transform("around_v", lambda x: x["other"]).alias("at_v"), "lengths")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kappa, far = [], []
+            for row in batch.to_pylist():
+                length = {(x["source"], x["node"]): x["d"] for x in row["lengths"]}
+                d = length[row["u"], row["v"]]
+                give, take, supply, demand = moved(spread(row["u"], row["at_u"], alpha), spread(row["v"], row["at_v"], alpha))
+                far.append(d)
+                kappa.append(1.0 - transport_cost(supply, demand, np.array([[length[a, b] for b in take] for a in give]) / d) if give and take else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kappa, pa.float64()), batch.column(2), pa.array(far, pa.float64())], names=["u", "v", "kappa", "d_uv", "d_graph_uv"])
+
+    return ready.mapInArrow(measured, CURVATURES)
+
+
+CURVATURES = "u long, v long, kappa double, d_uv double, d_graph_uv double"
 
 
 def ollivier_edges(edges: DataFrame, measure: DataFrame | None = None, alpha: float = 0.5) -> DataFrame:
     """u, v, kappa, d_uv, d_graph_uv for the edges to measure (all by default) of a graph (u, v, weight)."""
+    if not 0 <= alpha <= 1:
+        raise CurvatureError("alpha must lie in [0, 1]")
     spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(_collected(edges))
     wanted = edges.select("u", "v", "weight") if measure is None else edges.join(measure.select("u", "v"), ["u", "v"], "left_semi").select("u", "v", "weight")
+    whole = _collected(edges)
+    if whole is None:
+        return _ollivier_by_joins(edges, wanted, alpha)
+    shared = spark.sparkContext.broadcast(whole)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Graph(*shared.value)
+        graph = shared.value
         for batch in batches:
             u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found = [ollivier(graph, a, b, alpha) for a, b in zip(u, v)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.float64()), batch.column(2).cast(pa.float64()), pa.array([f[1] for f in found], pa.float64())], names=["u", "v", "kappa", "d_uv", "d_graph_uv"])
 
     parts = max(spark.sparkContext.defaultParallelism, -(-wanted.count() // 2000))
-    return wanted.repartitionByRange(parts, "u").sortWithinPartitions("u", "v").mapInArrow(measured, "u long, v long, kappa double, d_uv double, d_graph_uv double")
+    return wanted.repartitionByRange(parts, "u").sortWithinPartitions("u", "v").mapInArrow(measured, CURVATURES)
 
 
 def gamma_forms(graph: Graph, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,15 +379,26 @@ def effective_dimension(curvatures: list[float], dimensions: tuple[float, ...] =
     return 1 / at if at > 0 else math.inf
 
 
+def _curved(graph: Graph, ids: list[int], dimensions: tuple[float, ...]) -> pa.RecordBatch:
+    found = [bakry_emery(graph, i, dimensions) for i in ids]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array([effective_dimension(f, dimensions) for f in found], pa.float64())], names=["id", "curvature", "effective_dimension"])
+
+
 def bakry_emery_nodes(edges: DataFrame, nodes: DataFrame, dimensions: tuple[float, ...] = DIMENSIONS) -> DataFrame:
-    """id, curvature (array by dimension), effective_dimension for each node (id) with an edge; weights are not used."""
-    shared = edges.sparkSession.sparkContext.broadcast(_collected(edges.withColumn("weight", F.lit(1.0))))
+    """id, curvature (array by dimension), effective_dimension for each node (id) with an edge; weights are not used.
+
+    A node needs its neighbours' neighbours only: these are joined to it, and no task holds the graph.
+    """
+    around = _both_ways(edges.withColumn("weight", F.lit(1.0))).groupBy("node").agg(F.sort_array(F.collect_set("other")).alias("around"))
+    own = nodes.select(F.col("id").cast("long").alias("id")).join(around.withColumnRenamed("node", "id"), "id")
+    near = own.select("id", F.explode("around").alias("node")).join(around, "node").groupBy("id").agg(F.collect_list(F.struct("node", "around")).alias("near"))
+    ready = own.join(near, "id").select("id", "around", "near")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = Graph(*shared.value)
         for batch in batches:
-            ids = [i for i in batch.column(0).to_pylist() if graph.ids[min(graph.index(i), len(graph.ids) - 1)] == i] if len(graph.ids) else []
-            found = [bakry_emery(graph, i, dimensions) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array([effective_dimension(f, dimensions) for f in found], pa.float64())], names=["id", "curvature", "effective_dimension"])
+            for row in batch.to_pylist():
+                pairs = {(min(x["node"], k), max(x["node"], k)) for x in row["near"] for k in x["around"]}
+                u, v = (np.array(c, np.int64) for c in zip(*pairs))
+                yield _curved(Graph(u, v, np.ones(len(u))), [row["id"]], dimensions)
 
-    return nodes.select(F.col("id").cast("long")).repartition(edges.sparkSession.sparkContext.defaultParallelism).mapInArrow(measured, "id long, curvature array<double>, effective_dimension double")
+    return ready.mapInArrow(measured, "id long, curvature array<double>, effective_dimension double")

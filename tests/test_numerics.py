@@ -118,3 +118,59 @@ def test_exact_mann_whitney_of_a_large_and_a_small_arm():
     assert both[0] == both[1] and time.time() - began < 10
     # beside 50,000 values, those of the small arm lie like uniform ones, whose sum is beyond 7.2 of 8 this often
     assert both[0] == pytest.approx(2 * 0.8**8 / math.factorial(8), rel=0.01)
+
+
+def random_graph(seed, n=40, more=60):
+    rng = np.random.default_rng(seed)
+    found = {(i, i + 1): float(rng.uniform(0.5, 2)) for i in range(n - 1)}
+    for a, b in rng.integers(0, n, (more, 2)).tolist():
+        if a != b:
+            found[min(a, b), max(a, b)] = float(rng.uniform(0.5, 4))
+    return [(10 * a, 10 * b, w) for (a, b), w in sorted(found.items())]
+
+
+def floyd(edges):
+    ids = sorted({x for e in edges for x in e[:2]})
+    d = np.full((len(ids), len(ids)), np.inf)
+    np.fill_diagonal(d, 0)
+    for u, v, w in edges:
+        i, j = ids.index(u), ids.index(v)
+        d[i, j] = d[j, i] = min(w, d[i, j])
+    for k in range(len(ids)):
+        d = np.minimum(d, d[:, k : k + 1] + d[k])
+    return ids, d
+
+
+@pytest.mark.parametrize("most", [5_000_000, 0])
+def test_distances_and_curvature_of_small_and_large_graphs(spark, monkeypatch, most):
+    """The same by a broadcast graph and by joins, and as by all paths."""
+    edges = random_graph(5)
+    ids, d = floyd(edges)
+    monkeypatch.setattr(curvature, "MAX_EDGES", most)
+    table = spark.createDataFrame(edges, "u long, v long, weight double")
+    got = {(r.source, r.node): r.d for r in curvature.all_pairs(table).collect()}
+    assert got.keys() == {(a, b) for a in ids for b in ids} and all(got[a, b] == pytest.approx(d[ids.index(a), ids.index(b)]) for a, b in got)
+    some = table.where("u % 20 = 0")
+    rows = {(r.u, r.v): r for r in curvature.ollivier_edges(table, some).collect()}
+    plain = graph(edges)
+    assert rows.keys() == {e[:2] for e in edges if e[0] % 20 == 0}
+    for (u, v), r in rows.items():
+        masses = []
+        for end in (u, v):
+            around = [b if a == end else a for a, b, _ in edges if end in (a, b)]
+            masses.append({x: (x == end) * 0.5 + (x in around) * 0.5 / len(around) for x in {end, *around}})
+        a, b = (sorted(m) for m in masses)
+        cost = np.array([[d[ids.index(x), ids.index(y)] for y in b] for x in a]) / d[ids.index(u), ids.index(v)]
+        kappa = 1 - curvature.transport_cost(np.array([masses[0][x] for x in a]), np.array([masses[1][y] for y in b]), cost)
+        assert r.kappa == pytest.approx(kappa, abs=1e-9) and r.kappa == pytest.approx(curvature.ollivier(plain, u, v)[0], abs=1e-12) and r.d_graph_uv == pytest.approx(d[ids.index(u), ids.index(v)])
+
+
+def test_bakry_emery_nodes_against_the_whole_graph(spark):
+    edges = random_graph(6)
+    table = spark.createDataFrame(edges, "u long, v long, weight double")
+    whole = graph(edges)
+    nodes = spark.createDataFrame([(x,) for x in [*whole.ids.tolist(), 7]], "id long")
+    got = {r.id: r for r in curvature.bakry_emery_nodes(table, nodes).collect()}
+    assert got.keys() == set(whole.ids.tolist())
+    for i, r in got.items():
+        assert r.curvature == pytest.approx(curvature.bakry_emery(whole, i), abs=1e-9)
