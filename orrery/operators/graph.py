@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which neighbours are found by one SQL join; beyond, blocks are compared in numpy. Vectors of a block.
-SMALL, BLOCK = 4000, 2048
+from ..session import pinned
+
+#: Rows up to which neighbours are found by one SQL join; beyond, blocks are compared in numpy. Vectors of a block; points that blocks are gathered around, at most.
+SMALL, BLOCK, CENTRES = 4000, 2048, 1024
 
 
 def incident(edges: DataFrame, *values: str) -> DataFrame:
@@ -19,7 +21,9 @@ def incident(edges: DataFrame, *values: str) -> DataFrame:
 def neighbours(points: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """i, j, d, r: the k nearest other points of each, by Euclidean distance, ties to the lesser id. Exact.
 
-    Small tables are compared in SQL; large ones in blocks, each pair of blocks once, keeping k for each point and block.
+    Small tables are compared in SQL, large ones in blocks of points that lie near each other. First each block is compared
+    with itself, which bounds the distance of a point's k-th neighbour; then with the blocks that can lie within the bounds
+    by the triangle inequality. Distances are summed in the same order either way, so they are equal to the last bit.
     """
     rows = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x")).where("x is not null")
     n = rows.count()
@@ -28,40 +32,106 @@ def neighbours(points: DataFrame, id_col: str, vector: str, k: int) -> DataFrame
         d = F.sqrt(F.aggregate(F.zip_with("xi", "xj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
         pairs = a.join(F.broadcast(b), F.col("i") != F.col("j")).select("i", "j", d.alias("d"))
     else:
-        pairs = _blocked(rows, n, k)
+        pairs = _blocked(pinned(rows, "points"), n, k)
     by = Window.partitionBy("i").orderBy("d", "j")
     return pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
 
 
+_HELD = "block long, centre int, radius double, ids binary, xs binary"
+
+
+def _near(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in i and j, and distances, of each i's k nearest of j and all as near; none beyond bound, and not the point itself."""
+    rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
+    rough[i[:, None] == j[None]] = np.inf
+    take = min(k, len(j))
+    kth = np.minimum(np.partition(rough, take - 1, axis=1)[:, take - 1], bound * bound)
+    # all whose rough distance is not surely beyond, then exact ones
+    slack = 1e-9 * (1 + np.abs(kth) + (x * x).sum(1))
+    a, b = np.nonzero((rough <= (kth + slack)[:, None]) & np.isfinite(rough))
+    d = np.zeros(len(a))
+    for c in range(x.shape[1]):  # in the order of SQL's sum
+        step = x[a, c] - y[b, c]
+        d += step * step
+    return a, b, np.sqrt(d)
+
+
 def _blocked(rows: DataFrame, n: int, k: int) -> DataFrame:
-    """i, j, d of each point's k nearest in each block, at least."""
-    blocks = -(-n // BLOCK)
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    """i, j, d of each point's k nearest, at least."""
+    spark = rows.sparkSession
+    first = rows.orderBy(F.xxhash64("id"), "id").limit(min(CENTRES, -(-n // BLOCK))).select("x").collect()
+    centres = np.array([r.x for r in first])
+    apart = np.sqrt(np.maximum((centres**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * centres @ centres.T, 0))
+    shared = spark.sparkContext.broadcast((centres, apart))
+
+    def placed(batches):
+        centres = shared.value[0]
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist())
+            rough = (centres**2).sum(1)[None] - 2 * x @ centres.T
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rough.argmin(axis=1).astype(np.int32))], names=["id", "x", "centre"])
+
+    near = pinned(rows.mapInArrow(placed, "id long, x array<double>, centre int"), "placed")
+    parts = near.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("bigint").alias("parts"))  # CENTRES rows at most
+    dealt = near.join(F.broadcast(parts), "centre").withColumn("block", F.col("centre") * F.lit(1 << 40) + F.pmod(F.xxhash64("id"), F.col("parts")))
 
     def packed(key: tuple[pa.Scalar], t: pa.Table) -> pa.Table:
-        return pa.table({"b": pa.array([key[0].as_py()], pa.int32()), "ids": [t["id"].to_pylist()], "xs": [np.array(t["x"].to_pylist()).ravel().tolist()]}, schema=pa.schema([("b", pa.int32()), ("ids", pa.list_(pa.int64())), ("xs", pa.list_(pa.float64()))]))
+        x, centre = np.array(t["x"].to_pylist()), t["centre"][0].as_py()
+        radius = float(np.sqrt(((x - shared.value[0][centre]) ** 2).sum(1)).max())
+        return pa.table({"block": pa.array([key[0].as_py()]), "centre": pa.array([centre], pa.int32()), "radius": [radius], "ids": pa.array([t["id"].to_numpy().tobytes()], pa.binary()), "xs": pa.array([x.tobytes()], pa.binary())})
+
+    held = pinned(dealt.select("block", "centre", "id", "x").groupBy("block").applyInArrow(packed, _HELD), "blocks")
 
-    held = dealt.groupBy("b").applyInArrow(packed, "b int, ids array<long>, xs array<double>")
-    other = held.select(F.col("ids").alias("ids2"), F.col("xs").alias("xs2"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    met = held.join(other, "b").select("ids", "xs", "ids2", "xs2")
+    def arrays(row: dict, ids: str, xs: str) -> tuple[np.ndarray, np.ndarray]:
+        i = np.frombuffer(row[ids], np.int64)
+        return i, np.frombuffer(row[xs], np.float64).reshape(len(i), -1)
 
-    def nearest(batches):
+    def within(batches):
+        """Each block against itself: pairs, and for the block the bounds of its points."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                i, x = arrays(row, "ids", "xs")
+                a, b, d = _near(i, x, i, x, k, np.full(len(i), np.inf))
+                order = np.lexsort((d, a))
+                place = np.arange(len(a)) - np.searchsorted(a[order], a[order])
+                bound = np.full(len(i), np.inf)
+                bound[a[order][place == k - 1]] = d[order][place == k - 1]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([bound.tobytes()], pa.binary()), pa.array([float(bound.max())]), pa.array([i[a].tobytes()], pa.binary()), pa.array([i[b].tobytes()], pa.binary()), pa.array([d.tobytes()], pa.binary())], names=["block", "bounds", "most", "i", "j", "d"])
+
+    inner = pinned(held.mapInArrow(within, "block long, bounds binary, most double, i binary, j binary, d binary"), "within")
+
+    def unpacked(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row[c], t)) for c, t in (("i", np.int64), ("j", np.int64), ("d", np.float64))], names=["i", "j", "d"])
+
+    def reaching(batches):
+        """Centres whose blocks can hold something within a block's bounds."""
+        apart = shared.value[1]
+        for batch in batches:
+            out: list[tuple[int, int, float]] = []
+            for block, centre, radius, most in zip(*(c.to_pylist() for c in batch.columns)):
+                # a block around another centre must have at least this radius
+                needed = apart[centre] * (1 - 1e-9) - radius * (1 + 1e-9) - most
+                out += [(block, c, float(r)) for c, r in enumerate(needed)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())], names=["block", "centre", "needed"])
+
+    widest = held.groupBy("centre").agg(F.max("radius").alias("widest"))
+    asked = held.select("block", "centre", "radius").join(inner.select("block", "most"), "block").select("block", "centre", "radius", "most").mapInArrow(reaching, "block long, centre int, needed double")
+    asked = asked.join(F.broadcast(widest), "centre").where(F.col("needed") <= F.col("widest") * (1 + 1e-9)).drop("widest")
+    other = held.select(F.col("block").alias("block2"), "centre", "radius", F.col("ids").alias("ids2"), F.col("xs").alias("xs2"))
+    met = asked.join(other.select("block2", "centre", "radius"), "centre").where((F.col("block") != F.col("block2")) & (F.col("needed") <= F.col("radius") * (1 + 1e-9))).select("block", "block2")
+    met = met.join(held.select("block", "ids", "xs").join(inner.select("block", "bounds"), "block"), "block").join(other.select("block2", "ids2", "xs2"), "block2").select("ids", "xs", "bounds", "ids2", "xs2")
+
+    def across(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                i, j = np.array(row["ids"]), np.array(row["ids2"])
-                x, y = np.array(row["xs"]).reshape(len(i), -1), np.array(row["xs2"]).reshape(len(j), -1)
-                rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-                rough[i[:, None] == j[None]] = np.inf
-                take = min(k, len(j))
-                # all whose rough distance is not surely beyond the k-th, then exact ones
-                kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
-                a, b = np.nonzero(rough <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None])
-                keep = i[a] != j[b]
-                a, b = a[keep], b[keep]
-                d = np.sqrt(((x[a] - y[b]) ** 2).sum(1))
+                (i, x), (j, y) = arrays(row, "ids", "xs"), arrays(row, "ids2", "xs2")
+                a, b, d = _near(i, x, j, y, k, np.frombuffer(row["bounds"], np.float64))
                 yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(j[b]), pa.array(d)], names=["i", "j", "d"])
 
-    return met.mapInArrow(nearest, "i long, j long, d double")
+    kind = "i long, j long, d double"
+    return inner.select("i", "j", "d").mapInArrow(unpacked, kind).unionByName(met.mapInArrow(across, kind))
 
 
 def knn_graph(points: DataFrame, id_col: str, vector: str, k: int, coincident: str = "error") -> DataFrame:

@@ -276,3 +276,19 @@ def test_stability(spark, deltas, verdict):
 def test_batch_verdicts(spark, four, verdict):
     rows = list(zip(("original", "corrected", "random", "depth"), four)) + [("random", four[2] + 0.01), ("random", four[2] - 0.01)]
     assert meta.batch_verdict(spark.createDataFrame(rows, "method string, delta double")).first().verdict == verdict
+
+
+@pytest.mark.parametrize("spread", [1.0, 30.0])
+def test_neighbours_in_blocks_are_those_of_one_join(spark, monkeypatch, spread):
+    """Equal to the last bit, ties and repeated points included; most pairs of blocks are not compared where points cluster."""
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(900, 5)) + spread * rng.integers(0, 6, (900, 1))
+    points[600:700] = np.round(points[600:700])
+    points[700:720] = points[0]
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, x array<double>")
+    few = table.where("id < 3")
+    one, three = ({tuple(r) for r in graph.neighbours(t, "id", "x", 4).collect()} for t in (table, few))
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "BLOCK", 60)
+    assert {tuple(r) for r in graph.neighbours(table, "id", "x", 4).collect()} == one
+    assert {tuple(r) for r in graph.neighbours(few, "id", "x", 4).collect()} == three
