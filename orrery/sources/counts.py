@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Counts below this are exact in doubles.
-LIMIT = 1 << 53
+#: Counts below this are exact in doubles; names of an axis that are broadcast at most.
+LIMIT, BROADCAST_NAMES = 1 << 53, 500_000
 
 
 class SourceError(ValueError):
@@ -22,6 +22,11 @@ def _refuse(problems: dict[str, int | None], path: str) -> None:
         raise SourceError(f"{path}: {found}")
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, at: the lines of one file; at grows from line to line, as Spark deals the parts of a file in their order."""
+    return spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+
+
 def _whole(token: Column) -> Column:
     """A token's value if it is a non-negative whole number below LIMIT, else null."""
     value = F.when(token.rlike(r"^\+?[0-9]{1,19}$"), token.try_cast("decimal(20,0)"))
@@ -35,7 +40,7 @@ def read_umi_tsv(spark: SparkSession, path: str, cells: list[str], expect_genes:
     The first line names the cells after header_offset other fields; each further line is a gene and its counts. Every
     token is checked, also those of cells that are not asked for.
     """
-    lines = spark.read.text(path)
+    lines = _lines(spark, path)
     first = lines.first()
     if first is None:
         raise SourceError(f"{path}: empty file")
@@ -45,7 +50,7 @@ def read_umi_tsv(spark: SparkSession, path: str, cells: list[str], expect_genes:
         raise SourceError(f"{path}: the header has no cells, an empty or a repeated one")
     if not cells or len(set(cells)) != len(cells) or set(cells) - set(place) or set(detection or ()) - set(place):
         raise SourceError(f"{path}: cells asked for are missing, repeated or none")
-    rows = lines.where(F.col("value") != first.value).select(F.split("value", "\t").alias("f"))
+    rows = lines.where(F.col("at") > first["at"]).select(F.split("value", "\t").alias("f"))
     rows = rows.select(F.get("f", F.lit(0)).alias("gene"), F.slice("f", 2, len(names) + 2).alias("tokens"))
     values = rows.withColumn("v", F.transform("tokens", _whole))
     report = values.agg(
@@ -55,8 +60,7 @@ def read_umi_tsv(spark: SparkSession, path: str, cells: list[str], expect_genes:
         (F.count("*") - F.count_distinct("gene")).alias("repeated genes"),
     ).first().asDict()
     genes = report.pop("genes")
-    headers = lines.where(F.col("value") == first.value).count()
-    _refuse({**report, "repeated headers": headers - 1, "genes other than expected": expect_genes is not None and genes != expect_genes}, path)
+    _refuse({**report, "genes other than expected": expect_genes is not None and genes != expect_genes}, path)
     found = F.array(*(F.lit(place[c]) for c in detection)) if detection else None
     asked = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("cell"), F.lit(place[c]).alias("at")) for i, c in enumerate(cells)))
     extra = [F.size(F.filter(found, lambda i: F.get("v", i) > 0)).alias("n_detected")] if detection else []
@@ -70,29 +74,25 @@ def read_mtx(spark: SparkSession, path: str, columns: list[int] | None = None, e
     With detection, n_detected gives for each row the number of those columns with a positive entry. Banner, dimensions,
     bounds, number of entries and counts are checked.
     """
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(200).collect()]
-    if not head or head[0].split()[:5] != ["%%MatrixMarket", "matrix", "coordinate", "integer", "general"]:
+    lines = _lines(spark, path)
+    banner = lines.first()
+    if banner is None or banner.value.split()[:5] != ["%%MatrixMarket", "matrix", "coordinate", "integer", "general"]:
         raise SourceError(f"{path}: not an integer, general, coordinate Matrix Market file")
-    sizes = next((h for h in head[1:] if not h.lstrip().startswith("%")), "")
-    if len(sizes.split()) != 3 or not all(x.isdigit() for x in sizes.split()):
+    sizes = lines.where(~F.ltrim("value").startswith("%")).first()
+    if sizes is None or len(sizes.value.split()) != 3 or not all(x.isdigit() for x in sizes.value.split()):
         raise SourceError(f"{path}: the dimensions are not three whole numbers")
-    n_rows, n_cols, nnz = map(int, sizes.split())
+    n_rows, n_cols, nnz = map(int, sizes.value.split())
+    if not n_rows or not n_cols:
+        raise SourceError(f"{path}: a dimension is zero")
     asked = set(columns or ()) | set(detection or ())
     if (expect_columns is not None and n_cols != expect_columns) or any(not 1 <= c <= n_cols for c in asked) or (columns is not None and (not columns or len(set(columns)) != len(columns))):
         raise SourceError(f"{path}: columns asked for do not fit the {n_cols} there are")
-    body = lines.where(~F.ltrim("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("f"), F.col("value"))
+    body = lines.where((F.col("at") > sizes["at"]) & ~F.ltrim("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("f"), F.col("value"))
     body = body.select("f", *(_whole(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(("row", "col", "count"))))
     fine = (F.size("f") == 3) & F.col("row").isNotNull() & F.col("col").isNotNull() & F.col("count").isNotNull()
-    # the dimensions' line is one more line, which may look like an entry
-    report = body.agg(F.count("*").alias("n"), F.count_if(~fine).alias("lines that are no entries"), F.count_if(fine & ~(F.col("row").between(1, n_rows) & F.col("col").between(1, n_cols))).alias("outside")).first().asDict()
-    size_fits = 1 <= n_rows <= n_rows and n_rows >= 1 and n_cols >= 1
-    report["outside"] -= int(not size_fits)
-    _refuse({"lines that are no entries": report["lines that are no entries"], "entries out of bounds": max(0, report["outside"]), "entries other than declared": report["n"] - 1 != nnz}, path)
+    report = body.agg(F.count("*").alias("n"), F.count_if(~fine).alias("lines that are no entries"), F.count_if(fine & ~(F.col("row").between(1, n_rows) & F.col("col").between(1, n_cols))).alias("entries out of bounds")).first().asDict()
+    _refuse({"entries other than declared": report.pop("n") != nnz, **report}, path)
     entries = body.select(F.col("row").cast("long"), F.col("col").cast("long"), "count")
-    one = entries.agg(F.count_if((F.col("row") == n_rows) & (F.col("col") == n_cols) & (F.col("count") == nnz)).alias("c")).first().c
-    sizes_row = spark.createDataFrame([(n_rows, n_cols, float(nnz))], "row long, col long, count double")
-    entries = entries.exceptAll(sizes_row) if one else entries
     summed = entries.groupBy("row", "col").agg(F.sum(F.col("count").cast("decimal(38,0)")).alias("value"))
     safe = F.when(F.col("value") < LIMIT, F.col("value").cast("double")).otherwise(F.raise_error(F.lit("entries of one place sum beyond exact counts")).cast("double"))
     out = summed.where(F.col("col").isin(*columns)) if columns else summed
@@ -114,7 +114,9 @@ def read_triple(spark: SparkSession, matrix: str, barcodes: str, features: str,
     counts, sizes = read_mtx(spark, matrix)
     cells, genes = read_names(spark, barcodes), read_names(spark, features, feature_field)
     _refuse({"barcodes other than columns": cells.count() != sizes["columns"], "features other than rows": genes.count() != sizes["rows"], "repeated barcodes": cells.count() - cells.select("name").distinct().count()}, matrix)
-    named = counts.join(F.broadcast(cells.select(F.col("at").alias("col"), F.col("name").alias("barcode"))), "col").join(F.broadcast(genes.select(F.col("at").alias("row"), F.col("name").alias("gene"))), "row")
+    cells, genes = cells.select(F.col("at").alias("col"), F.col("name").alias("barcode")), genes.select(F.col("at").alias("row"), F.col("name").alias("gene"))
+    few = lambda names, n: F.broadcast(names) if n <= BROADCAST_NAMES else names
+    named = counts.join(few(cells, sizes["columns"]), "col").join(few(genes, sizes["rows"]), "row")
     return named.select("gene", F.concat_ws("_", F.lit(sample), "barcode").alias("cell"), "value")
 
 
@@ -136,15 +138,16 @@ def inner_union(files: list[DataFrame]) -> DataFrame:
 
 def read_header_block(spark: SparkSession, path: str, rows: int) -> tuple[DataFrame, DataFrame]:
     """(cell, one column per header row) and (gene, cell, value) of a matrix under a block of header rows, the first naming the cells."""
-    lines = spark.read.text(path).coalesce(1).withColumn("at", F.monotonically_increasing_id())
-    fields = lines.select("at", F.split("value", "\t").alias("f"))
-    head = fields.where(F.col("at") < rows).select(F.get("f", F.lit(0)).alias("name"), "at", F.posexplode(F.expr("slice(f, 2, size(f))")).alias("i", "x"))
-    names = [r.name for r in head.where("i = 0").orderBy("at").collect()]
-    wide = head.groupBy("i").pivot("name", names).agg(F.first("x"))
-    cells = wide.withColumnRenamed(names[0], "cell").drop("i")
-    body = fields.where(F.col("at") >= rows).select(F.get("f", F.lit(0)).alias("gene"), F.posexplode(F.expr("slice(f, 2, size(f))")).alias("i", "x"))
-    at = wide.select("i", F.col(names[0]).alias("cell"))
-    return cells, body.join(F.broadcast(at), "i").select("gene", "cell", F.col("x").try_cast("double").alias("value"))
+    lines = _lines(spark, path)
+    head = lines.limit(rows).collect()
+    if len(head) < rows:
+        raise SourceError(f"{path}: fewer lines than its header has")
+    names, *columns = zip(*(r.value.split("\t") for r in head), strict=True)
+    cells = spark.createDataFrame([(i, *c) for i, c in enumerate(columns)], ["i", "cell", *names[1:]])
+    body = lines.where(F.col("at") > head[-1]["at"]).select(F.split("value", "\t").alias("f")).select(F.get("f", F.lit(0)).alias("gene"), F.posexplode(F.expr("slice(f, 2, size(f))")).alias("i", "x"))
+    at = cells.select("i", "cell")
+    named = body.join(F.broadcast(at) if len(columns) <= BROADCAST_NAMES else at, "i")
+    return cells.drop("i"), named.select("gene", "cell", F.col("x").try_cast("double").alias("value"))
 
 
 def two_pass_top_genes(values: DataFrame, n: int, markers: list[str] = ()) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import random
 import zipfile
 
 import pytest
@@ -83,3 +84,29 @@ def test_counts_over_a_stream_equal_those_of_a_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("arms").collect()} == {tuple(r) for r in arm_counts(rows, "patient", "ts", is_a, is_b).collect()}
+
+
+def test_umi_table_by_position(spark, tmp_path):
+    """A gene whose line repeats the header is a faulty line, not a second header; many small parts of a file keep their order."""
+    rng = random.Random(1)
+    cells = [f"c{i}" for i in range(40)]
+    values = {f"g{g}": [rng.choice([0, 0, 1, 7]) for _ in cells] for g in range(3000)}
+    text = "\t".join(["gene", *cells]) + "\n" + "".join("\t".join([g, *map(str, v)]) + "\n" for g, v in values.items())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = counts.read_umi_tsv(spark, put(tmp_path, "u.tsv", text), ["c5", "c1"], 3000, ["c5", "c1", "c9"]).collect()
+        mtx = "%%MatrixMarket matrix coordinate integer general\n" + "% note\n" * 300 + "3000 40 2999\n" + "".join(f"{i} {1 + i % 40} {i}\n" for i in range(1, 3000))
+        whole, sizes = counts.read_mtx(spark, put(tmp_path, "u.mtx", mtx))
+        assert {tuple(r) for r in whole.collect()} == {(i, 1 + i % 40, float(i)) for i in range(1, 3000)} and sizes["entries"] == 2999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.gene, r.ord, r.cell): (r.value, r.n_detected) for r in got} == {(g, i, c): (float(v[cells.index(c)]), sum(v[k] > 0 for k in (5, 1, 9))) for g, v in values.items() for i, c in enumerate(["c5", "c1"])}
+    with pytest.raises(counts.SourceError, match="no counts"):
+        counts.read_umi_tsv(spark, put(tmp_path, "v.tsv", "gene\ta\ng1\t1\ngene\ta\n"), ["a"])
+
+
+@pytest.mark.parametrize("text", ["", "%%MatrixMarket matrix array integer general\n1 1 1\n1 1 1\n", "%%MatrixMarket matrix coordinate integer general\n", "%%MatrixMarket matrix coordinate integer general\n0 1 0\n", "%%MatrixMarket matrix coordinate integer general\n2 2 2\n1 1 5\n", "%%MatrixMarket matrix coordinate integer general\n2 2 1\n3 1 5\n", "%%MatrixMarket matrix coordinate integer general\n2 2 1\n1 1 -5\n"])
+def test_faulty_matrices_are_refused(spark, tmp_path, text):
+    with pytest.raises(counts.SourceError):
+        counts.read_mtx(spark, put(tmp_path, "x.mtx", text))
