@@ -99,14 +99,11 @@ class Graph:
         return out
 
 
-def transport_cost(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, tol: float = 1e-12) -> float:
-    """Least cost of moving supply to demand: shortest augmenting paths with node prices, whose reduced costs prove it least."""
-    if abs(supply.sum() - demand.sum()) > 1e-9 * max(1.0, supply.sum()) or (supply < 0).any() or (demand < 0).any():
-        raise CurvatureError("masses must be equal and not negative")
+def augmented_flow(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Flow and reduced costs by shortest augmenting paths with node prices: slower than a tree's, and never at a standstill."""
     n, m = cost.shape
     flow, left, need = np.zeros((n, m)), supply.astype(float).copy(), demand.astype(float).copy()
     pu, pv = np.zeros(n), cost.min(axis=0) if n else np.zeros(m)
-    scale = max(1.0, float(np.abs(cost).max(initial=0)))
     for _ in range(50 * (n + m) ** 2 + 10):
         if left.max(initial=0) <= tol or need.max(initial=0) <= tol:
             break
@@ -146,9 +143,77 @@ def transport_cost(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray, tol
             flow[a, b] += s * amount
         left[i] -= amount
         need[end] -= amount
-    reduced = cost + pu[:, None] - pv[None]
+    return flow, cost + pu[:, None] - pv[None]
+
+
+def tree_flow(supply: list[float], demand: list[float], cost: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Flow and reduced costs by the transport simplex: the cells in use form a tree over rows and columns, and the cell that
+    saves most per unit enters it, until none does. None if that takes more than steps (ties can make it stand still)."""
+    n, m = cost.shape
+    left, need = list(supply), list(demand)
+    around: list[dict[int, float]] = [{} for _ in range(n + m)]  # rows, then columns: neighbours in the tree and flow
+    rows, columns = [True] * n, [True] * m
+    open_rows, open_columns = n, m
+    for cell in np.argsort(cost, axis=None, kind="stable").tolist():  # a cheap start: each cell closes a row or a column
+        i, j = divmod(cell, m)
+        if not (rows[i] and columns[j]):
+            continue
+        x = min(left[i], need[j])
+        around[i][n + j] = around[n + j][i] = x
+        left[i] -= x
+        need[j] -= x
+        if open_rows == open_columns == 1:
+            break
+        if open_columns == 1 or (open_rows > 1 and left[i] <= need[j]):
+            rows[i], open_rows = False, open_rows - 1
+        else:
+            columns[j], open_columns = False, open_columns - 1
+    listed = cost.tolist()
+    enough = -1e-12 * max(1.0, float(np.abs(cost).max()))
+    for _ in range(steps):
+        price, parent, depth, stack = [0.0] * (n + m), [-1] * (n + m), [0] * (n + m), [0]
+        while stack:
+            node = stack.pop()
+            for other in around[node]:
+                if other != parent[node]:
+                    parent[other], depth[other] = node, depth[node] + 1
+                    price[other] = (listed[node][other - n] if node < n else listed[other][node - n]) - price[node]
+                    stack.append(other)
+        reduced = cost - np.array(price[:n])[:, None] - np.array(price[n:])[None]
+        at = int(reduced.argmin())
+        i, j = divmod(at, m)
+        if reduced[i, j] >= enough:
+            flow = np.zeros((n, m))
+            for row in range(n):
+                for column, x in around[row].items():
+                    flow[row, column - n] = x
+            return flow, reduced
+        one, two = [i], [n + j]
+        while one[-1] != two[-1]:
+            side = one if depth[one[-1]] >= depth[two[-1]] else two
+            side.append(parent[side[-1]])
+        path = one + two[-2::-1]  # from the row to the column, along the tree
+        pairs = list(zip(path, path[1:]))
+        least, out = min((around[x][y], k) for k, (x, y) in enumerate(pairs) if k % 2 == 0)
+        for k, (x, y) in enumerate(pairs):
+            around[x][y] = around[y][x] = around[x][y] + (-least if k % 2 == 0 else least)
+        x, y = pairs[out]
+        del around[x][y], around[y][x]
+        around[i][n + j] = around[n + j][i] = least
+    return None
+
+
+def transport_cost(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> float:
+    """Least cost of moving supply to demand, proven by reduced costs that are not negative."""
+    if abs(supply.sum() - demand.sum()) > 1e-9 * max(1.0, supply.sum()) or (supply < 0).any() or (demand < 0).any():
+        raise CurvatureError("masses must be equal and not negative")
+    if not cost.size:
+        return 0.0
+    if not np.isfinite(cost).all():
+        raise CurvatureError("no way to move the mass")
+    flow, reduced = tree_flow(supply.tolist(), demand.tolist(), cost, 20 * sum(cost.shape)) or augmented_flow(supply, demand, cost)
     slack = 1e-9 * max(1.0, supply.sum())
-    if np.abs(flow.sum(1) - supply).max(initial=0) > slack or np.abs(flow.sum(0) - demand).max(initial=0) > slack or reduced.min(initial=0) < -1e-9 * scale:
+    if np.abs(flow.sum(1) - supply).max(initial=0) > slack or np.abs(flow.sum(0) - demand).max(initial=0) > slack or flow.min() < -slack or reduced.min() < -1e-9 * max(1.0, float(np.abs(cost).max())) or abs((flow * reduced).sum()) > 1e-9 * max(1.0, float(np.abs(cost).max())) * max(1.0, supply.sum()):
         raise CurvatureError("transport did not reach a proven optimum")
     return float((flow * cost).sum())
 

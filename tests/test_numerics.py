@@ -174,3 +174,18 @@ def test_bakry_emery_nodes_against_the_whole_graph(spark):
     assert got.keys() == set(whole.ids.tolist())
     for i, r in got.items():
         assert r.curvature == pytest.approx(curvature.bakry_emery(whole, i), abs=1e-9)
+
+
+def test_transport_by_tree_and_by_paths():
+    """Random masses, equal masses with ties in every cost, and masses of zero."""
+    rng = np.random.default_rng(11)
+    for k in range(300):
+        n, m = rng.integers(1, 9, 2)
+        cost = rng.integers(0, 4, (n, m)).astype(float) if k % 2 else rng.uniform(0, 5, (n, m))
+        supply = np.full(n, 1 / n) if k % 3 else rng.dirichlet(np.ones(n))
+        demand = np.full(m, 1 / m) if k % 3 else rng.dirichlet(np.ones(m))
+        if k % 5 == 0 and n > 1:
+            supply[0] = 0
+            supply /= supply.sum()
+        flow, _ = curvature.augmented_flow(supply, demand, cost)
+        assert curvature.transport_cost(supply, demand, cost) == pytest.approx(float((flow * cost).sum()), abs=1e-9)
