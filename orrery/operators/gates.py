@@ -95,3 +95,25 @@ def require_complete(results: dict, expected: list[str]) -> None:
     missing, extra = [e for e in expected if e not in results], [r for r in results if r not in expected]
     if missing or extra:
         raise GateError(f"missing {missing}, unexpected {extra}")
+
+
+def only_field(expected: dict, observed: dict, field: str, tolerance: float = 0.0) -> None:
+    """That two results differ in nothing but one field, given by its path (a/b), and do differ there: what a rerun with one
+    input corrected must show."""
+    found = compare(expected, observed, tolerance)
+    paths = [d.partition(":")[0].lstrip("/") for d in found]
+    other = [p for p in paths if p != field and not p.startswith(f"{field}/")]
+    if other or not paths:
+        raise GateError(f"differences beyond {field}: {other[:10]}" if other else f"{field} does not differ")
+
+
+def verify_pooled(effects: DataFrame, claimed: dict, tolerance: float = 1e-8) -> None:
+    """That a published pooled result (k, delta, se, ci_lo, ci_hi, z and, of several studies, q, df, tau2, i2) is what its table
+    of effects (delta, se) gives. A field that the claim leaves out or adds is an error, as is a number that is off."""
+    from .meta import check_effects, dersimonian_laird
+
+    made = dersimonian_laird(check_effects(effects)).first()
+    if made is None:
+        raise GateError("the table has no effects")
+    fields = ("k", "delta", "se", "ci_lo", "ci_hi", "z", "q", "df", "tau2", "i2")
+    require_same({f: made[f] for f in fields}, {f: claimed[f] for f in claimed if f in fields}, tolerance)

@@ -865,7 +865,7 @@ def stratified_split(spark, sf_dir):
 
 @query()
 def logistic_auc(spark, sf_dir):
-    return ml.repeated_auc(labelled(spark, sf_dir), "y", "id", "features", seeds=2)
+    return ml.repeated_auc(labelled(spark, sf_dir), "y", "id", "features")
 
 
 @query()
@@ -886,28 +886,28 @@ def odd() -> Column:
 
 @query()
 def meta_flagship(spark, sf_dir):
-    return composites.patient_meta(_points(spark, sf_dir), "vec_id", "embedding", "patient", odd(), n_edges=600)
+    return composites.patient_meta(_points(spark, sf_dir), "vec_id", "embedding", "patient", odd())
 
 
 @query()
 def ollivier_edges(spark, sf_dir):
     e = pinned(knn(spark, sf_dir, 10), "edges")
-    return curvature.ollivier_edges(e, sampling.sampled_edges(e, 300))
+    return curvature.ollivier_edges(e, sampling.sampled_edges(e, 4000))
 
 
 @query()
 def ollivier_node(spark, sf_dir):
-    return composites.node_curvature(cells(spark, sf_dir), "vec_id", "embedding", 10, 300)[0]
+    return composites.node_curvature(cells(spark, sf_dir), "vec_id", "embedding")[0]
 
 
 @query()
 def two_group_contrast(spark, sf_dir):
-    return composites.two_group(cells(spark, sf_dir), "vec_id", "embedding", odd(), 10, 300, 150)
+    return composites.two_group(cells(spark, sf_dir), "vec_id", "embedding", odd())
 
 
 @query()
 def forman_ollivier_correlation(spark, sf_dir):
-    return composites.forman_against_ollivier(pinned(knn(spark, sf_dir, 10), "edges"), 300)
+    return composites.forman_against_ollivier(pinned(knn(spark, sf_dir, 15), "edges"))
 
 
 @query()
@@ -918,15 +918,15 @@ def bakry_emery(spark, sf_dir):
 
 @query()
 def depth_stratified(spark, sf_dir):
-    nodes = composites.node_curvature(cells(spark, sf_dir), "vec_id", "embedding", 10, 300)[0]
+    nodes = composites.node_curvature(cells(spark, sf_dir), "vec_id", "embedding")[0]
     depth = cells(spark, sf_dir).select(F.col("vec_id").alias("id"), F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x)).alias("depth"), "label")
-    return composites.by_depth(nodes, depth, odd(), least=3)
+    return composites.by_depth(nodes, depth, odd())
 
 
 @query()
 def spatial_dual_graph(spark, sf_dir):
     p = cells(spark, sf_dir).withColumn("place", F.slice("embedding", 1, 2))
-    return composites.dual_graph(p, "vec_id", "place", "embedding", odd(), 6, 10, 200)
+    return composites.dual_graph(p, "vec_id", "place", "embedding", odd())
 
 
 @query()
@@ -942,7 +942,7 @@ def subclone_kruskal(spark, sf_dir):
 
 @query()
 def contact_curvature(spark, sf_dir):
-    return composites.contact_curvature(contacts(spark, sf_dir, 30), 1.1, 100)
+    return composites.contact_curvature(contacts(spark, sf_dir, 30), 1.1)
 
 
 @query()
@@ -1034,7 +1034,7 @@ def signature_labels(spark, sf_dir):
 
 @query()
 def bootstrap_cliff(spark, sf_dir):
-    return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir), "event_id", "value", is_a(), 50))
+    return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir), "event_id", "value", is_a()))
 
 
 @query("select count(*) as n_rows, sum(n_a) as n_a, sum(n_b) as n_b from (select user_id, date_trunc('day', ts) as d, count(*) filter (where event_type = 'purchase') as n_a, count(*) filter (where event_type = 'view') as n_b from events where ts is not null group by all)", "n_rows *n_a *n_b")

@@ -169,3 +169,13 @@ def read_contacts(spark: SparkSession, path: str) -> DataFrame:
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """df with at, from 0, in order. Meant for axes, not for cells by gene."""
     return df.withColumn("at", F.row_number().over(Window.orderBy(order)) - 1)
+
+
+def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
+    """A 10x HDF5 file cannot be read: Spark has no such source, and its library is not here."""
+    raise SourceError(f"{path}: HDF5 is not read; write it as Matrix Market files (read_triple) or long Parquet first")
+
+
+def read_rds(spark: SparkSession, path: str) -> DataFrame:
+    """An R data file cannot be read without R."""
+    raise SourceError(f"{path}: R data are not read; write them as tab-separated text (read_umi_tsv) from R first")

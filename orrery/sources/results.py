@@ -99,6 +99,11 @@ def write_sorted_tsv(df: DataFrame, path: str, keys: list[str]) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def write_table(df: DataFrame, folder: str, compressed: bool = True) -> None:
+    """A table of any size as tab-separated files with a header each, written by all tasks and there as a whole or not at all."""
+    df.write.mode("errorifexists").csv(folder, sep="\t", header=True, compression="gzip" if compressed else "none", emptyValue="")
+
+
 class Cache:
     """Tables kept under a folder by what they were made from. Whatever does not agree is a miss."""
 
