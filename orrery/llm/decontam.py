@@ -3,6 +3,8 @@
 A window is WINDOW consecutive words of an item, or all of a shorter item. As a set of shingles (SHINGLE consecutive
 words) it is contained in a document only if its rarest shingle is, so that one shingle is its prefix. Documents meet
 windows on this shingle; length and position bound where the window would lie; the words there are then compared.
+A benchmark of few windows is broadcast. Of a larger one, a bit for each prefix is: the corpus passes this sieve, and what
+is left meets the windows by a join.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .shared import staged
 
-#: Words of a window and of a shingle; pairs of window and item that are broadcast at once (more go in blocks of this size); items in a row; hit documents that are broadcast at most.
+#: Words of a window and of a shingle; pairs of window and item, or tokens, that are broadcast; items in a row; hit documents that are broadcast at most.
 WINDOW, SHINGLE, BLOCK, ITEMS, BROADCAST_ROWS = 10, 3, 100_000, 1000, 500_000
+#: A sieve for more of them: its buckets, bits for each token, and 64-bit words of a bucket at most (128 MB in all).
+BUCKETS, BITS, MOST_WORDS = 1024, 16, 1 << 14
 
 # What parts words, before and after A-Z are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,9 +60,12 @@ def prefixes(found: DataFrame, docs: DataFrame) -> DataFrame:
     options = found.select("w", "words", "len").distinct().withColumn("off", F.explode(F.sequence(F.lit(0), F.col("len") - size)))
     token = reduce(lambda c, k: c.when(size == k, _shingle(F.col("w"), F.col("off"), k)), range(1, SHINGLE + 1), F.when(F.lit(False), F.lit(0).cast("bigint")))
     options = options.select("words", "off", token.alias("token"))
-    tokens = options.select("token").distinct()
-    seen = [_met(docs, _sizes(found)).select("token").join(F.broadcast(b), "token") for b in _blocks(tokens, tokens.count(), "token")]
-    counted = reduce(DataFrame.unionByName, seen).groupBy("token").count()
+    tokens = staged(options.select("token").distinct(), "tokens")
+    sizes = _sizes(found)
+    total = tokens.count()
+    met = _met(docs, sizes).select("token")
+    # what the sieve lets through besides is counted for nothing
+    counted = (met.join(F.broadcast(tokens), "token") if total <= BLOCK else _sifted(met, tokens, total)).groupBy("token").count()
     rank = Window.partitionBy("words").orderBy(F.coalesce("count", F.lit(0)), "token", "off")
     return options.join(counted, "token", "left").withColumn("r", F.row_number().over(rank)).where("r = 1").drop("r", "count")
 
@@ -68,10 +75,19 @@ def _sizes(found: DataFrame) -> list[int]:
     return sorted(r[0] for r in found.select(F.least(F.lit(SHINGLE), F.col("len"))).distinct().collect()) or [SHINGLE]
 
 
-def _blocks(rows: DataFrame, count: int, key: str) -> list[DataFrame]:
-    """rows in parts that are small enough to be broadcast."""
-    n = max(1, -(-count // BLOCK))
-    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
+def _sifted(met: DataFrame, tokens: DataFrame, total: int) -> DataFrame:
+    """The rows of met whose token may be one of tokens: all that are, and few others."""
+    words = 1
+    while words < MOST_WORDS and words * 64 * BUCKETS < total * BITS:
+        words *= 2
+    # a token's hash says which bucket, which word of it and which bit
+    bucket, word, bit = (F.col("token").bitwiseAND(BUCKETS - 1), F.shiftrightunsigned("token", 10).bitwiseAND(words - 1), F.shiftrightunsigned("token", 32).bitwiseAND(63).cast("int"))
+    ones = tokens.select(bucket.alias("bucket"), word.alias("word"), bit.alias("bit")).selectExpr("bucket", "word", "shiftleft(1L, bit) as one").groupBy("bucket", "word").agg(F.bit_or("one").alias("bits"))
+    every = tokens.sparkSession.range(BUCKETS * words).select((F.col("id") / words).cast("bigint").alias("bucket"), (F.col("id") % words).alias("word"))
+    sieve = every.join(ones, ["bucket", "word"], "left").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("all"))
+    sieve = staged(sieve.select(F.col("bucket").alias("of_bucket"), F.transform("all", lambda w: w["bits"]).alias("bits")), "sieve")
+    placed = met.withColumns({"in_bucket": bucket, "in_word": word.cast("int"), "in_bit": bit}).join(F.broadcast(sieve), F.col("in_bucket") == F.col("of_bucket"))
+    return placed.where("(shiftrightunsigned(get(bits, in_word), in_bit) & 1L) = 1").drop("in_bucket", "in_word", "in_bit", "of_bucket", "bits")
 
 
 def _met(docs: DataFrame, sizes: list[int]) -> DataFrame:
@@ -108,17 +124,21 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     total = found.agg(F.sum(F.size("items"))).first()[0] or 0
     sizes = _sizes(found)
     keyed = staged(found.drop("w").join(prefixes(found, rows), "words"), "keyed")
-    hits = []
-    for i, block in enumerate(_blocks(keyed, total, "words")):
-        met = _met(known, sizes).join(F.broadcast(block), "token", "left" if i == 0 else "inner")
-        # besides what is found, the first block keeps the first place of each document, for its number of words
-        met = met.where(F.col("off").isNotNull() | ((F.col("pos") == 0) if i == 0 else F.lit(False)))
-        start = F.col("pos") - F.col("off")
-        inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
-        same = inside & (_ascii_lower(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")) == F.col("words"))
-        n = F.size("w") - (F.element_at("w", 1) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
-        hits.append(met.select("doc_id", "key", n.cast("bigint").alias("n"), F.when(same, F.struct(start.alias("start"), F.col("len").alias("len"))).alias("hit"), F.when(same, F.col("items")).alias("items"), "pos").where(F.col("hit").isNotNull() | (F.col("pos") == 0)))
-    one = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "key").agg(F.max("n").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("items"))
+    n = (F.size("w") - (F.element_at("w", 1) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")).cast("bigint")
+    places = _met(known, sizes)
+    if total <= BLOCK:  # besides what is found, the first place of each document is kept, for its number of words
+        met = places.join(F.broadcast(keyed), "token", "left").where(F.col("off").isNotNull() | (F.col("pos") == 0))
+    else:
+        tokens = staged(keyed.select("token").distinct(), "tokens")
+        met = _sifted(places, tokens, tokens.count()).join(keyed, "token")
+    start = F.col("pos") - F.col("off")
+    inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
+    same = inside & (_ascii_lower(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")) == F.col("words"))
+    hits = met.select("doc_id", "key", n.alias("n"), F.when(same, F.struct(start.alias("start"), F.col("len").alias("len"))).alias("hit"), F.when(same, F.col("items")).alias("items"), "pos").where(F.col("hit").isNotNull() | (F.col("pos") == 0)).drop("pos")
+    if total > BLOCK:
+        none = known.withColumn("w", _words(F.col("text"))).select("doc_id", "key", n.alias("n"))
+        hits = hits.unionByName(none.select("*", *(F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in ("hit", "items"))))
+    one = hits.groupBy("doc_id", "key").agg(F.max("n").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("items").alias("items"))
     places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten("items")))
     return one.select("doc_id", "key", "n_words", F.size(places).cast("bigint").alias("n_hit"), F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
