@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import running, with_mid_ranks
+from .ranks import mid_ranks, running
 
 EXACT = "decimal(38,0)"
 
@@ -93,8 +93,9 @@ def welch(df: DataFrame, keys: list[str], value: str, is_a: Column) -> DataFrame
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """h, df, n: the Kruskal-Wallis statistic with tie correction, over the groups of the whole table."""
     rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("g").isNotNull())
-    ranked = with_mid_ranks(rows, "value", "r")
-    groups = ranked.groupBy("g").agg(F.sum("r").alias("s"), F.count("*").alias("n"))
+    # counts of each group's values meet their ranks, so that a value that many rows have is no large key
+    ranked = rows.groupBy("g", "value").agg(F.count("*").alias("c")).join(mid_ranks(rows, "value").select("value", "mid_rank"), "value")
+    groups = ranked.groupBy("g").agg(F.sum(F.col("c") * F.col("mid_rank")).alias("s"), F.sum("c").alias("n"))
     ties = rows.groupBy("value").count().agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).cast("double").alias("ties"))
     total = groups.agg(F.sum("n").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q"), (F.count("*") - 1).alias("df")).crossJoin(ties)
     n = F.col("n").cast("double")
@@ -105,9 +106,10 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
 def wilcoxon(df: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
     """keys, n, w_plus, w_minus, ties: signed ranks of the differences that are not zero."""
     d = df.select(*keys, (F.col(one).cast("double") - F.col(two).cast("double")).alias("d")).where("d is not null and d <> 0").withColumn("size", F.abs("d"))
-    ranked = with_mid_ranks(d, "size", "r", keys)
-    tied = d.groupBy(*keys, "size").count().groupBy(*keys).agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count")).cast("double").alias("ties"))
-    sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    counted = d.groupBy(*keys, "size").agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    ranked = counted.join(mid_ranks(d, "size", keys).select(*keys, "size", "mid_rank"), [*keys, "size"])
+    tied = counted.groupBy(*keys).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("ties"))
+    sums = ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("mid_rank")).alias("w_plus"), F.sum((F.col("c") - F.col("up")) * F.col("mid_rank")).alias("w_minus"))
     return sums.join(tied, keys) if keys else sums.crossJoin(tied)
 
 
@@ -118,7 +120,11 @@ def pearson(df: DataFrame, one: str, two: str) -> DataFrame:
 def spearman(df: DataFrame, one: str, two: str) -> DataFrame:
     """rho, n: Pearson's correlation of mid-ranks."""
     rows = df.select(F.col(one).cast("double").alias("x"), F.col(two).cast("double").alias("y")).where("x is not null and y is not null")
-    return with_mid_ranks(with_mid_ranks(rows, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    counted = rows.groupBy("x", "y").agg(F.count("*").alias("c"))
+    ranks = [mid_ranks(rows, v).select(v, F.col("mid_rank").alias(f"r{v}")) for v in ("x", "y")]
+    ranked = counted.join(ranks[0], "x").join(ranks[1], "y").crossJoin(F.broadcast(rows.agg(((F.count("*") + 1) / F.lit(2.0)).alias("mean"))))
+    rx, ry, c = F.col("rx") - F.col("mean"), F.col("ry") - F.col("mean"), F.col("c")
+    return ranked.agg(F.try_divide(F.sum(c * rx * ry), F.sqrt(F.sum(c * rx * rx)) * F.sqrt(F.sum(c * ry * ry))).alias("rho"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
 
 
 def directions(effects: DataFrame, value: str = "delta") -> DataFrame:

@@ -35,8 +35,3 @@ def mid_ranks(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
     ranked = running(counted, value, ["n"], list(keys))
     return ranked.select(*keys, value, "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("mid_rank"))
-
-
-def with_mid_ranks(df: DataFrame, value: str, name: str, keys: list[str] = ()) -> DataFrame:
-    ranks = mid_ranks(df, value, keys).select(*keys, value, F.col("mid_rank").alias(name))
-    return df.join(ranks, [*keys, value])
