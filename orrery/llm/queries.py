@@ -17,6 +17,22 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).drop("comp", "key")
 
 
+#: A-Z alone are lower-cased.
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1_SQL = f"""
+with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct rid, hash(array_to_string(w[i:i + 4], ' ')) as h, hash('2' || array_to_string(w[i:i + 4], ' ')) as h2 from (select rid, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from d where len(w) > 0)),
+n as (select rid, count(*) as n from s group by rid),
+c as (select a.rid as x, b.rid as y, count(*) as c from s a join s b on a.h = b.h and a.h2 = b.h2 and a.rid < b.rid group by all),
+l as (select x, y from c join n a on a.rid = x join n b on b.rid = y where 100 * c.c >= 75 * (a.n + b.n - c.c)),
+e as (select x, y from l union all select y, x from l),
+r as (select rid as x, rid as y from d union select r.x, e.y from r join e on e.x = r.y)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.component_id, cast(coalesce(k.k, 0) as bigint) as n_links
+from d left join n on n.rid = d.rid join (select r.x, min(o.doc_id) as component_id from r join d o on o.rid = r.y group by r.x) m on m.x = d.rid left join (select x, count(*) as k from e group by x) k on k.x = d.rid
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in all documents (secrets.scan): a null text is empty, a repeated row is reported again, texts are read whole; no
     rows give none."""
@@ -53,6 +69,19 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP5_SQL = f"""
+with i as (select cast(item_id as varchar) as item, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+v as (select distinct item, least(len(w), 10) as n, array_to_string(w[k:k + 9], ' ') as words from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as k from i where len(w) > 0)),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+g as (select rid, k, n, array_to_string(w[k:k + n - 1], ' ') as words from (select rid, w, unnest(range(1, len(w) + 1)) as k from d) cross join (select distinct n from v) where k + n - 1 <= len(w)),
+f as (select rid, k, g.n, item from g join v on v.n = g.n and v.words = g.words),
+h as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(k, k + n)) as p from (select distinct rid, k, n from f)) group by rid),
+t as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from f) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (rid) left join t using (rid)
+"""
+
+
 def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations from every side (chat.rotate): null turns come first, a null role is `unknown`, a null text empty; messages
     that repeat count once; no rows give none."""
@@ -123,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op6_chat_rotation": OP6_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_warc": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op8_top_k": OP8_SQL}
