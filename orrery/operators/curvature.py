@@ -406,25 +406,25 @@ def bakry_emery(graph: Graph, node: int, dimensions: tuple[float, ...] = DIMENSI
     The form is reduced onto where Gamma does not vanish (a Schur complement), and its least eigenvalue against Gamma taken.
     """
     gamma, gamma2, laplace = gamma_forms(graph, graph.index(node))
-    values, axes = np.linalg.eigh(gamma)
+    n, m = len(gamma), len(graph.neighbours(graph.index(node))) + 1  # Gamma reads the node and its neighbours, which come first
+    values, axes = np.linalg.eigh(gamma[:m, :m])
     on = values > RANGE_TOL * max(1.0, values.max())
     if not on.any():
         return [math.nan] * len(dimensions)
-    seen, hidden = axes[:, on] / np.sqrt(values[on]), axes[:, ~on]
-    out = []
-    for dimension in dimensions:
-        form = gamma2 - np.outer(laplace, laplace) / dimension
-        block, cross = hidden.T @ form @ hidden, seen.T @ form @ hidden
-        level, turn = np.linalg.eigh((block + block.T) / 2)
-        kernel = level < KERNEL
-        # cross is in units of Gamma; the test is in the coordinates' own
-        raw = (cross * np.sqrt(values[on])[:, None]) @ turn[:, kernel]
-        if level.min(initial=0) < NEGATIVE or (kernel.any() and np.linalg.norm(raw) > -NEGATIVE):
-            out.append(INFEASIBLE)
-            continue
-        reduced = seen.T @ form @ seen - cross @ np.linalg.pinv(block, rcond=PINV, hermitian=True) @ cross.T
-        out.append(float(np.linalg.eigvalsh((reduced + reduced.T) / 2).min()))
-    return out
+    seen, hidden = np.zeros((n, on.sum())), np.zeros((n, n - on.sum()))
+    seen[:m] = axes[:, on] / np.sqrt(values[on])
+    hidden[:m, : m - on.sum()], hidden[m:, m - on.sum() :] = axes[:, ~on], np.eye(n - m)
+    # where Gamma vanishes the Laplacian does too, so only what is left over depends on the dimension
+    block, cross = hidden.T @ gamma2 @ hidden, seen.T @ gamma2 @ hidden
+    level, turn = np.linalg.eigh((block + block.T) / 2)
+    kernel, turned = level < KERNEL, cross @ turn
+    # cross is in units of Gamma; the test is in the coordinates' own
+    if level.min(initial=0) < NEGATIVE or (kernel.any() and np.linalg.norm(turned[:, kernel] * np.sqrt(values[on])[:, None]) > -NEGATIVE):
+        return [INFEASIBLE] * len(dimensions)
+    inverse = np.divide(1, level, out=np.zeros_like(level), where=np.abs(level) > PINV * np.abs(level).max(initial=0))
+    reduced, drift = seen.T @ gamma2 @ seen - (turned * inverse) @ turned.T, seen.T @ laplace
+    forms = (reduced - np.outer(drift, drift) / dimension for dimension in dimensions)
+    return [float(np.linalg.eigvalsh((form + form.T) / 2).min()) for form in forms]
 
 
 def effective_dimension(curvatures: list[float], dimensions: tuple[float, ...] = DIMENSIONS) -> float:

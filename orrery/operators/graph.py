@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import pinned
 
-#: Rows up to which neighbours are found by one SQL join; beyond, blocks are compared in numpy. Vectors of a block; points that blocks are gathered around, at most.
-SMALL, BLOCK, CENTRES = 4000, 2048, 1024
+#: Components of all points up to which they are broadcast (32 MB); beyond, blocks are compared. Vectors of a block; points that blocks are gathered around, at most.
+SMALL, BLOCK, CENTRES = 1 << 22, 2048, 1024
 
 
 def incident(edges: DataFrame, *values: str) -> DataFrame:
@@ -21,18 +21,17 @@ def incident(edges: DataFrame, *values: str) -> DataFrame:
 def neighbours(points: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
     """i, j, d, r: the k nearest other points of each, by Euclidean distance, ties to the lesser id. Exact.
 
-    Small tables are compared in SQL, large ones in blocks of points that lie near each other. First each block is compared
+    The points of a small table are broadcast. Those of a large one are gathered in blocks: first each block is compared
     with itself, which bounds the distance of a point's k-th neighbour; then with the blocks that can lie within the bounds
-    by the triangle inequality. Distances are summed in the same order either way, so they are equal to the last bit.
+    by the triangle inequality. Distances are summed in the order of the components either way, so they are equal to the
+    last bit.
     """
-    rows = points.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x")).where("x is not null")
-    n = rows.count()
-    if n <= SMALL:
-        a, b = rows.select(F.col("id").alias("i"), F.col("x").alias("xi")), rows.select(F.col("id").alias("j"), F.col("x").alias("xj"))
-        d = F.sqrt(F.aggregate(F.zip_with("xi", "xj", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-        pairs = a.join(F.broadcast(b), F.col("i") != F.col("j")).select("i", "j", d.alias("d"))
+    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where("x is not null")
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims")).first()
+    if size.n * (size.dims or 0) <= SMALL:
+        pairs = _against_all(rows, k)
     else:
-        pairs = _blocked(pinned(rows, "points"), n, k)
+        pairs = _blocked(pinned(rows, "points"), size.n, k)
     by = Window.partitionBy("i").orderBy("d", "j")
     return pairs.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k)
 
@@ -56,6 +55,24 @@ def _near(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, bo
     return a, b, np.sqrt(d)
 
 
+def _against_all(rows: DataFrame, k: int) -> DataFrame:
+    """i, j, d of each point's k nearest, at least; all points are broadcast."""
+    whole = rows.toArrow()
+    ids = whole["id"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast((ids, np.array(whole["x"].to_pylist(), np.float64).reshape(len(ids), -1)))
+
+    def nearest(batches):
+        j, y = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                i, x = some.column(0).to_numpy(), np.array(some.column(1).to_pylist(), np.float64).reshape(some.num_rows, -1)
+                a, b, d = _near(i, x, j, y, k, np.full(len(i), np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(j[b]), pa.array(d)], names=["i", "j", "d"])
+
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(nearest, "i long, j long, d double")
+
+
 def _blocked(rows: DataFrame, n: int, k: int) -> DataFrame:
     """i, j, d of each point's k nearest, at least."""
     spark = rows.sparkSession
