@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
+from ..session import pinned
 from .ranks import running
 
+#: Features up to which a model is fitted by Newton's method.
+NEWTON = 512
+
 
 def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.2, seed: int = 0) -> DataFrame:
     """df with test: share of each class, rounded up, by the rows' hashes."""
@@ -32,17 +38,63 @@ def standardised(train: DataFrame, other: DataFrame, features: str) -> tuple[Dat
     return train.withColumn(features, z), other.withColumn(features, z)
 
 
+def logistic_weights(rows: DataFrame, c: float, dims: int, steps: int = 50) -> np.ndarray:
+    """Weights and, last, the intercept that minimise the weighted losses plus half the squared weights over c, by Newton's
+    method: each step is one job that adds up a gradient and a matrix of dims x dims. rows: label (0 or 1), features, w."""
+    beta = np.zeros(dims + 1)
+    penalty = np.append(np.full(dims, 1 / c), 0.0)
+
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def added(batches):
+            loss, gradient, curve = 0.0, np.zeros(dims + 1), np.zeros((dims + 1, dims + 1))
+            for batch in batches:
+                x = np.column_stack([np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, dims), np.ones(batch.num_rows)])
+                y, w = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                z = x @ at
+                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                loss += float((w * (np.logaddexp(0, z) - y * z)).sum())
+                gradient += x.T @ (w * (p - y))
+                curve += (x * (w * p * (1 - p))[:, None]).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary()), pa.array([curve.tobytes()], pa.binary())], names=["loss", "gradient", "curve"])
+
+        parts = rows.select("label", "features", "w").mapInArrow(added, "loss double, gradient binary, curve binary").collect()
+        loss = sum(r.loss for r in parts) + 0.5 * float(penalty @ (at * at))
+        gradient = sum((np.frombuffer(r.gradient) for r in parts), penalty * at)
+        return loss, gradient, sum((np.frombuffer(r.curve).reshape(dims + 1, dims + 1) for r in parts), np.diag(penalty))
+
+    loss, gradient, curve = sums(beta)
+    for _ in range(steps):
+        step = np.linalg.lstsq(curve, gradient, rcond=None)[0]
+        size = 1.0
+        after = sums(beta - step)
+        while after[0] > loss and size > 1e-6:  # a whole step can go too far
+            size /= 2
+            after = sums(beta - size * step)
+        beta = beta - size * step
+        done = loss - after[0] <= 1e-12 * max(1.0, abs(loss))
+        loss, gradient, curve = after
+        if done:
+            break
+    return beta
+
+
 def logistic_scores(train: DataFrame, test: DataFrame, label: str, features: str, c: float = 1.0) -> DataFrame:
-    """test with score: class weights balanced, L2 penalty of 1 / c on the sum of losses, intercept free."""
+    """test with score: class weights balanced, L2 penalty of 1 / c on the sum of losses, intercept free. Up to NEWTON features are
+    fitted by Newton's method, more by Spark's own."""
+    one, two = standardised(train, test, features)
+    n = one.groupBy(label).agg(F.count("*").alias("count"), F.max(F.size(features)).alias("dims")).collect()
+    total, dims = sum(r["count"] for r in n), max((r.dims for r in n), default=0)
+    weight = reduce(lambda w, r: w.when(F.col(label) == r[label], total / (len(n) * r["count"])), n, F.when(F.lit(False), 0.0))
+    # a step of the fit is a job: few tasks for few rows
+    rows = one.select(F.col(label).cast("double").alias("label"), F.col(features).alias("features"), weight.alias("w")).coalesce(max(1, total // 50_000))
+    if dims <= NEWTON:
+        beta = logistic_weights(pinned(rows, "rows"), c, dims)
+        z = F.aggregate(F.zip_with(features, F.array(*map(F.lit, beta[:-1].tolist())), lambda x, b: x * b), F.lit(float(beta[-1])), lambda s, v: s + v)
+        return two.withColumn("score", 1 / (1 + F.exp(-z)))
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    one, two = standardised(train, test, features)
-    n = one.groupBy(label).count().collect()
-    total = sum(r["count"] for r in n)
-    weight = reduce(lambda w, r: w.when(F.col(label) == r[label], total / (len(n) * r["count"])), n, F.when(F.lit(False), 0.0))
-    rows = one.select(F.col(label).cast("double").alias("label"), array_to_vector(features).alias("features"), weight.alias("w"))
-    model = LogisticRegression(weightCol="w", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200).fit(rows)
+    model = LogisticRegression(weightCol="w", regParam=1 / (c * total), elasticNetParam=0.0, standardization=False, maxIter=200).fit(rows.withColumn("features", array_to_vector("features")))
     scored = model.transform(two.withColumnRenamed(features, "__f").withColumn("features", array_to_vector("__f")))
     return scored.withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction").withColumnRenamed("__f", features)
 
@@ -79,8 +131,8 @@ def repeated_auc(df: DataFrame, label: str, id_col: str, features: str, seeds: i
     """auc_mean, auc_std, ap_mean, f1_mean, n over splits by several seeds; what cannot be computed is skipped."""
     runs = []
     for seed in range(1, seeds + 1):
-        split = stratified_split(df, label, id_col, share, seed)
-        runs.append(scores_of(logistic_scores(split.where("not test"), split.where("test"), label, features), label))
+        split = pinned(stratified_split(df.select(id_col, label, features), label, id_col, share, seed), "split")
+        runs.append(scores_of(pinned(logistic_scores(split.where("not test"), split.where("test"), label, features).select(label, "score"), "scored"), label))
     return reduce(DataFrame.unionByName, runs).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"), F.avg("ap").alias("ap_mean"), F.avg("f1").alias("f1_mean"), F.count("auc").alias("n"))
 
 
@@ -90,5 +142,5 @@ def leave_one_group_out(df: DataFrame, group: str, label: str, features: str) ->
     for (g,) in sorted(df.select(group).distinct().collect()):
         train, test = df.where(F.col(group) != g), df.where(F.col(group) == g)
         sizes = df.agg(F.count_if(F.col(group) != g).alias("n_train"), F.count_if(F.col(group) == g).alias("n_test"))
-        out.append(sizes.crossJoin(scores_of(logistic_scores(train, test, label, features), label)).withColumn(group, F.lit(g)))
+        out.append(sizes.crossJoin(scores_of(pinned(logistic_scores(train, test, label, features).select(label, "score"), "scored"), label)).withColumn(group, F.lit(g)))
     return reduce(DataFrame.unionByName, out)

@@ -316,10 +316,11 @@ def against_random(spark, sf_dir):
 @query("""
 select case when n_classified < 3 then 'inconclusive' when neg > 0 then 'annotation_dependent_sign_reversal' when pos = 3 then 'robust_all_positive' else 'robust_in_direction_with_null_schemes' end as verdict, n_classified, 3 as n_expected, delta_min, delta_max from (
     select count(kind) as n_classified, count(*) filter (where kind = 'negative') as neg, count(*) filter (where kind = 'positive') as pos, min(delta) as delta_min, max(delta) as delta_max from (
-        select delta, case when delta < -0.05 then 'negative' when delta > 0.05 then 'positive' else 'null' end as kind from (select l_returnflag as scheme, avg(l_quantity) / 100 as delta from lineitem where l_returnflag in ('A', 'N', 'R') group by 1)))
+        select delta, case when not ok then null when delta < -0.05 and p < 0.05 then 'negative' when delta > 0.05 and p < 0.05 then 'positive' else 'null' end as kind from (
+            select l_returnflag as scheme, avg(l_quantity) / 100 as delta, avg(l_discount) as p, count(*) > 100 as ok from lineitem where l_returnflag in ('A', 'N', 'R') group by 1)))
 """, "verdict n_classified n_expected *delta_min *delta_max")
 def label_verdict(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("scheme")).agg((F.avg("l_quantity") / 100).alias("delta")).withColumns({"ok": F.lit(True), "p": F.lit(0.01)})
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("scheme")).agg((F.avg("l_quantity") / 100).alias("delta"), F.avg("l_discount").alias("p"), (F.count("*") > 100).alias("ok"))
     return meta.label_verdict(e, ["A", "N", "R"])
 
 
@@ -570,12 +571,12 @@ def community_labels(spark, sf_dir):
 
 
 def dual(spark, sf_dir, rule):
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error")).select(F.col("user_id").cast("string").alias("b"), F.when(F.col("event_type") == "signup", "malignant").otherwise("immune").alias("l"))
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error")).select(F.floor(F.col("event_id") / 3).cast("string").alias("b"), F.when(F.col("event_type") == "signup", "malignant").otherwise("immune").alias("l"))
     return labels.dual_labels(e, "b", "l", rule)
 
 
 def dual_sql(pick: str, where: str = "") -> str:
-    return f"select barcode, case when lo <> hi then {pick} else lo end as label, lo <> hi as dual from (select cast(user_id as varchar) as barcode, min(l) as lo, max(l) as hi from (select user_id, case event_type when 'signup' then 'malignant' else 'immune' end as l from events where event_type in ('signup', 'error') and user_id is not null) group by 1) {where}"
+    return f"select barcode, case when lo <> hi then {pick} else lo end as label, lo <> hi as dual from (select cast(event_id // 3 as varchar) as barcode, min(l) as lo, max(l) as hi from (select event_id, case event_type when 'signup' then 'malignant' else 'immune' end as l from events where event_type in ('signup', 'error') and event_id is not null) group by 1) {where}"
 
 
 @query(dual_sql("null", "where lo = hi"), "barcode label dual")
@@ -1037,9 +1038,9 @@ def bootstrap_cliff(spark, sf_dir):
     return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir), "event_id", "value", is_a()))
 
 
-@query("select count(*) as n_rows, sum(n_a) as n_a, sum(n_b) as n_b from (select user_id, date_trunc('day', ts) as d, count(*) filter (where event_type = 'purchase') as n_a, count(*) filter (where event_type = 'view') as n_b from events where ts is not null group by all)", "n_rows *n_a *n_b")
+@query("select user_id as patient, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) filter (where event_type = 'purchase') as n_a, count(*) filter (where event_type = 'view') as n_b from events where ts is not null group by all", "patient day n_a n_b")
 def arm_counts_by_day(spark, sf_dir):
     from ..streaming.patients import arm_counts
 
     out = arm_counts(table(spark, sf_dir, "events"), "user_id", "ts", is_a(), is_b())
-    return out.agg(F.count("*").alias("n_rows"), F.sum("n_a").cast("double").alias("n_a"), F.sum("n_b").cast("double").alias("n_b"))
+    return out.select("patient", F.date_format("start", "yyyy-MM-dd").alias("day"), "n_a", "n_b")

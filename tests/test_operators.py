@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import effects, gates, graph, labels, meta, models, normalize, sampling
+from orrery.operators import effects, gates, graph, labels, meta, ml, models, normalize, sampling
 from orrery.sources import counts, results
 
 def arm():
@@ -292,3 +292,22 @@ def test_neighbours_in_blocks_are_those_of_one_join(spark, monkeypatch, spread):
     monkeypatch.setattr(graph, "BLOCK", 60)
     assert {tuple(r) for r in graph.neighbours(table, "id", "x", 4).collect()} == one
     assert {tuple(r) for r in graph.neighbours(few, "id", "x", 4).collect()} == three
+
+
+def test_both_fits_give_the_same_model(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 5))
+    y = x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=300) > 0.8
+    rows = spark.createDataFrame([(i, bool(y[i]), x[i].tolist()) for i in range(300)], "id long, y boolean, x array<double>")
+    train, test = rows.where("id < 200"), rows.where("id >= 200")
+    newton = {r.id: r.score for r in ml.logistic_scores(train, test, "y", "x").collect()}
+    monkeypatch.setattr(ml, "NEWTON", 0)
+    plain = {r.id: r.score for r in ml.logistic_scores(train, test, "y", "x").collect()}
+    assert newton.keys() == plain.keys() and all(newton[i] == pytest.approx(plain[i], abs=1e-4) for i in newton)
+    # at the optimum the gradient of the penalised, balanced loss vanishes
+    z = (x[:200] - x[:200].mean(0)) / x[:200].std(0)
+    w = np.where(y[:200], 100 / y[:200].sum(), 100 / (~y[:200]).sum())
+    table = spark.createDataFrame([(float(b), a.tolist(), float(c)) for a, b, c in zip(z, y, w)], "label double, features array<double>, w double")
+    beta = ml.logistic_weights(table, 1.0, 5)
+    p = 1 / (1 + np.exp(-(z @ beta[:-1] + beta[-1])))
+    assert np.abs(z.T @ (w * (p - y[:200])) + beta[:-1]).max() < 1e-6 and abs((w * (p - y[:200])).sum()) < 1e-6
