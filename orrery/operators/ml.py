@@ -13,8 +13,8 @@ from ..functions.scalars import draw
 from ..session import pinned
 from .ranks import running
 
-#: Features up to which a model is fitted by Newton's method.
-NEWTON = 512
+#: Features up to which a model is fitted by Newton's method; numbers of a training table that the driver holds (8 MB).
+NEWTON, LOCAL = 512, 1 << 20
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, share: float = 0.2, seed: int = 0) -> DataFrame:
@@ -40,27 +40,37 @@ def standardised(train: DataFrame, other: DataFrame, features: str) -> tuple[Dat
 
 def logistic_weights(rows: DataFrame, c: float, dims: int, steps: int = 50) -> np.ndarray:
     """Weights and, last, the intercept that minimise the weighted losses plus half the squared weights over c, by Newton's
-    method: each step is one job that adds up a gradient and a matrix of dims x dims. rows: label (0 or 1), features, w."""
+    method: each step is one job that adds up a gradient and a matrix of dims x dims; tables of up to LOCAL numbers are summed
+    on the driver. rows: label (0 or 1), features, w."""
     beta = np.zeros(dims + 1)
     penalty = np.append(np.full(dims, 1 / c), 0.0)
 
-    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def partial(at: np.ndarray, y: np.ndarray, x: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = x @ at
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return float((w * (np.logaddexp(0, z) - y * z)).sum()), x.T @ (w * (p - y)), (x * (w * p * (1 - p))[:, None]).T @ x
+
+    def arrays(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, dims)
+        return batch.column(0).to_numpy(), np.column_stack([x, np.ones(batch.num_rows)]), batch.column(2).to_numpy()
+
+    def distributed(at: np.ndarray) -> list[tuple]:
         def added(batches):
-            loss, gradient, curve = 0.0, np.zeros(dims + 1), np.zeros((dims + 1, dims + 1))
+            total = [0.0, np.zeros(dims + 1), np.zeros((dims + 1, dims + 1))]
             for batch in batches:
-                x = np.column_stack([np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, dims), np.ones(batch.num_rows)])
-                y, w = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                z = x @ at
-                p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                loss += float((w * (np.logaddexp(0, z) - y * z)).sum())
-                gradient += x.T @ (w * (p - y))
-                curve += (x * (w * p * (1 - p))[:, None]).T @ x
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary()), pa.array([curve.tobytes()], pa.binary())], names=["loss", "gradient", "curve"])
-
-        parts = rows.select("label", "features", "w").mapInArrow(added, "loss double, gradient binary, curve binary").collect()
-        loss = sum(r.loss for r in parts) + 0.5 * float(penalty @ (at * at))
-        gradient = sum((np.frombuffer(r.gradient) for r in parts), penalty * at)
-        return loss, gradient, sum((np.frombuffer(r.curve).reshape(dims + 1, dims + 1) for r in parts), np.diag(penalty))
+                total = [t + more for t, more in zip(total, partial(at, *arrays(batch)))]
+            yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1].tobytes()], pa.binary()), pa.array([total[2].tobytes()], pa.binary())], names=["loss", "gradient", "curve"])
+
+        parts = rows.mapInArrow(added, "loss double, gradient binary, curve binary").collect()
+        return [(r.loss, np.frombuffer(r.gradient), np.frombuffer(r.curve).reshape(dims + 1, dims + 1)) for r in parts]
+
+    rows = rows.select("label", "features", "w")
+    here = arrays(rows.toArrow()) if rows.count() * dims <= LOCAL else None
+
+    def sums(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        parts = [partial(at, *here)] if here else distributed(at)
+        loss, gradient, curve = (sum(p[i] for p in parts) for i in range(3))
+        return loss + 0.5 * float(penalty @ (at * at)), gradient + penalty * at, curve + np.diag(penalty)
 
     loss, gradient, curve = sums(beta)
     for _ in range(steps):

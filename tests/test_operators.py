@@ -300,7 +300,10 @@ def test_both_fits_give_the_same_model(spark, monkeypatch):
     y = x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=300) > 0.8
     rows = spark.createDataFrame([(i, bool(y[i]), x[i].tolist()) for i in range(300)], "id long, y boolean, x array<double>")
     train, test = rows.where("id < 200"), rows.where("id >= 200")
+    here = {r.id: r.score for r in ml.logistic_scores(train, test, "y", "x").collect()}
+    monkeypatch.setattr(ml, "LOCAL", 0)
     newton = {r.id: r.score for r in ml.logistic_scores(train, test, "y", "x").collect()}
+    assert here.keys() == newton.keys() and all(here[i] == pytest.approx(newton[i], abs=1e-9) for i in here)
     monkeypatch.setattr(ml, "NEWTON", 0)
     plain = {r.id: r.score for r in ml.logistic_scores(train, test, "y", "x").collect()}
     assert newton.keys() == plain.keys() and all(newton[i] == pytest.approx(plain[i], abs=1e-4) for i in newton)
