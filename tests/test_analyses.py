@@ -1,5 +1,6 @@
 """Whole analyses on small cases with known answers, and the gates on published results."""
 
+import gzip
 import json
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery import verify
-from orrery.operators import curvature, gates, graph, meta, sampling
+from orrery.operators import cluster, curvature, gates, graph, meta, ml, models, normalize, sampling
 from orrery.plans import composites
 from orrery.sources import counts, results
 
@@ -158,3 +159,76 @@ def test_files_that_cannot_be_read_say_so(spark, tmp_path):
     results.write_table(spark.range(5).withColumn("s", F.lit("a")), str(tmp_path / "t"))
     back = spark.read.csv(str(tmp_path / "t"), sep="\t", header=True)
     assert {r.id for r in back.collect()} == set("01234")
+
+
+# Numbers of operators that SQL cannot say
+
+
+def test_components_against_singular_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1])
+    got = {r.cell: r.pcs for r in normalize.principal_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell long, features array<double>"), 3).collect()}
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.svd(centred)[2][:3].T
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(3)])
+    assert np.array([got[i] for i in range(50)]) == pytest.approx(centred @ axes, abs=1e-8)
+
+
+def test_batches_come_together_and_groups_stay_apart(spark):
+    rng = np.random.default_rng(4)
+    group, batch = np.arange(120) % 2, np.arange(120) // 60
+    x = rng.normal(size=(120, 3)) * 0.3 + np.outer(group, [6, 0, 0]) + [4, 4, 4] + np.outer(batch, [0, 1.5, 0])
+    rows = spark.createDataFrame([(i, str(batch[i]), x[i].tolist()) for i in range(120)], "id long, b string, x array<double>")
+    y = np.array([r.features for r in cluster.batch_corrected(rows, "id", "b", "x", clusters=4).orderBy("id").collect()])
+    apart = lambda z, by: np.abs(z[by == 1].mean(axis=0) - z[by == 0].mean(axis=0)).max()
+    assert apart(y, batch) < 0.3 * apart(x, batch) and apart(y, group) > 0.8 * apart(x, group)
+
+
+def test_pseudotime_along_a_line(spark):
+    rows = spark.createDataFrame([(i, [i / 10.0, 0.0]) for i in range(60)], "id long, x array<double>")
+    got = [r.pseudotime for r in cluster.pseudotime(rows, "id", "x", 0, k=5).orderBy("id").collect()]
+    assert got[0] == 0 and max(got) == 1 and all(a < b for a, b in zip(got, got[1:]))
+
+
+def test_logit_against_its_equations(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 2))
+    y = rng.uniform(size=200) < 1 / (1 + np.exp(-(0.5 + x[:, 0])))
+    out = models.logit(spark.createDataFrame([(int(b), float(a[0]), float(a[1])) for b, a in zip(y, x)], "y int, a double, b double"), "y", ["a", "b"])
+    p = 1 / (1 + np.exp(-(out["coef"]["intercept"] + x @ [out["coef"]["a"], out["coef"]["b"]])))
+    assert np.abs((y - p) @ np.column_stack([np.ones(200), x])).max() < 1e-8
+    assert out["log_likelihood"] == pytest.approx(np.log(np.where(y, p, 1 - p)).sum()) and out["log_likelihood_null"] == pytest.approx(200 * (y.mean() * np.log(y.mean()) + (1 - y.mean()) * np.log(1 - y.mean())))
+    assert out["llr_p"] == pytest.approx(np.exp(-(out["log_likelihood"] - out["log_likelihood_null"])))  # two degrees of freedom
+
+
+def test_leave_one_out_is_a_model_of_the_others(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, bool(i % 2), (rng.normal(size=3) + 2 * (i % 2)).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, cohort long, y boolean, x array<double>")
+    got = {r.cohort: r for r in ml.leave_one_group_out(df, "cohort", "y", "x").collect()}
+    for c in range(3):
+        one = ml.scores_of(ml.logistic_scores(df.where(F.col("cohort") != c), df.where(F.col("cohort") == c), "y", "x"), "y").first()
+        assert (got[c].n_train, got[c].n_test) == (60, 30) and got[c].auc == pytest.approx(one.auc) and got[c].auc > 0.9
+    runs = ml.repeated_auc(df, "y", "id", "x", 3).first()
+    each = [ml.scores_of(ml.logistic_scores(s.where("not test"), s.where("test"), "y", "x"), "y").first().auc for s in (ml.stratified_split(df, "y", "id", 0.2, k) for k in (1, 2, 3))]
+    assert runs.auc_mean == pytest.approx(np.mean(each)) and runs.auc_std == pytest.approx(np.std(each)) and runs.n == 3
+
+
+def test_files_that_depend_on_their_content_alone(spark, tmp_path):
+    df = spark.createDataFrame([(2, None, 0.5), (1, "a", 1.5)], "k int, s string, v double")
+    one, two = (results.write_sorted_tsv(t, str(tmp_path / f"{i}.tsv.gz"), ["k"]) for i, t in enumerate((df, df.orderBy("v", ascending=False).repartition(3))))
+    assert one == two
+    with gzip.open(tmp_path / "0.tsv.gz", "rt") as f:
+        assert f.read() == "k\ts\tv\n1\ta\t1.5\n2\t\t0.5\n"
+
+
+def test_runs_are_blocked_without_inputs_and_reproduced_with_them(tmp_path):
+    out, here = str(tmp_path / "out.json"), tmp_path / "in"
+    assert results.run_or_block({"counts": str(here)}, out, lambda: {"x": 1}) == 2
+    assert results.read_json(out) == {"status": "blocked", "missing": ["counts"]}
+    here.write_text("x")
+    assert results.run_or_block({"counts": str(here)}, out, lambda: {"x": float("nan")}) == 0 and results.read_json(out) == {"status": "ok", "x": None}
+    kept = str(tmp_path / "kept.json")
+    assert results.reproduced(kept, {"a": 1.0, "seconds": 3}) and results.reproduced(kept, {"a": 1.0, "seconds": 9})
+    assert not results.reproduced(kept, {"a": 1.1, "seconds": 3}) and results.reproduced(kept, {"a": 1.05, "seconds": 3}, 0.1)
+    assert results.reproduced(kept, {"a": 2.0}, update=True) and results.reproduced(kept, {"a": 2.0})
