@@ -256,7 +256,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages (page_id, url, html; a null html is empty) to archives in the shared folder and read every record back."""
+    """Write pages (page_id, url, html) to archives in the shared folder and read every record back.
+
+    A null html is empty, and its digest that of no bytes. A null page_id stays null; it is less than any other where the
+    largest of equal payloads is sought. Rows that repeat the kept page_id are responses too, so that every row has its
+    record. Payloads of any length are kept whole; other columns are not read; an empty table gives no rows.
+    """
     small_batches(pages.sparkSession)
     folder = new_path(pages.sparkSession, "warc")
     return read_archives(staged(write_archives(with_revisits(pages), folder), "archives"))
