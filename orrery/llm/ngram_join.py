@@ -236,9 +236,11 @@ def hub_tests(groups: DataFrame, seed: int) -> DataFrame:
 
 
 def best_tests(tests: DataFrame) -> DataFrame:
-    """Each component's PARTNERS tests with the most tokens."""
+    """Each component's PARTNERS tests with the most tokens; of two components that are each other's hub one test."""
     rank = Window.partitionBy("x").orderBy(F.desc("votes"), "hub")
-    return tests.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PARTNERS).drop("r")
+    best = tests.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= PARTNERS).drop("r")
+    either = F.min(F.struct("x_size", "x", *(c for c in best.columns if c not in ("x_size", "x")))).alias("t")
+    return best.groupBy(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b")).agg(either).select(*(f"t.{c}" for c in best.columns))
 
 
 def all_tests(groups: DataFrame) -> DataFrame:
