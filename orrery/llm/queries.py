@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_join, packing, quality, secrets, vafile, warc, wrappers
+from . import chat, codes, decontam, langid, ngram_join, packing, pieces, quality, secrets, vafile, warc, whitening, wrappers
 from .shared import table
 
 
@@ -147,9 +147,63 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents to ids and back (pieces.round_trip): null and empty texts have no ids, repeated rows are encoded each, texts
+    are read whole; no rows give none."""
+    import public_tokenizers
+
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their four largest components (whitening.whiten): vectors that are null or hold null or non-finite entries
+    take no part, equal ones are fitted once, repeated rows are rows of their own; no rows give none. deviation is null where it
+    is beyond 64 bits, and deviation_exact has it in any case."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumns({"deviation_exact": F.col("deviation"), "deviation": F.expr("try_cast(deviation as bigint)")})
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings (codes.compress): vectors that are null or hold null or non-finite components take no part, ties of
+    vec_ids go by vector, null labels are one label, repeated rows count each; no rows give none."""
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = codes.codebooks_digest(books) if books is not None else None
+    return codes.with_label_error(coded).select("vec_id", F.lower(F.hex("code")).alias("code"), F.col("error").cast("long").alias("error"), F.col("label_error").cast("long").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
+def _op13_round(books: str, assigned: str, new: str) -> str:
+    """SQL: parts to their nearest entries of a table of books, and the books after it."""
+    return f"""
+{assigned} as materialized (
+    select rid, part, min(struct_pack(d := d, entry := entry)) as best
+    from (select x.rid, x.part, b.entry, (x.p[1] - b.p[1]) ** 2 + (x.p[2] - b.p[2]) ** 2 + (x.p[3] - b.p[3]) ** 2 + (x.p[4] - b.p[4]) ** 2 as d from parts x join {books} b on b.part = x.part)
+    group by rid, part),
+{new} as materialized (
+    select b.part, b.entry, coalesce(s.p, b.p) as p
+    from {books} b left join (
+        select a.part, a.best.entry as entry, [floor(sum(x.p[1]) / count(*)), floor(sum(x.p[2]) / count(*)), floor(sum(x.p[3]) / count(*)), floor(sum(x.p[4]) / count(*))] as p
+        from {assigned} a join parts x on x.rid = a.rid and x.part = a.part group by a.part, a.best.entry) s on s.part = b.part and s.entry = b.entry)"""
+
+
+OP13_SQL = f"""
+with v as materialized (
+    select row_number() over (order by vec_id nulls last, embedding) as rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select rid, part, x[4 * part + 1:4 * part + 4] as p from v, (select unnest(range(16)) as part)),
+b0 as materialized (select part, rid - 1 as entry, p from parts where rid <= 64),
+{_op13_round("b0", "a1", "b1")},
+{_op13_round("b1", "a2", "b2")},
+{_op13_round("b2", "a3", "b3")},
+coded as (select rid, string_agg(printf('%02x', cast(best.entry as int)), '' order by part) as code, cast(sum(best.d) as bigint) as error from a3 group by rid),
+digest as (select sha256(string_agg(cast(cast(p[1] as bigint) as varchar) || ',' || cast(p[2] as bigint) || ',' || cast(p[3] as bigint) || ',' || cast(p[4] as bigint), ',' order by part, entry)) as sha from b2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, sha as codebooks_sha256
+from v join coded using (rid), digest
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_language_id, op5_decontamination, op6_chat_rotation, op7_quality, op8_top_k, op9_packing, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_warc, op4_language_id, op5_decontamination, op6_chat_rotation, op7_quality, op8_top_k, op9_packing, op10_html_extraction, op11_sentencepiece, op12_whitening, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op3_warc": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op8_top_k": OP8_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op3_warc": OP3_SQL, "op5_decontamination": OP5_SQL, "op6_chat_rotation": OP6_SQL, "op8_top_k": OP8_SQL, "op13_vector_codes": OP13_SQL}
