@@ -32,9 +32,9 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Characters of a block (a longer text is a block alone), of a slice of a text that is cut into chunks at once, and of the
 #: corpus for each list that chunks are dealt into: a task holds a list's distinct chunks, at most so many characters.
-BLOCK_CHARS, SLICE_CHARS, LIST_CHARS = 32 << 20, 1 << 20, 64 << 20
-#: Spark's own bound on buckets of a table.
-MAX_BUCKETS = 100_000
+BLOCK_CHARS, SLICE_CHARS, LIST_CHARS = 16 << 20, 1 << 20, 64 << 20
+#: Spark's own bound on buckets of a table; documents whose ids are read off together.
+MAX_BUCKETS, SOME_DOCS = 100_000, 256
 
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<long>, codes binary, lists array<struct<list:int, chunks:binary>>"
 LIST_SCHEMA = "block long, list int, sizes binary, ids binary"
@@ -194,17 +194,17 @@ def _tokens(own: pa.Table, lists: pa.Table) -> pa.Table:
     ids = np.concatenate([none, *map(_unpacked, lists["ids"].to_pylist())]).astype(np.int32)
     start = np.cumsum(size) - size
     codes = _unpacked(own["codes"][0].as_py())
-    lengths = size[codes]
-    ends = np.cumsum(lengths)
-    flat = ids[np.repeat(start[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-    ends = np.concatenate([[0], ends])
-    borders = ends[np.concatenate([[0], np.cumsum(np.array(own["sizes"][0].as_py(), np.int64))])]
-    # offsets of 32 bits: a block's documents in as many arrays as they need
-    out, doc_ids = [], pa.array(own["doc_ids"][0].as_py(), pa.int64())
-    for at in range(0, len(doc_ids), 1024):
-        some = borders[at : at + 1025]
-        tokens = pa.ListArray.from_arrays(pa.array(some - some[0], pa.int32()), pa.array(flat[some[0] : some[-1]], pa.int32()))
-        out.append(pa.RecordBatch.from_arrays([doc_ids[at : at + 1024], tokens], names=["doc_id", "tokens"]))
+    doc_ids, sizes = pa.array(own["doc_ids"][0].as_py(), pa.int64()), np.array(own["sizes"][0].as_py(), np.int64)
+    borders = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for at in range(0, len(doc_ids), SOME_DOCS):
+        ends = borders[at : at + SOME_DOCS + 1]
+        some = codes[ends[0] : ends[-1]]
+        lengths = size[some]
+        stops = np.concatenate([[0], np.cumsum(lengths)])
+        flat = ids[np.repeat(start[some] - stops[:-1], lengths) + np.arange(stops[-1])]
+        tokens = pa.ListArray.from_arrays(pa.array(stops[ends - ends[0]], pa.int32()), pa.array(flat, pa.int32()))
+        out.append(pa.RecordBatch.from_arrays([doc_ids[at : at + SOME_DOCS], tokens], names=["doc_id", "tokens"]))
     return pa.Table.from_batches(out)
 
 
