@@ -23,9 +23,8 @@ def _clean(df: DataFrame, keys: list[str], value: str, is_a: Column) -> DataFram
 def _placed(df: DataFrame, keys: list[str], value: str, is_a: Column) -> DataFrame:
     """For each value, how many of either group have it, and have lesser ones; with the groups' sizes."""
     counted = _clean(df, keys, value, is_a).groupBy(*keys, "value").agg(F.count_if("is_a").alias("na"), F.count_if(~F.col("is_a")).alias("nb"))
-    placed = running(counted, "value", ["na", "nb"], keys)
-    sizes = counted.groupBy(*keys).agg(F.sum("na").alias("n1"), F.sum("nb").alias("n2"))
-    return (placed.join(sizes, keys) if keys else placed.crossJoin(F.broadcast(sizes))).withColumns({"less_a": F.col("cum_na") - F.col("na"), "less_b": F.col("cum_nb") - F.col("nb")})
+    placed = running(counted, "value", ["na", "nb"], keys, totals=True).withColumnsRenamed({"total_na": "n1", "total_nb": "n2"})
+    return placed.withColumns({"less_a": F.col("cum_na") - F.col("na"), "less_b": F.col("cum_nb") - F.col("nb")})
 
 
 def cliff_delta(df: DataFrame, keys: list[str], value: str, is_a: Column) -> DataFrame:

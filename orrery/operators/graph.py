@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pinned
+from .order import percentiles
 
 #: Components of all points up to which they are broadcast (32 MB); beyond, blocks are compared. Vectors of a block; points that blocks are gathered around, at most.
 SMALL, BLOCK, CENTRES = 1 << 22, 2048, 1024
@@ -205,7 +206,7 @@ def across_seeds(runs: DataFrame) -> DataFrame:
 def observed_over_expected(contacts: DataFrame) -> DataFrame:
     """contacts (chrom, i, j, count; i <= j, count > 0) with expected (median at its distance) and oe."""
     distance = F.col("j") - F.col("i")
-    expected = contacts.where("count > 0").groupBy("chrom", distance.alias("dist")).agg(F.percentile("count", F.lit(0.5)).alias("expected"))
+    expected = percentiles(contacts.where("count > 0").select("chrom", distance.alias("dist"), "count"), "count", [0.5], ["chrom", "dist"]).select("chrom", "dist", F.get("q", F.lit(0)).alias("expected"))
     return contacts.withColumn("dist", distance).join(expected, ["chrom", "dist"]).withColumn("oe", F.try_divide("count", "expected"))
 
 

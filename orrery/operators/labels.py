@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import percentiles
+
 # Bins and thresholds
 
 
 def quantile_bin(df: DataFrame, value: str, bins: int, name: str) -> DataFrame:
     """df with name: the number of inner quantile edges (linear interpolation) that are at most the value, 0 to bins - 1."""
-    edges = df.agg(F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("__edges"))
+    edges = percentiles(df, value, [i / bins for i in range(1, bins)]).select(F.col("q").alias("__edges"))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.size(F.filter("__edges", lambda e: e <= F.col(value)))).drop("__edges")
 
 
 def tertile_label(df: DataFrame, value: str, low: float = 0.33, high: float = 0.67, names: tuple[str, str, str] = ("low", "mid", "high")) -> DataFrame:
     """df with label: high from the upper quantile on, low up to the lower, else mid."""
-    q = df.agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
+    q = percentiles(df, value, [low, high]).select(F.get("q", F.lit(0)).alias("__lo"), F.get("q", F.lit(1)).alias("__hi"))
     out = df.crossJoin(F.broadcast(q)).withColumn("label", F.when(F.col(value) >= F.col("__hi"), names[2]).when(F.col(value) <= F.col("__lo"), names[0]).otherwise(names[1]))
     return out.drop("__lo", "__hi")
 

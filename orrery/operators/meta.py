@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import draw_index
+from ..session import pinned
+from .ranks import coarse, part_of
 
 CRITICAL = 1.96
 
@@ -85,6 +89,78 @@ def bootstrap_cliff(df: DataFrame, id_col: str, value: str, is_a: Column, b: int
     return mann_whitney(drawn, ["replicate"], "value", F.col("arm")).select("replicate", "delta")
 
 
+#: Distinct values of a range that a task weighs, and of a slice of it whose weights it holds at once for all replicates.
+RANGE, SLICE = 1 << 16, 1 << 10
+
+
+def _split(total: np.ndarray, cum: np.ndarray, at: int, seed: tuple[int, ...]) -> np.ndarray:
+    """Draws that fall into range `at`, for each replicate's total of draws over all ranges, cum the running counts of the ranges:
+    binomial draws down a tree over the ranges, each node's from its own seed, so that all tasks see the same tree."""
+    lo, hi = 0, len(cum) - 1
+    while hi - lo > 1:
+        mid, mass = (lo + hi) // 2, int(cum[hi] - cum[lo])
+        share = int(cum[mid] - cum[lo]) / mass if mass else 0.0
+        left = np.random.default_rng([*seed, lo, hi]).binomial(total, share)
+        lo, hi, total = (lo, mid, left) if at < mid else (mid, hi, total - left)
+    return total
+
+
+def _shared(random: np.random.Generator, total: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each replicate's total, split by multinomial draws in proportion to counts: (replicates, counts)."""
+    mass = counts.sum()
+    return random.multinomial(total, counts / mass) if mass else np.zeros((len(total), len(counts)), np.int64)
+
+
+def _weighed(na: np.ndarray, nb: np.ndarray, wa: np.ndarray, wb: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """For values in rising order with counts na, nb in the groups, and each replicate's draws wa, wb among them: twice the sum
+    over pairs of draws of whether b's is below a's, halves for ties."""
+    exact = object if float(wa.max(initial=0)) * float(wb.max(initial=0)) > float(1 << 60) else np.int64
+    starts = np.arange(0, len(na), SLICE)
+    pa_, pb = (_shared(random, w, np.add.reduceat(n, starts)) for w, n in ((wa, na), (wb, nb)))
+    twice, below = np.zeros(len(wa), exact), np.zeros(len(wa), exact)
+    for k, s in enumerate(starts):
+        a, b = (_shared(random, w[:, k], n[s : s + SLICE]).astype(exact) for w, n in ((pa_, na), (pb, nb)))
+        seen = np.cumsum(b, axis=1)
+        twice = twice + (a * (2 * (seen - b + below[:, None]) + b)).sum(axis=1)
+        below = below + seen[:, -1]
+    return twice
+
+
+def bootstrap_cliff_counts(df: DataFrame, value: str, is_a: Column, b: int = 400, seed: int = 0) -> DataFrame:
+    """replicate, delta: both groups drawn with replacement, b times, without a row for a draw.
+
+    How often a replicate draws a value is multinomial, so that it is drawn by splitting: the replicate's draws over ranges of
+    values by a tree of binomials, those of a range over its distinct values. A task weighs a range's values for all replicates
+    and gives one row for each of these; so a replicate costs distinct values, and shuffles ranges. Null and NaN values take no
+    part; without a row in either group there are no replicates. The same table and seed give the same draws.
+    """
+    rows = df.select(F.col(value).cast("double").alias("value"), is_a.alias("a")).where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("a").isNotNull())
+    counted = pinned(rows.groupBy("value").agg(F.count_if("a").alias("na"), F.count_if(~F.col("a")).alias("nb")), "values")
+    n = counted.agg(F.count("*").alias("d"), F.coalesce(F.sum("na"), F.lit(0)).alias("a"), F.coalesce(F.sum("nb"), F.lit(0)).alias("b")).first()
+    if not n.a or not n.b:
+        return df.sparkSession.createDataFrame([], "replicate long, delta double")
+    ranges = -(-n.d // RANGE)
+    cuts = counted.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
+    cuts = sorted(set(cuts))
+    every, step = F.array(*(F.lit(c) for c in cuts)).cast("array<double>"), max(2, int(len(cuts) ** 0.5))
+    dealt = counted.withColumn("part", part_of(F.col("value"), every, coarse(every, step), step))
+    sizes = {r.part: (r.a, r.b) for r in dealt.groupBy("part").agg(F.sum("na").alias("a"), F.sum("nb").alias("b")).collect()}  # a row a range
+    cum = np.concatenate([[[0, 0]], np.cumsum([sizes.get(p, (0, 0)) for p in range(len(cuts) + 1)], axis=0)]).astype(np.int64)
+
+    def weighed(key: tuple[pa.Scalar], t: pa.Table) -> pa.Table:
+        part, t = key[0].as_py(), t.sort_by("value")
+        wa, wb = (_split(np.full(b, cum[-1, i]), cum[:, i], part, (seed, i)) for i in (0, 1))
+        twice = _weighed(t["na"].to_numpy(), t["nb"].to_numpy(), wa, wb, np.random.default_rng([seed, 2, part]))
+        wide = pa.decimal128(38, 0)
+        return pa.table({"part": pa.array([part] * b, pa.int32()), "replicate": pa.array(range(b), pa.int64()), "wa": pa.array(wa.tolist(), wide), "wb": pa.array(wb.tolist(), wide), "twice": pa.array([int(x) for x in twice], wide)})
+
+    made = dealt.groupBy("part").applyInArrow(weighed, "part int, replicate long, wa decimal(38,0), wb decimal(38,0), twice decimal(38,0)")
+    before = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    below = made.withColumn("below", F.coalesce(F.sum("wb").over(before), F.lit(0)).cast("decimal(19,0)"))
+    sums = below.groupBy("replicate").agg(F.sum(F.col("twice").cast("double") + 2.0 * F.col("wa").cast("double") * F.col("below").cast("double")).alias("twice"))
+    return sums.select("replicate", (F.col("twice") / (float(n.a) * float(n.b)) - 1).alias("delta"))
+
+
 def protocol_decision(pooled: DataFrame, checks_passed: bool = True, donors_verified: bool = True, parameters_match: bool = True, minimum: int = 5) -> DataFrame:
     """pooled with status, supported: whether the effect is above zero at one-sided 5 %, or why that cannot be said."""
     valid = all((checks_passed, donors_verified, parameters_match))

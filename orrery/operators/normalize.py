@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, ln1p
+from ..session import pinned
+from .order import percentiles
 
 
 def cell_summary(counts: DataFrame, mito_prefix: str = "MT-") -> DataFrame:
@@ -35,7 +37,8 @@ def log_normalised(counts: DataFrame, target: float | None = 1e6, min_cells: int
     median library. A cell without counts is an error."""
     sizes = counts.groupBy("cell").agg(F.sum("value").alias("library"))
     if target is None:
-        sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.percentile("library", F.lit(0.5)).alias("target"))))
+        sizes = pinned(sizes, "libraries")
+        sizes = sizes.crossJoin(F.broadcast(percentiles(sizes, "library", [0.5]).select(F.get("q", F.lit(0)).alias("target"))))
     else:
         sizes = sizes.withColumn("target", F.lit(float(target)))
     kept = counts.join(detected_genes(counts, min_cells).select("gene"), "gene", "left_semi") if min_cells else counts
@@ -80,8 +83,9 @@ def dispersed_genes(values: DataFrame, n: int = 2000, flavour: str = "seurat", b
         score = F.when(F.col("s").isNull(), F.lit(1.0)).otherwise(F.try_divide(F.col("d") - F.col("c"), F.col("s")))
     else:
         b = quantile_bin(m.select("gene", "raw", "d"), "raw", bins, "bin")
-        centre = b.groupBy("bin").agg(F.percentile("d", F.lit(0.5)).alias("c"))
-        stats = b.join(centre, "bin").groupBy("bin", "c").agg(F.percentile(F.abs(F.col("d") - F.col("c")), F.lit(0.5)).alias("s"))
+        centre = percentiles(b, "d", [0.5], ["bin"]).select("bin", F.get("q", F.lit(0)).alias("c"))
+        far = b.join(F.broadcast(centre), "bin").select("bin", F.abs(F.col("d") - F.col("c")).alias("d"))  # a row a bin
+        stats = centre.join(percentiles(far, "d", [0.5], ["bin"]).select("bin", F.get("q", F.lit(0)).alias("s")), "bin")
         score = F.try_divide(F.col("d") - F.col("c"), F.col("s"))
     return b.join(stats, "bin").select("gene", F.coalesce(score, F.lit(0.0)).alias("dispersion")).orderBy(F.desc("dispersion"), "gene").limit(n)
 

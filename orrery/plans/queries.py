@@ -1038,6 +1038,11 @@ def bootstrap_cliff(spark, sf_dir):
     return meta.interval(meta.bootstrap_cliff(scores(spark, sf_dir), "event_id", "value", is_a()))
 
 
+@query()
+def bootstrap_cliff_counts(spark, sf_dir):
+    return meta.interval(meta.bootstrap_cliff_counts(scores(spark, sf_dir), "value", is_a()))
+
+
 @query("select user_id as patient, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) filter (where event_type = 'purchase') as n_a, count(*) filter (where event_type = 'view') as n_b from events where ts is not null group by all", "patient day n_a n_b")
 def arm_counts_by_day(spark, sf_dir):
     from ..streaming.patients import arm_counts
