@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import draw
-from ..operators import cluster, curvature, effects, graph, labels, meta, ml, normalize, sampling
+from ..operators import batches, cluster, curvature, effects, graph, labels, meta, ml, normalize, sampling
 from ..session import pinned
 
 
@@ -68,7 +68,7 @@ def embeddings_against(points: DataFrame, id_col: str, vector: str, batch: str,
     """(method, delta) of the contrast on the original embedding, one corrected for batches, random ones and sequencing depth
     alone; and the verdict."""
     ids = points.select(F.col(id_col).alias("id"), is_a.alias("is_a"), F.col(batch).alias("batch"))
-    corrected = cluster.batch_corrected(points, id_col, batch, vector).select("id", F.col("features").alias("x"))
+    corrected = batches.batch_corrected(points, id_col, batch, vector).select("id", F.col("features").alias("x"))
     sets = [("original", points.select(F.col(id_col).alias("id"), F.col(vector).alias("x"))), ("corrected", corrected)]
     sets += [("random", sampling.gaussian_null(points.select(F.col(id_col).alias("id")), "id", 50, seed).select("id", F.col("embedding").alias("x"))) for seed in range(seeds)]
     sets.append(("depth", points.select(F.col(id_col).alias("id"), F.array(F.log1p(F.col(depth).cast("double"))).alias("x"))))

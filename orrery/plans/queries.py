@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import cluster, curvature, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling
+from ..operators import batches, cluster, communities, curvature, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling
 from ..session import pinned
 from . import composites
 
@@ -948,7 +948,7 @@ def contact_curvature(spark, sf_dir):
 
 @query()
 def louvain_communities(spark, sf_dir):
-    return cluster.communities(knn(spark, sf_dir, 10))
+    return communities.communities(knn(spark, sf_dir, 10))
 
 
 @query()
@@ -964,7 +964,7 @@ def pseudotime(spark, sf_dir):
 
 @query()
 def batch_correction(spark, sf_dir):
-    out = cluster.batch_corrected(_points(spark, sf_dir), "vec_id", "patient", "embedding")
+    out = batches.batch_corrected(_points(spark, sf_dir), "vec_id", "patient", "embedding")
     return out.select("id", F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
 
 

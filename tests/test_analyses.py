@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery import verify
-from orrery.operators import cluster, curvature, gates, graph, meta, ml, models, normalize, sampling
+from orrery.operators import batches, cluster, curvature, gates, graph, meta, ml, models, normalize, sampling
 from orrery.plans import composites
 from orrery.sources import counts, results
 
@@ -179,7 +179,7 @@ def test_batches_come_together_and_groups_stay_apart(spark):
     group, batch = np.arange(120) % 2, np.arange(120) // 60
     x = rng.normal(size=(120, 3)) * 0.3 + np.outer(group, [6, 0, 0]) + [4, 4, 4] + np.outer(batch, [0, 1.5, 0])
     rows = spark.createDataFrame([(i, str(batch[i]), x[i].tolist()) for i in range(120)], "id long, b string, x array<double>")
-    y = np.array([r.features for r in cluster.batch_corrected(rows, "id", "b", "x", clusters=4).orderBy("id").collect()])
+    y = np.array([r.features for r in batches.batch_corrected(rows, "id", "b", "x", clusters=4).orderBy("id").collect()])
     apart = lambda z, by: np.abs(z[by == 1].mean(axis=0) - z[by == 0].mean(axis=0)).max()
     assert apart(y, batch) < 0.3 * apart(x, batch) and apart(y, group) > 0.8 * apart(x, group)
 
