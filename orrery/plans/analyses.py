@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, labels, normalize
+from ..operators import labels, normalize, ward
 from ..session import pinned
 from . import composites
 from .queries import CLIFF, CONTRASTS, FORMAN, NODE, S, cells, counts, dl_sql, h, knn_sql, odd, query, table
@@ -81,7 +81,7 @@ def pseudotime_curvature(spark, sf_dir):
 def subclone_extremes(spark, sf_dir):
     p = points(spark, sf_dir)
     nodes, _ = composites.node_curvature(p, "vec_id", "embedding", n_edges=4000)
-    clones = cluster.subclones(p, "patient", "vec_id", "embedding").select(F.col("vec_id").alias("id"), "patient", "subclone")
+    clones = ward.subclones(p, "patient", "vec_id", "embedding").select(F.col("vec_id").alias("id"), "patient", "subclone")
     return composites.extreme_subclones(pinned(nodes.where("status = 'measured'").select("id", "kappa").join(clones, "id"), "clones"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import draw
-from ..operators import batches, cluster, curvature, effects, graph, labels, meta, ml, normalize, sampling
+from ..operators import batches, cluster, curvature, effects, graph, labels, meta, ml, normalize, sampling, ward
 from ..session import pinned
 
 
@@ -220,7 +220,7 @@ def dual_graph(points: DataFrame, id_col: str, place: str, vector: str, is_a: Co
 
 def subclone_contrast(scores: DataFrame, patient: str, id_col: str, features: str, value: str) -> DataFrame:
     """h, df, n: whether a value differs between Ward subclones of copy-number scores."""
-    clones = pinned(cluster.subclones(scores, patient, id_col, features), "clones")
+    clones = pinned(ward.subclones(scores, patient, id_col, features), "clones")
     joined = scores.join(clones.select(id_col, "subclone"), id_col).withColumn("clone", F.concat_ws(":", F.col(patient).cast("string"), F.col("subclone").cast("string")))
     return effects.kruskal(joined, "clone", value)
 

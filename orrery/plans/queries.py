@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import batches, cluster, communities, curvature, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling
+from ..operators import batches, cluster, communities, curvature, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling, ward
 from ..session import pinned
 from . import composites
 
@@ -932,7 +932,7 @@ def spatial_dual_graph(spark, sf_dir):
 
 @query()
 def ward_subclones(spark, sf_dir):
-    return cluster.subclones(_points(spark, sf_dir), "patient", "vec_id", "embedding")
+    return ward.subclones(_points(spark, sf_dir), "patient", "vec_id", "embedding")
 
 
 @query()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import batches, cluster, communities
+from orrery.operators import batches, cluster, communities, ward
 
 
 def quality(edges, home):
@@ -94,3 +94,54 @@ def test_batches_are_corrected_as_on_the_driver(spark):
     for rounds in (1, 3):
         one, other = (np.array([r.features for r in batches.batch_corrected(rows, "id", "b", "x", clusters=5, rounds=rounds, small=s).orderBy("id").collect()]) for s in (1000, 0))
         assert np.abs(one - other).max() < 1e-8 and np.abs(one - x).max() > 0.1
+
+
+def plain_ward(x):
+    """All squared heights kept and updated after each merge of the least: (rows of a, rows of b, height)."""
+    parts, out = {i: [i] for i in range(len(x))}, []
+    while len(parts) > 1:
+        height = lambda a, b: 2 * len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(axis=0) - x[b].mean(axis=0)) ** 2).sum()
+        h, i, j = min((height(parts[i], parts[j]), i, j) for i in parts for j in parts if i < j)
+        out.append((frozenset(parts[i]), frozenset(parts[j]), h**0.5))
+        parts[i] += parts.pop(j)
+    return out
+
+
+def test_ward_by_means_against_all_heights():
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 40):
+        x = rng.normal(size=(n, 3)) + 100
+        rows, got = {i: frozenset([i]) for i in range(n)}, []
+        for t, (a, b, h) in enumerate(ward.ward(x)):
+            got.append((frozenset([rows[a], rows[b]]), h))
+            rows[n + t] = rows[a] | rows[b]
+        expected = [(frozenset([a, b]), h) for a, b, h in plain_ward(x)]
+        assert {g[0] for g in got} == {e[0] for e in expected} and [g[1] for g in got] == pytest.approx([e[1] for e in expected], rel=1e-9)
+
+
+def test_twenty_thousand_rows_in_little_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    x = np.random.default_rng(1).normal(size=(6000, 16)) + np.repeat(np.eye(16)[:6] * 30, 1000, axis=0)
+    label = ward.cut(ward.ward(x), 6000, 6)
+    assert [set(label[i : i + 1000]) for i in range(0, 6000, 1000)] == [{k} for k in range(6)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # kB; a table of distances has 288,000
+
+
+def test_a_group_over_many_tasks_has_the_same_clones(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 4)) + 4 * rng.integers(0, 3, size=(400, 1)) * np.array([1, 0.5, 0, 0])
+    x[7], x[8] = [60, 60, 0, 0], [60, 61.5, 0, 0]  # far from all others: a high merge among the first
+    rows = [("big", i, x[i].tolist()) for i in range(330)] + [(None, i, x[i].tolist()) for i in range(330, 390)] + [("one", 1, x[390].tolist())]
+    df = spark.createDataFrame(rows, "p string, id long, x array<double>").repartition(3)
+    for most, least in ((5, 1), (3, 10)):
+        whole = {(r.p, r.id): r.subclone for r in ward.subclones(df, "p", "id", "x", most, least).collect()}
+        split = {(r.p, r.id): r.subclone for r in ward.subclones(df, "p", "id", "x", most, least, limit=40, block=64).collect()}
+        assert whole == split and len(whole) == len(rows) and whole["one", 1] == 0 and len(set(whole.values())) > 1
+
+
+def test_rows_that_are_alike_merge_too(spark):
+    df = spark.createDataFrame([("g", i, [float(i // 60), 0.0]) for i in range(180)], "p string, id long, x array<double>")
+    got = ward.subclones(df, "p", "id", "x", 3, 1, limit=50, block=32).collect()
+    assert sorted((r.id, r.subclone) for r in got) == [(i, i // 60) for i in range(180)]
