@@ -17,8 +17,8 @@ from .shared import small_batches
 SAMPLE_DOCS, DICT_BYTES, PIECE = 256, 256 << 10, 512
 #: A prediction is rejected if the runner-up is larger by less than this share of itself.
 MIN_MARGIN = 0.01
-#: Compression level for texts of up to SHORT bytes, where each byte counts, and for longer ones.
-FINE_LEVEL, LEVEL, SHORT = 12, 3, 2048
+#: Compression level, for texts of any length.
+LEVEL = 11
 #: Bytes that are encoded at a time, each with the dictionary alone, so that what it saves is the same share of a text of any length.
 BLOCK = 16 << 10
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -84,21 +84,19 @@ class Scorer:
         import zstandard as z
 
         self.langs = list(dictionaries)
-        self.encoders = {}
-        for level in (FINE_LEVEL, LEVEL):
-            for content in dictionaries.values():
-                shared = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-                shared.precompute_compress(level=level)
-                self.encoders.setdefault(level, []).append(z.ZstdCompressor(level=level, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.encoders = []
+        for content in dictionaries.values():
+            shared = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            shared.precompute_compress(level=LEVEL)
+            self.encoders.append(z.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def __call__(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin, rejected. `und`, and rejected, without a letter or without a language to choose."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0, True
         data = memoryview(letters_only(text))
-        encoders = self.encoders[FINE_LEVEL if len(data) <= SHORT else LEVEL]
         blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for e, lang in zip(encoders, self.langs))
+        sizes = sorted((sum(len(e.compress(b)) for b in blocks), lang) for e, lang in zip(self.encoders, self.langs))
         best = sizes[0][0]
         other = sizes[1][0] if len(sizes) > 1 else max(best, len(data) + 9 * len(blocks))
         margin = 1 - best / other

@@ -23,14 +23,20 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 #: A name, perhaps quoted, and an operator that binds it. Each run of name characters is tried once, from its start.
 TARGET = re.compile(r"(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)[\"']?[ \t]*+(?::=|=>|=(?!=)|:(?![:/]))[ \t]*+", re.ASCII)
-QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`")
-BARE = re.compile(r"[A-Za-z0-9+/_.=$~!@%^*-]+", re.ASCII)
+QUOTED = re.compile(r"(\"\"\"|\'\'\')(?:(?!\1)(?:[^\\]|\\.))*+\1|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`", re.DOTALL)
+#: A word without quotes, up to the next operator that binds; `=` may pad its end.
+BARE = re.compile(r"[A-Za-z0-9+/_.$~!@%^*-]+(?:={1,2}(?![A-Za-z0-9+/_.$~!@%^*='\"`-]))?", re.ASCII)
+#: What opens values that follow a name, or a call: brackets, on the next line too; what parts them; and a quoted value on the next line.
+OPENS, PARTS, NEXT_LINE = re.compile(r"[ \t]*+[(\[]\s*+"), re.compile(r"\s*+[,+]\s*+"), re.compile(r"\\?\r?\n[ \t]++(?=[\"'`])")
+#: An element that holds a text alone.
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>\s*+(?P<text>[^<>]++)</", re.ASCII)
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*", re.ASCII)
 PLUS = re.compile(r"[ \t]*+\+[ \t]*+")
+BINDS = re.compile(r"\s*+(?::|=(?!=))")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: What a target name's words weigh, alone or as neighbours; a literal is reported from MIN_SCORE on.
-SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "passcode": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "pass": 2, "bearer": 2, "salt": 2, "api key": 3, "access key": 3, "private key": 3, "secret key": 3, "signing key": 3, "encryption key": 3, "auth key": 3, "account key": 3, "client key": 2}
+SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "pw": 3, "passphrase": 3, "passcode": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "pass": 2, "bearer": 2, "salt": 2, "api key": 3, "access key": 3, "private key": 3, "secret key": 3, "signing key": 3, "encryption key": 3, "auth key": 3, "account key": 3, "client key": 2}
 MIN_SCORE, MIN_LITERAL = 4.0, 8
 #: The last word of each entry, less those that hold another: a text without any of them has no sensitive name.
 HINTS = {k.split()[-1] for k in SENSITIVE}
@@ -64,33 +70,59 @@ class Pair(NamedTuple):
     parts: list
 
 
+def _value(text: str, at: int, called: bool) -> tuple[tuple[int, int] | str | None, int]:
+    """The literal or name at this place, and where it ends; None without one. An argument of a call that is written like a
+    name, such as that of a variable of the environment, is no literal."""
+    if q := QUOTED.match(text, at):
+        mark = 3 if q[1] else 1
+        start, end = q.start() + mark, q.end() - mark
+        if q[1]:
+            inner = text[start:end]
+            start, end = end - len(inner.lstrip()), start + len(inner.rstrip())
+        return ((start, end) if not (called and NAME.fullmatch(text, start, end)) else ""), q.end()
+    if b := BARE.match(text, at):
+        word = b.group().rstrip(".")
+        n = NAME.match(text, at)
+        return (word if n and n.group() == word else (at, at + len(word))), at + len(word)
+    return None, at
+
+
 def assignments(text: str) -> Iterator[Pair]:
-    """Name-value pairs of source and configuration syntax: name = "x", name: x, "name": 'x', name := x, name => x + "y"."""
+    """Name-value pairs of source, configuration and markup: name = "x", name: x, "name": 'x', name := x, name => x + "y",
+    name = ["x", "y"], name = call("x"), name = \"\"\"x\"\"\", a quoted value on the line after its name, and <name>x</name>.
+
+    A value ends where the next operator binds, so that what is read for one name is read for no other but its neighbour.
+    """
     for m in TARGET.finditer(text):
-        at, parts = m.end(), []
+        at, parts, listed, called = m.end(), [], False, False
+        if o := OPENS.match(text, at):
+            at, listed = o.end(), True
+        elif o := NEXT_LINE.match(text, at):
+            at = o.end()
         while True:
-            if q := QUOTED.match(text, at):
-                parts.append((q.start() + 1, q.end() - 1))
-                at = q.end()
-            elif b := BARE.match(text, at):
-                word = b.group().rstrip(".")
-                n = NAME.match(text, at)
-                if n and n.group() == word:
-                    parts.append(word)
-                parts.append((b.start(), b.start() + len(word))) if not (n and n.group() == word) else None
-                at = b.start() + len(word)
-            else:
+            part, end = _value(text, at, called)
+            if part is None:
+                break
+            at = end
+            if isinstance(part, str) and part and not called and (o := OPENS.match(text, at)) and text[o.start() : o.end()].strip() == "(":
+                at, listed, called = o.end(), True, True
+                continue
+            if listed and (BINDS.match(text, at)):  # a key of a dictionary, or an argument's name: it binds for itself
                 break
-            if not (p := PLUS.match(text, at)):
+            if part:
+                parts.append(part)
+            if not (p := (PARTS if listed else PLUS).match(text, at)):
                 break
             at = p.end()
         if parts:
             yield Pair(m["name"], parts)
+    for m in ELEMENT.finditer(text):
+        yield Pair(m["name"], [(m.start("text"), m.start("text") + len(m["text"].rstrip()))])
 
 
 def sensitivity(name: str) -> float:
-    """Weight of a target name, by its words: camel case, underscores, dots and hyphens part them."""
-    words = [w.lower() for w in WORDS.findall(name)]
+    """Weight of a target name, by its words: camel case, underscores, dots and hyphens part them, and a plural counts as one."""
+    words = [w if w in SENSITIVE else w.removesuffix("s") for w in map(str.lower, WORDS.findall(name))]
     weights = [SENSITIVE.get(w, 0) for w in words] + [SENSITIVE.get(f"{a} {b}", 0) for a, b in zip(words, words[1:])]
     return max(weights, default=0)
 
@@ -110,7 +142,7 @@ def literal_spans(text: str) -> list[Span]:
 
     A bare word that is itself a name is that name's value if the text binds it, else a literal of its own.
     """
-    if not ("=" in text or ":" in text) or not HINT.search(text):
+    if not ("=" in text or ":" in text or "</" in text) or not HINT.search(text):
         return []
     pairs = list(assignments(text))
     wanted = [(sensitivity(p.name), p) for p in pairs]

@@ -159,6 +159,31 @@ def test_time_of_a_scan_does_not_follow_the_square_of_its_names():
     assert took[1] < 8 * took[0] + 1
 
 
+V, W = "Zx81_Lm!Qp02aV77bbQ1", "q9ZrT4!vLw8sXe2"
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        (f'passwords = ["{V}", "{W}"]', [V, W]), (f"pwd_list: [\n  '{V}',\n  '{W}'\n]", [V, W]), (f'db_passphrase = """{V}"""', [V]), (f"db_passphrase = '''\n{V}\n'''", [V]), (f'db_passphrase:\n    "{V}"', [V]),
+        (f'SECRET_KEY = get_key("{V}")', [V]), (f'SECRET_KEY = os.environ.get("MY_SECRET_KEY", "{W}")', [W]), (f"creds.auth = fetch(name, '{V}')", [V]), (f"<passphrase>{V}</passphrase>", [V]), (f'<a:pwd x="1">\n {V}\n</a:pwd>', [V]),
+        (f'pw = "{V}"', [V]), ("auth_key=abcDEF123456==", ["abcDEF123456=="]), (f'auth_key = "{V}', []), (f'pass: foo\n colour: "{V}"', []), (f'auth = f(name="{V}")', []),
+    ],
+)
+def test_literals_of_each_syntax(text, found):
+    assert literals(text) == found
+
+
+def test_a_megabyte_of_anything_is_read_in_linear_time():
+    """Runs that could be read again for each name in them: some seconds together, where squares would take hours."""
+    runs = ["token=", "password=" + "a." * 20, 'pass="', "pass=[", "pass=f(", "<pass>", "pass='''", "pass=a + ", "pass='\\'", "pass=(x,", "pass=\n   ", ":", "a.", "pass=[ \n"]
+    began = time.process_time()
+    for run in runs:
+        for text in (run * (1_000_000 // len(run)), "pass=" + run * (1_000_000 // len(run)), run * (1_000_000 // len(run)) + "=1"):
+            secrets.spans(text)
+    assert time.process_time() - began < 4 * len(runs)
+
+
 def test_what_is_no_secret():
     for text in ('note: "the password is not here at all"', "pwd = ${PASSWORD_FROM_ENV}", 'auth_key = "changeme"', "colour = 'aB3$xY9!kLm2pQ'", "Of the pass, and key: then", "x" * 100_000 + "=1"):
         assert literals(text) == [], text
@@ -182,6 +207,17 @@ def test_scan_and_redaction(spark):
 # Language ID
 
 
+def test_the_answer_does_not_turn_on_the_length():
+    """Texts that differ by a letter, on either side of any length, have margins that differ by as little."""
+    rng = random.Random(3)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(400)] for k, letters in (("a", "abcdefgh"), ("b", "fghijklm"))}
+    scorer = langid.Scorer({k: " ".join(rng.choice(w) for _ in range(3000)).encode() for k, w in words.items()})
+    text = " ".join(rng.choice(words["a"]) for _ in range(9000))
+    for n in (100, 2047, 2048, 16_384, 32_768):
+        one, other = scorer(text[:n]), scorer(text[: n + 1])
+        assert one[0] == other[0] == "a" and abs(one[2] - other[2]) < 0.02
+
+
 def test_language_of_what_was_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(9001, None, "en"), (9002, "", "de"), (9003, "123 !!", None), (None, "the and of the", "en")], "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("clash"))
