@@ -38,6 +38,7 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: What a target name's words weigh, alone or as neighbours; a literal is reported from MIN_SCORE on.
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "pw": 3, "passphrase": 3, "passcode": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "auth": 2, "pass": 2, "bearer": 2, "salt": 2, "api key": 3, "access key": 3, "private key": 3, "secret key": 3, "signing key": 3, "encryption key": 3, "auth key": 3, "account key": 3, "client key": 2}
 MIN_SCORE, MIN_LITERAL = 4.0, 8
+KNOWN = {w for k in SENSITIVE for w in k.split()}
 #: The last word of each entry, less those that hold another: a text without any of them has no sensitive name.
 HINTS = {k.split()[-1] for k in SENSITIVE}
 HINT = re.compile("|".join(sorted(w for w in HINTS if not any(o in w for o in HINTS - {w}))), re.ASCII | re.IGNORECASE)
@@ -122,7 +123,7 @@ def assignments(text: str) -> Iterator[Pair]:
 
 def sensitivity(name: str) -> float:
     """Weight of a target name, by its words: camel case, underscores, dots and hyphens part them, and a plural counts as one."""
-    words = [w if w in SENSITIVE else w.removesuffix("s") for w in map(str.lower, WORDS.findall(name))]
+    words = [w if w in KNOWN else w.removesuffix("s") for w in map(str.lower, WORDS.findall(name))]
     weights = [SENSITIVE.get(w, 0) for w in words] + [SENSITIVE.get(f"{a} {b}", 0) for a, b in zip(words, words[1:])]
     return max(weights, default=0)
 
