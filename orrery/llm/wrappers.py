@@ -26,6 +26,8 @@ from .shared import small_batches, staged
 SAMPLE_PAGES, MAX_TOKENS, MAX_DEPTH, BROADCAST_HOSTS = 16, 20_000, 100, 20_000
 #: Share of an element's slot text that a child must have for the article to be sought in the child; elements of a run that can be a repeated group.
 INWARD, RUN = 0.7, 8
+#: Where an article is a smaller share than this of what a form or object holds, that is the article.
+LITTLE = 0.1
 
 # Kinds of element, and words of classes and ids that are not the article.
 #: Elements in which the article is sought further inwards.
@@ -39,12 +41,17 @@ DROPPED = frozenset("head nav footer aside form button select menu dialog label
 SCOPES = frozenset("table td th caption button object template html".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ENDS_P = BLOCK - {"html", "body", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "title"}
-ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|side|sidebar|nav|navbar|navigation|menu|breadcrumbs?|masthead|header|footer|foot|cookies?|consent|notices?|alert|gdpr|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|social|share|sharing|related|recommend(?:ed|ations)?|comments?|comment-?list|disqus|respond|reply|replies|pagination|pager|toolbar|widgets?|skip|legal|copyright|disclaimer)(?=$|[\s_-])", re.IGNORECASE)
-#: Inside the article, an element is aside if every part of a class or id is one of these words and at least one of the first.
-ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay subscribe subscription newsletter signup login social share sharing related recommended recommendations comment comments disqus respond replies pagination pager toolbar widget widgets".split())
+#: Of these an element is transparent where next to nothing is left of a page without what it holds.
+CONTAINERS = frozenset("form object dialog".split())
+#: An element is aside if every part of one of its classes, or of its id, is one of these words or fillers and at least one of the first.
+ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promotions banner sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay subscribe subscription newsletter signup login social share sharing related recommended recommendation recommendations comment comments disqus respond replies pagination pager toolbar widget widgets".split())
 ASIDE_FILLERS = frozenset("a the us to on site page post posts article articles top bottom left right main inner outer box bar block list links link item items button buttons form section area wrap wrapper container content panel slot unit row text title media follow icons".split())
+#: More of them outside of an article, where texts are what they may be about and are no fillers.
+OUTER_WORDS = ASIDE_WORDS | frozenset("side masthead header footer foot alert reply skip legal copyright disclaimer".split())
+OUTER_FILLERS = ASIDE_FILLERS - {"text", "article", "articles", "post", "posts", "content", "section"} | frozenset("nav links primary secondary second first global bg fixed sticky mobile desktop wide narrow col column count info meta note message body".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu".split())
 
+CONTAINER = re.compile("<(?:" + "|".join(sorted(CONTAINERS)) + ")", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*+)>|[^<]++|<", re.DOTALL)
 UNENDED = re.compile(r"<(?=[A-Za-z/!?])")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -92,23 +99,28 @@ def _signature(tag: str, given: dict[str, str]) -> str:
     return ".".join([tag, *sorted(set(words))])
 
 
-def _aside(tag: str, given: dict[str, str], inside: bool, depth: int) -> bool:
-    """Whether an element, inside the article or not, is something else than article. A header near the root is the site's."""
-    if tag in DROPPED or (tag == "header" and not inside and depth <= 3):
+def _aside(tag: str, given: dict[str, str], inside: bool, depth: int, lenient: int = 0) -> bool:
+    """Whether an element, inside the article or not, is something else than article. A header near the root is the site's.
+    lenient: 1 if containers are transparent, 2 if classes, ids and roles say nothing either."""
+    if tag in DROPPED and not (lenient and tag in CONTAINERS) or (tag == "header" and not inside and depth <= 3):
         return True
     if not given:
         return False
     if "hidden" in given or given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "")):
         return True
-    if tag in ("html", "body", "main") or given.get("role") == "main":
+    if tag in ("html", "body", "main") or given.get("role") == "main" or lenient > 1:
         return False
-    if given.get("role") in ASIDE_ROLES:
+    if given.get("role") in ASIDE_ROLES - ({"form", "dialog"} if lenient else set()):
         return True
-    names = f"{given.get('class', '')} {given.get('id', '')}"
-    if not inside:
-        return bool(ASIDE.search(names))
-    parts = [re.sub(r"\d+", "", n).replace("_", "-").strip("-").lower().split("-") for n in names.split()]
-    return any(not ASIDE_WORDS.isdisjoint(n) and ASIDE_WORDS.union(ASIDE_FILLERS).issuperset(n) for n in parts)
+    words, all_words = (ASIDE_WORDS, INNER_NAMES) if inside else (OUTER_WORDS, OUTER_NAMES)
+    for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        parts = [x for x in re.sub(r"\d+", "", name).replace("_", "-").lower().split("-") if x]
+        if parts and not words.isdisjoint(parts) and all_words.issuperset(parts):
+            return True
+    return False
+
+
+INNER_NAMES, OUTER_NAMES = ASIDE_WORDS | ASIDE_FILLERS, OUTER_WORDS | OUTER_FILLERS
 
 
 def _of_another(key: str) -> bool:
@@ -120,6 +132,7 @@ class Events:
     """Walks a page's tokens with a stack of open elements that HTML's implied ends keep right."""
 
     page: str
+    lenient: int = 0
     keys: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
     asides: list[bool] = field(default_factory=list)
@@ -153,7 +166,7 @@ class Events:
                     if self.tags and self.tags[-1] == other:
                         self.pop_to(len(self.tags) - 1)
                 given = attributes(rest)
-                aside = _aside(tag, given, self.articles > 0, len(self.tags))
+                aside = _aside(tag, given, self.articles > 0, len(self.tags), self.lenient)
                 # an article begins anew even where something before it was left open
                 outer = bool(self.asides) and self.asides[-1] and not (tag in ("article", "main") and not self.others)
                 self.keys.append(_signature(tag, given))
@@ -171,7 +184,7 @@ class Events:
 @dataclass
 class Item:
     """A part of a wrapper: an element (key, kids), a run of elements (kids alone) or a text (neither). A text stays as it is
-    while constant is a string, and is a slot when None."""
+    while constant is a string, and is a slot when None. chars are those of all pages that it was seen on."""
 
     key: str
     kids: list[Item] = field(default_factory=list)
@@ -180,6 +193,7 @@ class Item:
     optional: bool = False
     constant: str | None = None
     chars: int = 0
+    pages: int = 1
     linked: bool = False
 
     @property
@@ -267,16 +281,17 @@ def _runs_like(kids: list[Item], other: list[Item]) -> list[Item]:
     return kids
 
 
-def align(one: Item, two: Item) -> Item:
-    """The least wrapper of two items with the same name: differing texts become slots, what one side lacks optional."""
-    out = Item(one.key, aside=one.aside and two.aside, repeated=one.repeated or two.repeated, optional=one.optional or two.optional, chars=one.chars + two.chars, linked=one.linked and two.linked)
+def align(one: Item, two: Item, across: bool = False) -> Item:
+    """The least wrapper of two items with the same name, of one page or across pages: differing texts become slots, what one side
+    lacks optional."""
+    out = Item(one.key, pages=one.pages + two.pages if across else max(one.pages, two.pages), aside=one.aside and two.aside, repeated=one.repeated or two.repeated, optional=one.optional or two.optional, chars=one.chars + two.chars, linked=one.linked and two.linked)
     if not one.key and not one.kids and not two.kids:
         out.constant = one.constant if one.constant == two.constant else None
         return out
     left, right = _runs_like(one.kids, two.kids), _runs_like(two.kids, one.kids)
     for kind, i, i2, j, j2 in SequenceMatcher(None, [k.name for k in left], [k.name for k in right], autojunk=False).get_opcodes():
         if kind == "equal":
-            out.kids += [align(x, y) for x, y in zip(left[i:i2], right[j:j2])]
+            out.kids += [align(x, y, across) for x, y in zip(left[i:i2], right[j:j2])]
         else:
             for kid in left[i:i2] + right[j:j2]:
                 kid.optional = True
@@ -295,10 +310,15 @@ def expression(item: Item) -> str:
 
 
 def _weight(item: Item) -> int:
-    """Characters of texts that are neither aside nor linked."""
+    """Characters of texts that are neither aside nor linked: those of slots, and of texts of one page alone, on all pages; of
+    what is the same on several pages, and so the site's rather than the article's, a quarter, once."""
     if item.aside:
         return 0
-    return sum(map(_weight, item.kids)) if item.kids else 0 if item.linked or item.key else item.chars
+    if item.kids:
+        return sum(map(_weight, item.kids))
+    if item.linked or item.key:
+        return 0
+    return item.chars if item.constant is None or item.pages == 1 else len(item.constant) // 4
 
 
 def _named(item: Item, path: tuple[Item, ...]) -> list[tuple[int, tuple[Item, ...]]]:
@@ -334,96 +354,66 @@ def article_path(root: Item) -> list[list]:
     return out
 
 
-class Place:
-    """The elements of a page with the same keys from the root inwards: the characters of their texts that are neither aside nor linked."""
-
-    __slots__ = ("key", "outer", "kids", "weight", "shown", "repeated")
-
-    def __init__(self, key: str, outer: Place | None = None):
-        self.key, self.outer, self.kids, self.weight, self.shown, self.repeated = key, outer, {}, 0, False, False
-
-    def path(self) -> tuple[str, ...]:
-        keys, at = [], self
-        while at.outer:
-            keys.append(at.key)
-            at = at.outer
-        return tuple(reversed(keys))
-
-
-def streamed_path(page: str) -> list[list]:
-    """Keys down to the article of a page of any length or depth: weights by place are added up in one walk, without a tree of its elements."""
-    root = Place("")
-    # of each open element: its place, its weight so far, whether it is aside or linked, and the key before the next child
-    stack: list[list] = [[root, 0, False, False, None]]
-    events = Events(page)
-
-    def close(size: int) -> None:
-        while len(stack) > size:
-            place, weight, aside, _, _ = stack.pop()
-            if not aside:
-                place.weight += weight
-                if stack:
-                    stack[-1][1] += weight
-
-    for kind, value in events:
-        if kind == "open":
-            close(len(events.tags))
-            outer, key = stack[-1], events.keys[-1]
-            place = outer[0].kids.get(key)
-            if place is None:
-                place = outer[0].kids[key] = Place(key, outer[0])
-            place.repeated |= outer[4] == key
-            place.shown |= not events.asides[-1]
-            outer[4] = key
-            stack.append([place, 0, events.asides[-1], outer[3] or value == "a", None])
-        elif kind == "text" and (text := _clean(value)):
-            close(len(events.tags) + 1)
-            stack[-1][4] = None
-            if not stack[-1][2] and not stack[-1][3]:
-                stack[-1][1] += len(text)
-    close(0)
-    named, left = [], [root]
-    while left:
-        place = left.pop()
-        if place.key.split(".")[0] in ("article", "main") and place.shown:
-            named.append(place)
-        else:
-            left += place.kids.values()
-    most = max((p.weight for p in named), default=0)
-    at = max((p for p in named if p.weight == most), key=Place.path) if most else root
-    while at.weight:
-        kid = max((k for k in at.kids.values() if not k.repeated), key=lambda k: k.weight, default=None)
-        if kid is None or kid.weight < INWARD * at.weight or kid.key.split(".")[0] not in INNER:
-            break
-        at = kid
-        if kid.key.split(".")[0] == "article":
-            break
-    return [[key] for key in at.path()]
-
-
 def infer(pages: list[str]) -> dict:
     """A host's wrapper from some of its pages: path of the article, and the expression."""
-    whole = None
+    whole, seen = None, 0
     for page in dict.fromkeys(pages):
         found = page_items(page)
-        if found is not None:
-            whole = found if whole is None else align(whole, found)
-    return {"path": article_path(whole), "expression": expression(whole)} if whole is not None else {"path": None, "expression": ""}
+        if found is not None and _weight(found):
+            whole, seen = found if whole is None else align(whole, found, True), seen + 1
+    if whole is None:
+        return {"path": None, "expression": ""}
+    # one page has no slots: it is read by itself, as a page without a wrapper is
+    return {"path": article_path(whole) if seen > 1 else None, "expression": expression(whole)}
 
 
 class Outline:
-    """A page's elements in the order in which they begin: key and children of each. The page itself is 0."""
+    """A page's elements in the order in which they begin: key, children, whether aside, and weight (the characters of texts that
+    are neither aside nor linked) of each. The page itself is 0."""
 
-    def __init__(self, page: str):
-        self.keys, self.kids = [""], [[]]
-        stack, events = [0], Events(page)
-        for kind, _ in events:
+    def __init__(self, page: str, lenient: int = 0):
+        self.keys, self.kids, self.asides, self.weights, outer = [""], [[]], [False], [0], [-1]
+        stack, events = [0], Events(page, lenient)
+        for kind, value in events:
             if kind == "open":
                 del stack[len(events.tags) :]
                 self.kids[stack[-1]].append(len(self.keys))
+                outer.append(stack[-1])
                 stack.append(len(self.keys))
                 self.keys.append(events.keys[-1])
                 self.kids.append([])
+                self.asides.append(events.asides[-1])
+                self.weights.append(0)
+            elif kind == "text" and not (events.asides and events.asides[-1]) and not events.places.get("a") and (text := _clean(value)):
+                del stack[len(events.tags) + 1 :]
+                self.weights[stack[-1]] += len(text)
+        for i in range(len(outer) - 1, 0, -1):
+            if not self.asides[i] or self.asides[outer[i]]:
+                self.weights[outer[i]] += self.weights[i]
+
+    def _repeats(self, kids: list[int], i: int) -> bool:
+        """Whether the i-th of these siblings is one of a run of elements that are alike."""
+        a = {self.keys[k] for k in self.kids[kids[i]]}
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(kids) and self.keys[kids[j]] == self.keys[kids[i]]:
+                b = {self.keys[k] for k in self.kids[kids[j]]}
+                if self.keys[kids[i]] not in INNER or not a or not b or not a.isdisjoint(b):
+                    return True
+        return False
+
+    def own_article(self) -> int:
+        """The element that holds the article of a page that no wrapper fits: the heaviest that says so, or else inwards from the
+        page as long as one child of a kind that can hold an article holds most of the text."""
+        named = [i for i, k in enumerate(self.keys) if k.split(".")[0] in ("article", "main") and not self.asides[i]]
+        at = max(named, key=lambda i: self.weights[i], default=0)
+        at = at if self.weights[at] else 0
+        while self.weights[at] and self.keys[at].split(".")[0] != "article":
+            kids = self.kids[at]
+            i = max((i for i in range(len(kids))), key=lambda i: self.weights[kids[i]], default=None)
+            if i is None or self.weights[kids[i]] < INWARD * self.weights[at] or self.keys[kids[i]].split(".")[0] not in INNER or self._repeats(kids, i):
+                break
+            at = kids[i]
+        return at
 
     def at(self, path: list[list]) -> set[int]:
         """The elements at path. Of several children with a key, that one which holds what the path's holds most of all; all, if
@@ -447,16 +437,13 @@ class Outline:
         return [max(mine, key=lambda k: likeness(k, which))] if mine else []
 
 
-def blocks_at(page: str, path: list[list]) -> list[str] | None:
-    """Blocks of the elements at path, in page order; None if there is no such element."""
-    wanted = Outline(page).at(path) if path else {0}
-    if not wanted:
-        return None
+def blocks_of(page: str, wanted: set[int], lenient: int = 0) -> list[str]:
+    """Blocks of these elements, in page order."""
     blocks: list[str] = []
     held: list[str] = []
     # how many elements are open, and how many of them up to the outermost one that is wanted
     begun, inside = 0, 0 if 0 in wanted else None
-    events = Events(page)
+    events = Events(page, lenient)
 
     def flush() -> None:
         text = " ".join("".join(held).split())
@@ -481,14 +468,26 @@ def blocks_at(page: str, path: list[list]) -> list[str] | None:
     return blocks
 
 
+def _read(page: str, wrapper: dict | None, lenient: int) -> list[str]:
+    outline = Outline(page, lenient)
+    wanted = outline.at(wrapper["path"]) if wrapper and wrapper["path"] else set()
+    blocks = blocks_of(page, wanted, lenient) if wanted else []
+    return blocks or blocks_of(page, {outline.own_article()}, lenient)
+
+
 def main_text(page: str | None, wrapper: dict | None) -> str:
-    """The article of a page, its blocks joined by empty lines: by the host's wrapper, or by the page's own where that doesn't fit."""
+    """The article of a page, its blocks joined by empty lines: by the host's wrapper, or by the page's own weights where that
+    doesn't fit. Where that leaves less than LITTLE of what a form or object holds, these are transparent; where it leaves nothing,
+    names of classes say nothing."""
     page = page or ""
-    blocks = blocks_at(page, wrapper["path"]) if wrapper and wrapper["path"] else None
-    if not blocks:
-        own = page_items(page)
-        blocks = blocks_at(page, article_path(own) if own is not None else streamed_path(page))
-    return "\n\n".join(blocks or [])
+    blocks = _read(page, wrapper, 0)
+    if CONTAINER.search(page):
+        more = _read(page, None, 1)
+        if sum(map(len, blocks)) < LITTLE * sum(map(len, more)):
+            blocks = more
+    if not blocks and page:
+        blocks = _read(page, None, 2)
+    return "\n\n".join(blocks)
 
 
 def host(url: Column) -> Column:

@@ -208,7 +208,7 @@ def test_long_and_deep_pages_are_narrowed_to_their_article(monkeypatch):
     for n, deep in ((100, 0), (20_000, 0), (100, 150)):
         assert wrappers.main_text(of(n, deep), None) == "\n\n".join(f"Text {i}" for i in range(n)), (n, deep)
     for html in (of(50, 3), article(3), *(article(i, "<p>one</p><div class=x>two</div><p>three <a href=/>four</a></p>") for i in range(20))):
-        assert wrappers.streamed_path(html) == wrappers.article_path(wrappers.page_items(html))
+        assert wrappers.main_text(html, None) == wrappers.main_text(html, {"path": wrappers.article_path(wrappers.page_items(html))})
 
 
 def test_articles_without_the_element():
@@ -246,3 +246,67 @@ def test_elements_that_never_end_hold_no_more_than_their_parent():
         assert wrappers.main_text(html, None) == "Head\n\nOne\n\nTwo", tag
     assert wrappers.main_text("<article><p>One</p><script>var x = 1", None) == "One"
     assert wrappers.main_text("<article><p>One<b><i><u><s><q><em><tt><code><kbd><var>deep<h2>Two</h2>", None) == "One deep\n\nTwo".replace(" ", "")
+
+
+def test_one_rule_for_pages_of_any_size():
+    """The article beside a teaser of the same key: the same answer for a page of some paragraphs and of many thousand."""
+
+    def of(n, also=""):
+        text = "".join(f"<p>Paragraph {i} of the story</p>" for i in range(n))
+        return f"<html><body><div><ul><li>One teaser</li><li>Other teaser {also}</li></ul></div><div>{text}</div></body></html>"
+
+    for n in (5, 3_000, 9_000):
+        for wrapper in (None, wrappers.infer([of(n)])):
+            assert wrappers.main_text(of(n), wrapper) == "\n\n".join(f"Paragraph {i} of the story" for i in range(n)), n
+    assert wrappers.infer([of(9_000)])["path"] is None and wrappers.infer([of(5)])["path"] is None
+
+
+def test_what_differs_outweighs_what_is_the_same():
+    blurb = "We are a paper of this town and have been so for years. " * 12
+    pages = [f'<html><body><div class="about">{blurb}</div><div class="story"><p>{"A word of story " * 4}{i}.</p></div></body></html>' for i in range(16)]
+    found = wrappers.infer(pages)
+    for i, html in enumerate(pages):
+        assert wrappers.main_text(html, found) == " ".join(f"{'A word of story ' * 4}{i}.".split())
+    # versions of one article are the same on all pages, and the article all the same
+    story = "".join(f"<p>Sentence {i} of a long story that is told again</p>" for i in range(60))
+    versions = [f'<html><body><div class="story">{story}</div><div class="seen"><p>Seen {i} times</p></div></body></html>' for i in range(16)]
+    assert wrappers.main_text(versions[4], wrappers.infer(versions)).startswith("Sentence 0 of") and "Sentence 59" in wrappers.main_text(versions[4], wrappers.infer(versions))
+
+
+@pytest.mark.parametrize("name", ["share-prices", "social-history", "legal-text", "side-by-side", "notice-of-works", "comment-culture", "ad-astra", "menu-of-the-day"])
+def test_a_word_in_a_name_does_not_empty_a_page(name):
+    pages = [f'<html><body><nav><a href="/">Home</a></nav><div class="{name}"><h1>Title {i}</h1><p>The story {i} is here.</p></div><div class="footer">Site text</div></body></html>' for i in range(4)]
+    for wrapper in (None, wrappers.infer(pages)):
+        assert wrappers.main_text(pages[2], wrapper) == "Title 2\n\nThe story 2 is here."
+
+
+@pytest.mark.parametrize("tag", ["form", "object", "dialog"])
+def test_an_article_in_a_page_wide_container_is_read(tag):
+    pages = [f'<html><body><{tag} id="f" action="/"><nav><a href="/">Home</a></nav><div class="story"><p>{"The story is here. " * 5}{i}</p></div><div class="cookie-notice">We use cookies</div></{tag}></body></html>' for i in range(4)]
+    for wrapper in (None, wrappers.infer(pages)):
+        assert wrappers.main_text(pages[2], wrapper) == f"{'The story is here. ' * 5}2".strip()
+    assert wrappers.main_text('<article><p>Short</p></article><form class="login"><p>Log in here with a name and some words</p></form>', None) == "Short"
+
+
+def test_names_say_nothing_where_nothing_is_left():
+    assert wrappers.main_text('<html><body><div class="comments"><p>All there is</p></div></body></html>', None) == "All there is"
+    assert wrappers.main_text("<html><body><nav>Home</nav><script>x</script></body></html>", None) == ""
+
+
+def test_articles_of_made_pages_against_what_they_were_made_from():
+    """Pages of random frames around random articles: the text that went in comes out."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    for _ in range(12):
+        holder, menu = rng.choice(["article", "div", "main", "td"]), "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(6))
+        blurb = " ".join(word() for _ in range(30))
+        pages, texts, kind = [], [], rng.choice("ab")
+        for _ in range(8):
+            blocks = [" ".join(word() for _ in range(rng.randint(8, 40))) for _ in range(rng.randint(2, 9))]
+            inner = "".join(f"<{t}>{b}</{t}>" for b, t in zip(blocks, ["h1", *rng.choices(["p", "blockquote", "pre"], k=len(blocks) - 1)]))
+            body = f'<{holder} class="body-{kind}">{inner}</{holder}>'
+            pages.append(f'<html><body><div class="top-nav"><ul>{menu}</ul></div><div class="who">{blurb}</div>{"<table><tr>" + body + "</tr></table>" if holder == "td" else body}<div class="sidebar">{word()} {word()}</div><div id="comments"><p>{word()} {word()}</p></div><footer>{word()}</footer></body></html>')
+            texts.append("\n\n".join(blocks))
+        found = wrappers.infer(pages)
+        got = [wrappers.main_text(p, found) for p in pages]
+        assert sum(a == b for a, b in zip(got, texts)) >= 7, (holder, [(a, b) for a, b in zip(got, texts) if a != b][:1])

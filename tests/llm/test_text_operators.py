@@ -252,7 +252,7 @@ def test_language_against_one_encoder_a_language():
         sizes = {}
         for k, content in learned.items():
             shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            level = langid.FINE_LEVEL if len(data) <= langid.SHORT else langid.LEVEL
+            level = langid.LEVEL
             shared.precompute_compress(level=level)
             sizes[k] = sum(len(zstandard.ZstdCompressor(level=level, dict_data=shared, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data[at : at + langid.BLOCK])) for at in range(0, len(data), langid.BLOCK))
         best, second = sorted(sizes.items(), key=lambda s: (s[1], s[0]))[:2]
