@@ -13,8 +13,12 @@ class GateError(ValueError):
 
 
 def enforce(report: DataFrame, name: str) -> dict:
-    """The report's one row as a dict; an error if a column that counts violations (n_bad...) is not 0."""
-    row = report.first().asDict()
+    """The report's one row as a dict; an error if a column that counts violations (n_bad...) is not 0, if none counts any, or
+    without a row: what checks nothing has not passed."""
+    first = report.first()
+    row = first.asDict() if first else {}
+    if not any(k.startswith("n_bad") for k in row):
+        raise GateError(f"{name}: nothing is checked")
     bad = {k: v for k, v in row.items() if k.startswith("n_bad") and v}
     if bad:
         raise GateError(f"{name}: {bad}")
@@ -91,6 +95,22 @@ def require_same(expected, observed, tolerance: float = 0.0, ignore: frozenset[s
         raise GateError("; ".join(found[:10]))
 
 
+def require_all(checks: dict, name: str = "") -> None:
+    """That there are checks (name -> whether it holds), and that all of them hold."""
+    failed = sorted(str(k) for k, v in checks.items() if not v)
+    if failed or not checks:
+        raise GateError(f"{name}: {len(failed)} of {len(checks)} checks failed: {failed}" if checks else f"{name}: nothing is checked")
+
+
+def compare_tail(name: str, expected: float, observed: float, tolerance: float = 1e-6) -> list[str]:
+    """Difference between two tail probabilities, by their decimal logarithms, so that tiny ones differ as large ones do; two that
+    are zero agree, and zero counts as the least number above it."""
+    if not all(isinstance(x, (int, float)) and 0 <= x <= 1 for x in (expected, observed)):
+        return [f"{name}: {expected!r} and {observed!r} are not both probabilities"]
+    a, b = (math.log10(max(x, math.ulp(0.0))) for x in (expected, observed))
+    return [] if abs(a - b) <= tolerance * max(1.0, abs(a), abs(b)) else [f"{name}: {expected!r} and {observed!r}"]
+
+
 def require_complete(results: dict, expected: list[str]) -> None:
     missing, extra = [e for e in expected if e not in results], [r for r in results if r not in expected]
     if missing or extra:
@@ -107,13 +127,47 @@ def only_field(expected: dict, observed: dict, field: str, tolerance: float = 0.
         raise GateError(f"differences beyond {field}: {other[:10]}" if other else f"{field} does not differ")
 
 
-def verify_pooled(effects: DataFrame, claimed: dict, tolerance: float = 1e-8) -> None:
-    """That a published pooled result (k, delta, se, ci_lo, ci_hi, z and, of several studies, q, df, tau2, i2) is what its table
-    of effects (delta, se) gives. A field that the claim leaves out or adds is an error, as is a number that is off."""
-    from .meta import check_effects, dersimonian_laird
+#: Fields of a pooled result that its table gives, by the names that results are published under as well.
+PUBLISHED = {"Q": "q", "I2": "i2", "pQ": "p_q", "delta_FE": "delta_fe"}
+POOLED = ("k", "delta", "se", "ci_lo", "ci_hi", "z", "q", "df", "tau2", "i2")
+TESTED = ("p", "p_q", "delta_fe")
+
+
+def verify_patients(effects: DataFrame, expected: DataFrame | None = None, column: str = "patient_id") -> None:
+    """That every effect has a patient of its own, neither null nor empty, and that these are the expected ones, if given."""
+    ids = effects.select(F.col(column).cast("string").alias("id"))
+    counts = ids.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_patients"), F.count_if((F.col("n") > 1) | F.col("id").isNull() | (F.col("id") == "")).alias("n_bad_patients"))
+    if enforce(counts, "patients")["n_patients"] == 0:
+        raise GateError("patients: the table has none")
+    if expected is not None:
+        enforce(same_sets(ids, expected.select(F.col(column).cast("string").alias("id")), "id"), "patients")
 
-    made = dersimonian_laird(check_effects(effects)).first()
+
+def verify_pooled(effects: DataFrame, claimed: dict, tolerance: float = 1e-8, expected: DataFrame | None = None, whole: bool = False) -> None:
+    """That a published pooled result (k, delta, se, ci_lo, ci_hi, z, q, df, tau2, i2, and p, p_q, delta_fe) is what its table of
+    effects (delta, se[, patient_id]) gives, field by field.
+
+    A field of POOLED that the claim leaves out is an error, as is a number that is off; with whole, so is one of TESTED, which
+    otherwise are compared where the claim has them. Tail probabilities are compared by logarithms. Patients, where the table
+    names them, must be distinct, and those of expected (patient_id) if that is given. Other fields of the claim say nothing.
+    """
+    from .meta import check_effects, dersimonian_laird, with_tails
+
+    if expected is not None or "patient_id" in effects.columns:
+        verify_patients(effects, expected)
+    made = with_tails(dersimonian_laird(check_effects(effects))).first()
     if made is None:
         raise GateError("the table has no effects")
-    fields = ("k", "delta", "se", "ci_lo", "ci_hi", "z", "q", "df", "tau2", "i2")
-    require_same({f: made[f] for f in fields}, {f: claimed[f] for f in claimed if f in fields}, tolerance)
+    own = {PUBLISHED.get(f, f): v for f, v in claimed.items()}
+    missing = [f for f in (*POOLED, *(TESTED if whole else ())) if f not in own]
+    if missing:
+        raise GateError(f"the claim has no {missing}")
+    shown = [*POOLED, *(["delta_fe"] if "delta_fe" in own else [])]
+    found = compare({f: made[f] for f in shown}, {f: own[f] for f in shown}, tolerance)
+    for f in ("p", "p_q"):
+        if f in own and (made[f] is None or own[f] is None):
+            found += [] if made[f] is own[f] else [f"{f}: {made[f]!r} and {own[f]!r}"]
+        elif f in own:
+            found += compare_tail(f, made[f], own[f])
+    if found:
+        raise GateError("; ".join(found[:10]))

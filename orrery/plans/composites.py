@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import draw
-from ..operators import batches, cluster, curvature, effects, graph, labels, meta, ml, normalize, sampling, ward
+from ..operators import batches, cluster, curvature, effects, gates, graph, labels, meta, ml, models, normalize, sampling, ward
 from ..session import pinned
 
 
@@ -49,11 +49,11 @@ def dual_label_variants(points: DataFrame, id_col: str, vector: str, patient: st
     return out
 
 
-def label_validation(points: DataFrame, id_col: str, vector: str, schemes: dict[str, Column], k: int = 15, n_edges: int = 4000, minimum: int = 30, total: int = 1200) -> tuple[DataFrame, DataFrame]:
+def label_validation(points: DataFrame, id_col: str, vector: str, schemes: dict[str, Column], k: int = 15, n_edges: int = 4000, minimum: int = 30, total: int | None = 1200, kind: str = "ollivier") -> tuple[DataFrame, DataFrame]:
     """(scheme, n1, n2, delta, p, ok) over one graph whose curvature is measured once, whatever the labels; and the verdict. A scheme's
-    column says whether a cell is of the first arm, null that it is of none."""
-    cells = pinned(sampling.first_n(points, total, id_col), "cells")
-    nodes, _ = node_curvature(cells, id_col, vector, k, n_edges)
+    column says whether a cell is of the first arm, null that it is of none. total: cells drawn, all if None."""
+    cells = points if total is None else pinned(sampling.first_n(points, total, id_col), "cells")
+    nodes, _ = node_curvature(cells, id_col, vector, k, n_edges, kind=kind)
     found = None
     for name, is_a in schemes.items():
         rows = graph.contrast_from(nodes, cells.select(F.col(id_col).alias("id"), is_a.alias("first")), F.col("first"), ~F.col("first"), minimum)
@@ -163,7 +163,7 @@ def stratified_reruns(points: DataFrame, id_col: str, vector: str, depth: str, i
         binned = pinned(labels.quantile_bin(rows, stratum, bins, "bin"), "binned")
         whole = effects.mann_whitney(binned, ["bin"], "kappa", F.col("is_a")).where((F.col("n1") >= least) & (F.col("n2") >= least)).select("bin", "n1", "n2", "delta")
         for b in range(bins):
-            boot = meta.interval(meta.bootstrap_cliff(binned.where(F.col("bin") == b), "id", "kappa", F.col("is_a"), replicates)).select("ci_lo", "ci_hi")
+            boot = meta.interval(meta.bootstrap_cliff_counts(binned.where(F.col("bin") == b), "kappa", F.col("is_a"), replicates)).select("ci_lo", "ci_hi")
             one = whole.where(F.col("bin") == b).crossJoin(boot).withColumn("stratum", F.lit(stratum))  # one row each
             out = one if out is None else out.unionByName(one)
     return out
@@ -178,11 +178,11 @@ def feature_sets(df: DataFrame, label: str, id_col: str, sets: dict[str, str], s
     return out
 
 
-def two_group(points: DataFrame, id_col: str, vector: str, is_a: Column, k: int = 15, n_edges: int = 4000, per_arm: int = 600) -> DataFrame:
+def two_group(points: DataFrame, id_col: str, vector: str, is_a: Column, k: int = 15, n_edges: int = 4000, per_arm: int = 600, kind: str = "ollivier") -> DataFrame:
     """One cohort without patients: arms of equal size, curvature, Mann-Whitney and Cliff's delta."""
     arms = points.withColumn("arm", F.when(is_a, "a").otherwise("b"))
-    chosen = sampling.independent_arms(arms, "arm", id_col, per_arm)
-    nodes, _ = node_curvature(chosen, id_col, vector, k, n_edges)
+    chosen = pinned(sampling.independent_arms(arms, "arm", id_col, per_arm), "chosen")
+    nodes, _ = node_curvature(chosen, id_col, vector, k, n_edges, kind=kind)
     rows = _measured(nodes, chosen, id_col, F.col("arm"))
     return effects.mann_whitney(rows, [], "kappa", F.col("arm") == "a")
 
@@ -252,3 +252,80 @@ def random_panels(values: DataFrame, is_a: Column, panels: DataFrame, observed:
     """An effect of the variable genes' mean score among those of random panels (panel, gene)."""
     scores = values.join(panels, "gene").groupBy("panel", "cell").agg(F.avg("value").alias("score"))
     return meta.against_random(observed, effects.mann_whitney(scores, ["panel"], "score", is_a).select("delta"))
+
+
+def within_patients(rows: DataFrame, patient: str, value: str, is_a: Column, b: int = 400) -> DataFrame:
+    """naive, coef, se, ci_lo, ci_hi, p, icc, shrinkage, delta, boot_lo, boot_hi, n, n_patients: the difference of the arms' means over
+    all cells, that of a model with an intercept for each patient, by how many per cent it is smaller, and Cliff's delta over all
+    cells with its bootstrapped interval."""
+    rows = pinned(rows.select(F.col(patient).alias("patient"), F.col(value).cast("double").alias("value"), is_a.alias("is_a")).dropna(), "rows")
+    means = rows.agg((F.avg(F.when(F.col("is_a"), F.col("value"))) - F.avg(F.when(~F.col("is_a"), F.col("value")))).alias("naive")).first()
+    model = models.mixed_effect(rows, "patient", "value", F.col("is_a"))
+    shown = {"naive": means.naive, **{c: model[c] for c in ("coef", "se", "ci_lo", "ci_hi", "p", "icc")}, "shrinkage": models.shrinkage(means.naive, model["coef"])}
+    one = rows.sparkSession.createDataFrame([(*(None if v is None else float(v) for v in shown.values()), model["n"], model["n_patients"])], ", ".join(f"{c} double" for c in shown) + ", n long, n_patients long")
+    delta = effects.mann_whitney(rows, [], "value", F.col("is_a")).select("delta")
+    boot = meta.interval(meta.bootstrap_cliff_counts(rows, "value", F.col("is_a"), b)).select(F.col("ci_lo").alias("boot_lo"), F.col("ci_hi").alias("boot_hi"))
+    return one.crossJoin(delta).crossJoin(boot)  # a row each
+
+
+def by_donor(points: DataFrame, id_col: str, vector: str, specimen: str, donors: DataFrame, is_a: Column, **options) -> DataFrame:
+    """patient_meta over donors: cells of specimens that the map (specimen, donor) covers, with unit, donor_verified, and how many
+    specimens of either side have no partner. A specimen of two donors is an error."""
+    if donors.groupBy("specimen").agg(F.count_distinct("donor").alias("n")).where("n <> 1").limit(1).count():
+        raise ValueError("a specimen must have one donor")
+    have = points.select(F.col(specimen).alias("specimen")).where("specimen is not null").distinct()
+    walk = pinned(labels.crosswalk(have, donors.select("specimen", "donor").distinct()), "crosswalk")
+    known = walk.where("covered").select(F.col("specimen").alias("__specimen"), "donor")
+    cells = points.join(F.broadcast(known), F.col(specimen) == F.col("__specimen")).drop("__specimen")  # specimens: some hundred
+    counts = walk.agg(F.count_if("covered").alias("n_covered"), F.count_if(~F.col("covered")).alias("n_uncovered"))
+    return gates.donor_unit(patient_meta(cells, id_col, vector, "donor", is_a, **options).crossJoin(counts), donors)
+
+
+def clonality_contrasts(nodes: DataFrame, cells: DataFrame, id_col: str, clone: str, threshold: int = 10) -> DataFrame:
+    """one, two, n1, n2, delta: curvature of cells of expanded, other and non-expanded clones against each other."""
+    groups = labels.clonality(cells, id_col, clone, threshold).select(F.col(id_col).alias("id"), "clonality")
+    return pairwise(pinned(nodes.where("status = 'measured'").select("id", "kappa").join(groups, "id"), "clones"), "clonality", "kappa")
+
+
+def decomposition(points: DataFrame, id_col: str, vector: str, cohort: str, schemes: dict[str, Column], **options) -> DataFrame:
+    """cohort and label_validation's rows: how labelling schemes contrast over the geometry of each cohort, measured once."""
+    out = None
+    for (c,) in sorted(points.select(cohort).where(F.col(cohort).isNotNull()).distinct().collect()):  # a few cohorts
+        found, _ = label_validation(pinned(points.where(F.col(cohort) == c), "cohort"), id_col, vector, schemes, **options)
+        found = found.withColumn("cohort", F.lit(c))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def dimension_and_curvature(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rho, n: rank correlation of a node's curvature, at the last of its dimensions, and its effective dimension, where both are finite."""
+    found = curvature.bakry_emery_nodes(edges, nodes).select(F.element_at("curvature", -1).alias("curvature"), F.col("effective_dimension").alias("dimension"))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return effects.spearman(pinned(found.where(finite("curvature") & finite("dimension")), "found"), "curvature", "dimension")
+
+
+def arm_clones(values: DataFrame, genes: DataFrame, reference: DataFrame, patients: DataFrame, nodes: DataFrame, most: int = 5, least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(h, df, n) of curvature over the Ward clusters of each patient's arm scores, and extreme_subclones' rows. patients: cell, patient;
+    nodes: id, kappa, status."""
+    scores = normalize.arm_scores(values, genes, reference)
+    cells = scores.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("arm", "score"))), lambda e: e["score"]).alias("scores"))  # arms: some forty
+    rows = pinned(cells.join(patients, "cell"), "scores")
+    clones = ward.subclones(rows, "patient", "cell", "scores", most, least)
+    joined = pinned(nodes.where("status = 'measured'").select(F.col("id").alias("cell"), "kappa").join(clones.withColumnRenamed("patient", "p"), "cell").select("cell", "kappa", F.col("p").alias("patient"), "subclone"), "clones")
+    named = joined.withColumn("clone", F.concat_ws(":", F.col("patient").cast("string"), F.col("subclone").cast("string")))
+    return effects.kruskal(named, "clone", "kappa"), extreme_subclones(joined, least=least)
+
+
+def classifier_by_cohort(points: DataFrame, id_col: str, vector: str, cohort: str, label: Column, k: int = 15, n_edges: int = 4000, kind: str = "ollivier") -> DataFrame:
+    """cohort, features, n_train, n_test, auc, ap, accuracy, f1: each cohort's cells scored by a model of the other cohorts, from the
+    embedding and from curvature and degree in the graph of its own cohort."""
+    out = None
+    for (c,) in sorted(points.select(cohort).where(F.col(cohort).isNotNull()).distinct().collect()):  # a few cohorts
+        cells = pinned(points.where(F.col(cohort) == c), "cohort")
+        nodes, _ = node_curvature(cells, id_col, vector, k, n_edges, kind=kind)
+        one = _measured(nodes, cells, id_col, F.col(cohort).alias("cohort"), label.alias("y"), F.col(vector).cast("array<double>").alias("embedding"))
+        one = one.select("id", "cohort", "y", "embedding", F.array("kappa", F.col("degree").cast("double")).alias("curvature"))
+        out = one if out is None else out.unionByName(one)
+    rows = pinned(out, "rows")
+    found = [ml.leave_one_group_out(rows, "cohort", "y", c).withColumn("features", F.lit(c)) for c in ("embedding", "curvature")]
+    return found[0].unionByName(found[1])

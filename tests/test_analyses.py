@@ -232,3 +232,96 @@ def test_runs_are_blocked_without_inputs_and_reproduced_with_them(tmp_path):
     assert results.reproduced(kept, {"a": 1.0, "seconds": 3}) and results.reproduced(kept, {"a": 1.0, "seconds": 9})
     assert not results.reproduced(kept, {"a": 1.1, "seconds": 3}) and results.reproduced(kept, {"a": 1.05, "seconds": 3}, 0.1)
     assert results.reproduced(kept, {"a": 2.0}, update=True) and results.reproduced(kept, {"a": 2.0})
+
+
+def test_gates_that_check_nothing_do_not_pass(spark):
+    for report in (spark.createDataFrame([(3,)], "n_rows int"), spark.createDataFrame([], "n_bad_x int")):
+        with pytest.raises(gates.GateError, match="nothing"):
+            gates.enforce(report, "labels")
+    gates.require_all({"delta": True, "k": 1})
+    for checks in ({}, {"delta": True, "p": False}):
+        with pytest.raises(gates.GateError):
+            gates.require_all(checks, "run")
+
+
+def test_tails_are_compared_by_their_logarithms():
+    assert gates.compare_tail("p", 0.0, 0.0) == [] == gates.compare_tail("p", 1e-300, 1e-300 * (1 + 1e-9))
+    for one, other in ((1e-300, 2e-300), (0.0, 1e-300), (0.04, 0.0401), (0.5, None), (1.5, 1.5)):
+        assert gates.compare_tail("p", one, other)
+
+
+def test_published_fields_and_patients_are_verified(spark):
+    effects = spark.createDataFrame([("a", 0.2, 0.1), ("b", 0.3, 0.15), ("c", -0.1, 0.2)], "patient_id string, delta double, se double")
+    made = meta.with_tails(meta.dersimonian_laird(effects)).first().asDict()
+    published = {"k": made["k"], "Q": made["q"], "I2": made["i2"], "pQ": made["p_q"], "delta_FE": made["delta_fe"], "note": "more", **{f: made[f] for f in ("delta", "se", "ci_lo", "ci_hi", "z", "p", "df", "tau2")}}
+    gates.verify_pooled(effects, published, whole=True, expected=effects.select("patient_id"))
+    for field, wrong in (("p", made["p"] * 1.001), ("pQ", made["p_q"] / 1.01), ("delta_FE", made["delta_fe"] + 1e-4), ("tau2", None)):
+        with pytest.raises(gates.GateError):
+            gates.verify_pooled(effects, {**published, field: wrong}, whole=True)
+    with pytest.raises(gates.GateError, match="has no"):
+        gates.verify_pooled(effects, {k: v for k, v in published.items() if k != "pQ"}, whole=True)
+    for rows in (effects.unionByName(effects), effects.withColumn("patient_id", F.lit(None).cast("string"))):
+        with pytest.raises(gates.GateError, match="patients"):
+            gates.verify_pooled(rows, published)
+    with pytest.raises(gates.GateError, match="patients"):
+        gates.verify_pooled(effects, published, expected=effects.limit(2))
+    one = effects.limit(1)
+    single = meta.with_tails(meta.dersimonian_laird(one)).first().asDict()
+    gates.verify_pooled(one, {f: single[f] for f in (*gates.POOLED, *gates.TESTED)}, whole=True)
+
+
+# Donors, cohorts, clones
+
+
+def test_what_patients_explain_is_taken_off_the_contrast(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for p, (n_a, n_b) in enumerate([(40, 8), (30, 10), (10, 35), (6, 44), (20, 20), (38, 9)]):
+        level = 4.0 if n_a > n_b else 0.0  # patients with more of the first arm lie higher
+        rows += [(p, True, level + 0.5 + rng.normal()) for _ in range(n_a)] + [(p, False, level + rng.normal()) for _ in range(n_b)]
+    rows.append((9, None, 1.0))
+    got = composites.within_patients(spark.createDataFrame(rows, "p int, a boolean, v double"), "p", "v", F.col("a"), 200).first()
+    values = {arm: np.array([v for _, a, v in rows if a is arm]) for arm in (True, False)}
+    assert got.naive == pytest.approx(values[True].mean() - values[False].mean()) and got.n == len(rows) - 1 and got.n_patients == 6
+    assert got.naive > 1.5 and abs(got.coef - 0.5) < 3 * got.se and got.shrinkage == pytest.approx(100 * (1 - got.coef / got.naive)) and got.icc > 0.5
+    assert got.delta == pytest.approx(np.sign(np.subtract.outer(values[True], values[False])).mean()) and got.boot_lo < got.delta < got.boot_hi
+
+
+def test_a_specimen_has_one_donor(spark, points):
+    p = points.withColumn("specimen", F.col("id") % 4)
+    with pytest.raises(ValueError, match="one donor"):
+        composites.by_donor(p, "id", "x", "specimen", spark.createDataFrame([(0, 1), (0, 2)], "specimen long, donor long"), F.col("label") == 1)
+
+
+def test_clones_of_arm_scores_and_their_extremes(spark):
+    """Two clones a patient, one with a gain of arm B, whose curvature is higher."""
+    rng = np.random.default_rng(2)
+    genes = [(g, "A" if g < 30 else "B", g) for g in range(60)]
+    cells = [(c, c % 2, (c // 2) % 2) for c in range(80)]  # cell, patient, clone
+    values = [(c, g, float(rng.normal(5, 0.2) + (2.0 if k and g >= 30 else 0))) for c, _, k in cells for g, _, _ in genes]
+    reference = spark.createDataFrame([(1000 + i,) for i in range(10)], "cell long")
+    values += [(1000 + i, g, float(rng.normal(5, 0.2))) for i in range(10) for g, _, _ in genes]
+    nodes = spark.createDataFrame([(c, 0.1 * c / 80 + (1.0 if k else 0.0), "measured") for c, _, k in cells], "id long, kappa double, status string")
+    h, extremes = composites.arm_clones(spark.createDataFrame(values, "cell long, gene long, value double"), spark.createDataFrame(genes, "gene long, arm string, start long"), reference, spark.createDataFrame([(c, p) for c, p, _ in cells], "cell long, patient long"), nodes, 2, 5)
+    found = {r.patient: r for r in extremes.collect()}
+    assert set(found) == {"0", "1"} or set(found) == {0, 1}
+    assert all(r.delta == 1.0 and r.n_subclones == 2 and r.mean_highest - r.mean_lowest == pytest.approx(1, abs=0.1) for r in found.values())
+    assert h.first().df == 3 and h.first().h > 50
+
+
+def test_cohorts_are_scored_by_models_of_the_others(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, bool(i // 3 % 2), [float(x) for x in rng.normal(3.0 * (i // 3 % 2), 1, 4)]) for i in range(150)]
+    got = composites.classifier_by_cohort(spark.createDataFrame(rows, "id long, cohort int, y boolean, x array<double>"), "id", "x", "cohort", F.col("y"), 5, kind="forman").collect()
+    assert sorted((r.cohort, r.features) for r in got) == sorted((c, f) for c in range(3) for f in ("embedding", "curvature"))
+    assert all(r.n_test == 50 and r.n_train == 100 for r in got) and min(r.auc for r in got if r.features == "embedding") > 0.95
+
+
+def test_rank_correlation_of_curvature_and_dimension(spark, points):
+    edges = graph.knn_graph(points.where("id < 60"), "id", "x", 5)
+    nodes = points.where("id < 60").select("id", F.col("label").alias("group"))
+    rho = composites.dimension_and_curvature(edges, nodes).first()
+    pairs = [(r.curvature[-1], r.effective_dimension) for r in curvature.bakry_emery_nodes(edges, nodes).collect()]
+    pairs = np.array([p for p in pairs if np.isfinite(p).all()])
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    assert rho.n == len(pairs) and rho.rho == pytest.approx(np.corrcoef(rank(pairs[:, 0]), rank(pairs[:, 1]))[0, 1])
