@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from ..functions.scalars import draw
-from ..operators import batches, cluster, curvature, effects, gates, graph, labels, meta, ml, models, normalize, sampling, ward
+from ..operators import batches, curvature, diffusion, effects, gates, graph, labels, meta, ml, models, normalize, sampling, ward
 from ..session import pinned
 
 
@@ -124,7 +124,7 @@ def curvature_of_panels(values: DataFrame, is_a: DataFrame, size: int = 2000, pa
 def curvature_along_pseudotime(points: DataFrame, id_col: str, vector: str, root: int, group: str, k: int = 15, n_edges: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(rho, n) of curvature and pseudotime over the measured cells; and (group, n, mean_kappa, mean_pseudotime)."""
     nodes, _ = node_curvature(points, id_col, vector, k, n_edges)
-    time = cluster.pseudotime(points, id_col, vector, root)
+    time = diffusion.pseudotime(points, id_col, vector, root)
     rows = pinned(_measured(nodes, points, id_col, F.col(group).alias("group")).join(time, "id"), "along")
     return effects.spearman(rows, "kappa", "pseudotime"), rows.groupBy("group").agg(F.count("*").alias("n"), F.avg("kappa").alias("mean_kappa"), F.avg("pseudotime").alias("mean_pseudotime"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars
-from ..operators import batches, cluster, communities, curvature, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling, ward
+from ..operators import batches, cluster, communities, curvature, diffusion, effects, gates, graph, labels, meta, ml, models, normalize, ranks, sampling, ward
 from ..session import pinned
 from . import composites
 
@@ -959,7 +959,7 @@ def delaunay_graph(spark, sf_dir):
 
 @query()
 def pseudotime(spark, sf_dir):
-    return cluster.pseudotime(cells(spark, sf_dir), "vec_id", "embedding", 0)
+    return diffusion.pseudotime(cells(spark, sf_dir), "vec_id", "embedding", 0)
 
 
 @query()

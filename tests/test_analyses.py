@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery import verify
-from orrery.operators import batches, cluster, curvature, gates, graph, meta, ml, models, normalize, sampling
+from orrery.operators import batches, curvature, diffusion, gates, graph, meta, ml, models, normalize, sampling
 from orrery.plans import composites
 from orrery.sources import counts, results
 
@@ -186,7 +186,7 @@ def test_batches_come_together_and_groups_stay_apart(spark):
 
 def test_pseudotime_along_a_line(spark):
     rows = spark.createDataFrame([(i, [i / 10.0, 0.0]) for i in range(60)], "id long, x array<double>")
-    got = [r.pseudotime for r in cluster.pseudotime(rows, "id", "x", 0, k=5).orderBy("id").collect()]
+    got = [r.pseudotime for r in diffusion.pseudotime(rows, "id", "x", 0, k=5).orderBy("id").collect()]
     assert got[0] == 0 and max(got) == 1 and all(a < b for a, b in zip(got, got[1:]))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import batches, cluster, communities, ward
+from orrery.operators import batches, cluster, communities, diffusion, ward
 
 
 def quality(edges, home):
@@ -145,3 +145,30 @@ def test_rows_that_are_alike_merge_too(spark):
     df = spark.createDataFrame([("g", i, [float(i // 60), 0.0]) for i in range(180)], "p string, id long, x array<double>")
     got = ward.subclones(df, "p", "id", "x", 3, 1, limit=50, block=32).collect()
     assert sorted((r.id, r.subclone) for r in got) == [(i, i // 60) for i in range(180)]
+
+
+def test_leading_eigenvectors_against_the_whole_matrix(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 3))
+    points = spark.createDataFrame([(5 * i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    edges, root = diffusion.kernel(points, "id", "x", 8)
+    whole, at = np.zeros((120, 120)), {5 * i: i for i in range(120)}
+    for r in edges.collect():
+        whole[at[r.u], at[r.v]] += r.t
+    assert np.allclose(whole, whole.T, atol=1e-14)
+    e, v = np.linalg.eigh(whole)
+    first = np.array([r.root for r in root.orderBy("id").collect()])
+    assert e[-1] == pytest.approx(1) and np.allclose(whole @ first, first)
+    for block, most in ((6, 200), (3, 30)):  # at once, and with restarts
+        values, axes = diffusion.leading(edges, root, 4, block, most)
+        got = np.array([r.axes for r in axes.orderBy("id").collect()])
+        assert values == pytest.approx(e[::-1][1:5], abs=1e-9) and np.allclose(got.T @ got, np.eye(4), atol=1e-8)
+        assert np.allclose(whole @ got, got * values, atol=1e-7)
+
+
+def test_pseudotime_over_joins_is_the_driver_s(spark):
+    t = np.sort(np.random.default_rng(1).random(150))
+    x = np.c_[np.cos(4 * t), np.sin(4 * t), 3 * t] + np.random.default_rng(2).normal(size=(150, 3)) * 0.05
+    df = spark.createDataFrame([(3 * i, x[i].tolist()) for i in range(150)], "id long, x array<double>").repartition(3)
+    one, two = ({r.id: r.pseudotime for r in diffusion.pseudotime(df, "id", "x", 0, 10, 5, s).collect()} for s in (1000, 0))
+    assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-6 and two[0] == 0 and max(two.values()) == 1
