@@ -130,6 +130,51 @@ def principal_components(cells: DataFrame, k: int = 50, features: str = "feature
     return scored.select("cell", F.array(*((F.get("y", F.lit(i)) - float(shift[i])) * signs[i] for i in range(k))).alias("pcs"))
 
 
+def sparse_components(values: DataFrame, k: int = 50) -> DataFrame:
+    """cell, pcs: scores on the first components of the values (cell, gene, value), what is absent being 0, without a dense vector.
+
+    Block Lanczos on the genes' covariance, which is never made: a product is a join of the values with a block of loadings, a sum
+    by cell less the mean's share, and a join back; centred cells add up to zero, so that there is nothing more to take off. Signs
+    are those of principal_components. A pair that repeats is added up, null values are left out, fewer genes than k give as many
+    components, and an empty table no rows.
+    """
+    from .eigen import leading
+    from .ranks import running
+
+    rows = values.where(F.col("value").isNotNull() & F.col("gene").isNotNull() & F.col("cell").isNotNull())
+    genes = running(rows.groupBy("gene").agg(F.sum("value").alias("s"), F.lit(1).alias("one")), "gene", ["one"]).select("gene", (F.col("cum_one") - 1).alias("id"), "s")
+    genes = pinned(genes, "genes")
+    held = pinned(rows.join(genes.select("gene", "id"), "gene").groupBy("cell", "id").agg(F.sum("value").cast("double").alias("value")), "values")
+    n = held.agg(F.count_distinct("cell")).first()[0]
+    many = genes.count()
+    if not n:
+        return values.select("cell", F.array().cast("array<double>").alias("pcs")).limit(0)
+    means = pinned(genes.select("id", (F.col("s").cast("double") / n).alias("mean")), "means")
+
+    def scored(x: DataFrame, width: int, name: str) -> DataFrame:
+        """cell, y0 to y<width>: centred values times a block (id, <name>) of loadings."""
+        one = [F.get(name, F.lit(j)) for j in range(width)]
+        shift = x.join(means, "id").agg(*(F.sum(F.col("mean") * c).alias(f"s{j}") for j, c in enumerate(one))).first()
+        return held.join(x, "id").groupBy("cell").agg(*((F.sum(F.col("value") * c) - float(shift[j] or 0.0)).alias(f"y{j}") for j, c in enumerate(one)))
+
+    # a gene that no cell has is an eigenvector of the value 0
+    nobody = means.sparkSession.createDataFrame([(-1,)], "id long")
+
+    def product(x: DataFrame, width: int) -> DataFrame:
+        y = held.join(scored(x, width, "x"), "cell").groupBy("id").agg(*(F.sum(F.col("value") * F.col(f"y{j}")).alias(f"y{j}") for j in range(width)))
+        made = y.select("id", F.array(*(f"y{j}" for j in range(width))).alias("y"))
+        return made.unionByName(nobody.select("id", F.array(*(F.lit(0.0) for _ in range(width))).alias("y")))
+
+    root = means.select("id", F.lit(0.0).alias("root")).unionByName(nobody.select("id", F.lit(1.0).alias("root")))
+    k = min(k, many)
+    _, axes = leading(product, pinned(root, "root"), 0.0, k)
+    axes = pinned(axes.where("id >= 0"), "axes")
+    largest = axes.select("id", F.posexplode("axes").alias("j", "a")).groupBy("j").agg(F.max(F.struct(F.round(F.abs("a"), 9).alias("size"), (-F.col("id")).alias("first"), "a")).alias("m")).collect()  # k rows
+    signs = {r.j: -1.0 if r.m.a < 0 else 1.0 for r in largest}
+    out = scored(axes, k, "axes")
+    return out.select("cell", F.array(*(F.col(f"y{j}") * signs[j] for j in range(k))).alias("pcs"))
+
+
 def depth_embedding(counts: DataFrame) -> DataFrame:
     """cell, embedding: the log of the library alone."""
     return counts.groupBy("cell").agg(F.array(ln1p(F.sum("value"))).alias("embedding"))

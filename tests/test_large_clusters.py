@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import batches, cluster, communities, diffusion, ward
+from orrery.operators import batches, cluster, communities, diffusion, eigen, normalize, ward
 
 
 def quality(edges, home):
@@ -160,7 +160,7 @@ def test_leading_eigenvectors_against_the_whole_matrix(spark):
     first = np.array([r.root for r in root.orderBy("id").collect()])
     assert e[-1] == pytest.approx(1) and np.allclose(whole @ first, first)
     for block, most in ((6, 200), (3, 30)):  # at once, and with restarts
-        values, axes = diffusion.leading(edges, root, 4, block, most)
+        values, axes = eigen.leading(lambda x, width: diffusion.times(edges, x, width), root, 1.0, 4, block, most)
         got = np.array([r.axes for r in axes.orderBy("id").collect()])
         assert values == pytest.approx(e[::-1][1:5], abs=1e-9) and np.allclose(got.T @ got, np.eye(4), atol=1e-8)
         assert np.allclose(whole @ got, got * values, atol=1e-7)
@@ -172,3 +172,24 @@ def test_pseudotime_over_joins_is_the_driver_s(spark):
     df = spark.createDataFrame([(3 * i, x[i].tolist()) for i in range(150)], "id long, x array<double>").repartition(3)
     one, two = ({r.id: r.pseudotime for r in diffusion.pseudotime(df, "id", "x", 0, 10, 5, s).collect()} for s in (1000, 0))
     assert one.keys() == two.keys() and max(abs(one[i] - two[i]) for i in one) < 1e-6 and two[0] == 0 and max(two.values()) == 1
+
+
+def test_components_of_long_counts_are_those_of_the_whole_table(spark):
+    rng = np.random.default_rng(4)
+    whole = np.where(rng.random((70, 40)) < 0.25, rng.gamma(2.0, 1.0, (70, 40)), 0.0)
+    whole[:35, :10] += 1.5
+    whole[9], whole[:, 39] = 0.0, 0.0
+    whole[9, 3] = 0.5
+    rows = [(f"c{i}", f"g{j}", float(whole[i, j])) for i in range(70) for j in range(40) if whole[i, j]]
+    got = {r.cell: r.pcs for r in normalize.sparse_components(spark.createDataFrame(rows, "cell string, gene string, value double").repartition(3), 5).collect()}
+    centred = whole - whole.mean(axis=0)
+    axes = np.linalg.svd(centred)[2][:5].T
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(5)])
+    assert len(got) == 70 and np.array([got[f"c{i}"] for i in range(70)]) == pytest.approx(centred @ axes, abs=1e-6)
+
+
+def test_components_of_few_counts(spark):
+    kind = "cell int, gene int, value double"
+    assert normalize.sparse_components(spark.createDataFrame([], kind), 3).collect() == []
+    got = normalize.sparse_components(spark.createDataFrame([(1, 1, 2.0), (2, 1, 4.0), (2, 2, None)], kind), 3).collect()
+    assert sorted((r.cell, [round(x, 9) for x in r.pcs]) for r in got) == [(1, [-1.0]), (2, [1.0])]
