@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .cluster import bounded
+from ..session import pinned
+from .batches import summed
+from .cluster import MAX_ROWS, bounded
 
 
 def mixed_effect(df: DataFrame, patient: str, value: str, is_a: Column) -> dict:
@@ -50,26 +52,40 @@ def shrinkage(naive: float, mixed: float) -> float | None:
     return None if naive == 0 else 100 * (1 - mixed / naive)
 
 
-def logit(df: DataFrame, label: str, columns: list[str], steps: int = 100) -> dict:
-    """label ~ 1 + columns by Newton's method: coefficients, log-likelihoods, and p of the likelihood ratio. A table of patients, not of cells."""
-    t = bounded(df.select(F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna())
-    y = t["y"].to_numpy()
-    x = np.stack([np.ones(len(y)), *(t[c].to_numpy() for c in columns)], axis=1)
-    beta = np.zeros(x.shape[1])
+def _logit_parts(y: np.ndarray, x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Log-likelihood, its gradient and the information matrix of some rows, one after the other."""
+    s = x @ beta
+    p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
+    return np.concatenate([[(y * s - np.logaddexp(0, s)).sum()], x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
 
-    def logl(b):
-        s = x @ b
-        return float((y * s - np.logaddexp(0, s)).sum())
 
+def logit(df: DataFrame, label: str, columns: list[str], steps: int = 100, small: int = MAX_ROWS) -> dict:
+    """label ~ 1 + columns by Newton's method: coefficients, log-likelihoods, and p of the likelihood ratio. Rows with a null are left
+    out. Up to `small` rows the driver holds them; of more, each step is a pass that adds up likelihood, gradient and information."""
+    rows = pinned(df.select(F.col(label).cast("double").alias("y"), *(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns))).dropna(), "rows")
+    n, positive = rows.agg(F.count("*"), F.sum("y")).first()
+    if not n:
+        raise ValueError("no rows")
+    d = len(columns) + 1
+    design = lambda y, *x: (np.asarray(y, float), np.stack([np.ones(len(y)), *(np.asarray(c, float) for c in x)], axis=1))
+    if n <= small:
+        t = rows.toArrow()
+        held = design(*(c.to_numpy() for c in t.columns))
+        parts = lambda beta: _logit_parts(*held, beta)
+    else:
+        parts = lambda beta: summed(rows, lambda *c: _logit_parts(*design(*(x.to_numpy() for x in c)), beta), 1 + d + d * d)
+    beta = np.zeros(d)
+    now = parts(beta)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -500, 500)))
-        change = np.linalg.lstsq((x * (p * (1 - p))[:, None]).T @ x + 1e-12 * np.eye(len(beta)), x.T @ (y - p), rcond=None)[0]
-        while logl(beta + change) < logl(beta) - 1e-12 and np.abs(change).max() > 1e-12:
+        change = np.linalg.lstsq(now[1 + d :].reshape(d, d) + 1e-12 * np.eye(d), now[1 : 1 + d], rcond=None)[0]
+        after = parts(beta + change)
+        while after[0] < now[0] - 1e-12 and np.abs(change).max() > 1e-12:
             change = change / 2
-        beta = beta + change
+            after = parts(beta + change)
+        beta, now = beta + change, after
         if np.abs(change).max() < 1e-10:
             break
-    share = y.mean()
-    null = float(len(y) * (share * math.log(share) + (1 - share) * math.log1p(-share))) if 0 < share < 1 else 0.0
-    ratio = max(0.0, 2 * (logl(beta) - null))
-    return {"coef": dict(zip(["intercept", *columns], beta.tolist())), "log_likelihood": logl(beta), "log_likelihood_null": null, "llr_p": tails.chi2_sf(ratio, len(columns)) if columns else 1.0, "n": len(y)}
+    share = positive / n
+    null = float(n * (share * math.log(share) + (1 - share) * math.log1p(-share))) if 0 < share < 1 else 0.0
+    ratio = max(0.0, 2 * (float(now[0]) - null))
+    return {"coef": dict(zip(["intercept", *columns], beta.tolist())), "log_likelihood": float(now[0]), "log_likelihood_null": null, "llr_p": tails.chi2_sf(ratio, len(columns)) if columns else 1.0, "n": n}

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import batches, cluster, communities, diffusion, eigen, normalize, ward
+from orrery.operators import batches, cluster, communities, diffusion, eigen, models, normalize, ward
 
 
 def quality(edges, home):
@@ -193,3 +193,15 @@ def test_components_of_few_counts(spark):
     assert normalize.sparse_components(spark.createDataFrame([], kind), 3).collect() == []
     got = normalize.sparse_components(spark.createDataFrame([(1, 1, 2.0), (2, 1, 4.0), (2, 2, None)], kind), 3).collect()
     assert sorted((r.cell, [round(x, 9) for x in r.pcs]) for r in got) == [(1, [-1.0]), (2, [1.0])]
+
+
+def test_logit_by_passes_is_the_driver_s(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    y = rng.uniform(size=300) < 1 / (1 + np.exp(-(0.5 + x[:, 0] - 0.3 * x[:, 1])))
+    df = spark.createDataFrame([(int(b), float(a[0]), float(a[1])) for b, a in zip(y, x)] + [(1, None, 1.0)], "y int, a double, b double").repartition(4)
+    one, two = (models.logit(df, "y", ["a", "b"], small=s) for s in (1000, 0))
+    assert one["n"] == two["n"] == 300 and one["coef"] == pytest.approx(two["coef"], abs=1e-9)
+    assert [one[k] for k in ("log_likelihood", "log_likelihood_null", "llr_p")] == pytest.approx([two[k] for k in ("log_likelihood", "log_likelihood_null", "llr_p")])
+    p = 1 / (1 + np.exp(-(one["coef"]["intercept"] + x @ [one["coef"]["a"], one["coef"]["b"]])))
+    assert np.abs((y - p) @ np.column_stack([np.ones(300), x])).max() < 1e-7
