@@ -29,8 +29,8 @@ def stratified_minima_first(df: DataFrame, patient: str, id_col: str, is_a: Colu
     counts = taken.agg(F.count("*").alias("n"), F.count_if(F.col("r") <= minimum).alias("floor"))
     extra = taken.where(F.col("r") > minimum)
     room = counts.select(F.when(F.col("n") <= total, F.col("n")).when(F.col("floor") > total, F.raise_error(F.lit("the cap cannot honour the minima")).cast("bigint")).otherwise(total - F.col("floor")).alias("room"))
-    # the hashes' bound that leaves as many extra cells as there is room for
-    ordered = extra.withColumn("h2", draw(seed, "surplus", F.col("id"))).withColumn("pos", F.row_number().over(Window.orderBy("h2", "id")))
+    # there is never room for more than total, so that no more are numbered
+    ordered = extra.withColumn("h2", draw(seed, "surplus", F.col("id"))).orderBy("h2", "id").limit(total).withColumn("pos", F.row_number().over(Window.orderBy("h2", "id")))
     kept = ordered.crossJoin(F.broadcast(room)).where("pos <= room")
     return taken.where(F.col("r") <= minimum).select("patient", "id", "arm").unionByName(kept.select("patient", "id", "arm"))
 
@@ -52,7 +52,7 @@ def even_with_top_up(df: DataFrame, patient: str, id_col: str, n: int, seed: int
     share = df.agg(F.floor(F.lit(n) / F.count_distinct(patient)).alias("share"))
     ranked = _ranked(df, [patient], id_col, seed, "even").crossJoin(F.broadcast(share)).drop("h")
     even = ranked.where("r <= share").drop("r", "share")
-    rest = ranked.where("r > share").drop("r", "share").withColumn("h", draw(seed, "top-up", F.col(id_col))).withColumn("pos", F.row_number().over(Window.orderBy("h", id_col)))
+    rest = ranked.where("r > share").drop("r", "share").withColumn("h", draw(seed, "top-up", F.col(id_col))).orderBy("h", id_col).limit(n).withColumn("pos", F.row_number().over(Window.orderBy("h", id_col)))
     missing = even.agg((F.lit(n) - F.count("*")).alias("missing"))
     return even.unionByName(rest.crossJoin(F.broadcast(missing)).where("pos <= missing").drop("h", "pos", "missing"))
 
