@@ -189,3 +189,23 @@ def test_transport_by_tree_and_by_paths():
             supply /= supply.sum()
         flow, _ = curvature.augmented_flow(supply, demand, cost)
         assert curvature.transport_cost(supply, demand, cost) == pytest.approx(float((flow * cost).sum()), abs=1e-9)
+
+
+def test_an_edge_costs_what_is_around_it_not_the_graph():
+    """A grid of 250,000 nodes: nothing as long as its nodes is made for an edge."""
+    import tracemalloc
+
+    side = 500
+    at = np.arange(side * side).reshape(side, side)
+    u, v = (np.concatenate([x.ravel(), y.ravel()]) for x, y in ((at[:, :-1], at[:-1]), (at[:, 1:], at[1:])))
+    whole = curvature.Graph(u, v, np.random.default_rng(3).uniform(0.5, 1.5, len(u)))
+    middle = int(at[250, 250])
+    tracemalloc.start()
+    kappa, d = curvature.ollivier(whole, middle, middle + 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20 and math.isfinite(kappa) and d <= 1.5
+    near = at[244:257, 244:258].ravel()
+    part = np.isin(u, near) & np.isin(v, near)
+    weight = {(a, b): w for a, b, w in zip(*(np.repeat(np.arange(side * side), np.diff(whole.start)), whole.to, whole.weight))}
+    assert curvature.ollivier(curvature.Graph(u[part], v[part], np.array([weight[e] for e in zip(u[part], v[part])])), middle, middle + 1) == pytest.approx((kappa, d), abs=1e-12)
