@@ -99,6 +99,32 @@ def test_blocked_neighbours_are_the_same(spark, monkeypatch):
     assert sorted((r.i, r.j, r.r) for r in graph.neighbours(points, "id", "x", 3).collect()) == small
 
 
+def test_blocked_neighbours_move_a_table_a_group_not_a_block(spark, monkeypatch):
+    """64 blocks of which every two meet: the vectors are written some times, not 64 times."""
+    import random
+
+    rng = random.Random(4)
+    points = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(2048)], "id long, x array<double>")
+    small = sorted((r.i, r.j, r.r) for r in graph.neighbours(points, "id", "x", 3).collect())
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph, "BLOCK", 32)
+    context = spark.sparkContext._jsc.sc()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as larger tables are joined
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        executors = context.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    try:
+        assert sorted((r.i, r.j, r.r) for r in graph.neighbours(points, "id", "x", 3).collect()) == small
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert written() - before < 20 * 2048 * 16 * 8
+
+
 def test_an_edge_measured_twice_is_an_error(spark):
     nodes, edges = spark.createDataFrame([(0,), (1,)], "id long"), spark.createDataFrame([(0, 1, 1.0)], "u long, v long, weight double")
     twice = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5)], "u long, v long, kappa double")
