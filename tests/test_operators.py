@@ -125,6 +125,17 @@ def test_blocked_neighbours_move_a_table_a_group_not_a_block(spark, monkeypatch)
     assert written() - before < 20 * 2048 * 16 * 8
 
 
+def test_ties_of_millions_of_rows(spark):
+    """t^3 - t is beyond 64 bits."""
+    from orrery.operators import effects
+
+    n = 3_000_000
+    rows = spark.range(n).select(F.lit("k").alias("k"), F.lit(2.0).alias("x"), F.lit(1.0).alias("y"), (F.col("id") % 2 == 0).alias("a"))
+    assert effects.wilcoxon(rows, ["k"], "x", "y").first().ties == float(n**3 - n)
+    assert effects.mann_whitney(rows, [], "x", F.col("a")).first().ties == float(n**3 - n)
+    assert effects.kruskal(rows, "a", "x").first().n == n
+
+
 def test_an_edge_measured_twice_is_an_error(spark):
     nodes, edges = spark.createDataFrame([(0,), (1,)], "id long"), spark.createDataFrame([(0, 1, 1.0)], "u long, v long, weight double")
     twice = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5)], "u long, v long, kappa double")
