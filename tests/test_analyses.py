@@ -88,6 +88,23 @@ def test_grid_and_panels(spark):
     assert composites.curvature_of_panels(table, arms, 20, 3, 3, 4, 100).first().mean is not None
 
 
+def test_coincident_cells_are_reported_as_not_estimable(spark):
+    """Two cells of one profile: no delta, their number, and no error; the other analyses of a table go on."""
+    rng = np.random.default_rng(5)
+    rows = [(c, g, float(rng.poisson(3 + 5 * (g < 10 and c % 2)))) for c in range(40) for g in range(60)]
+    table = spark.createDataFrame(rows + [(40, g, x) for c, g, x in rows if c == 7], "cell long, gene long, value double").where("value > 0").persist()
+    arms = spark.range(41).select(F.col("id").alias("cell"), (F.col("id") % 2 == 1).alias("is_a"))
+    grid, verdict, _ = composites.parameter_grid(table, arms, [20, 40], [3], [4], [0.0, 0.5], 100)
+    assert [(r.delta, r.n_coincident) for r in grid.collect()] == [(None, 2)] * 4 and verdict.first().n == 0
+    got = composites.curvature_of_panels(table, arms, 20, 3, 3, 4, 100).first()
+    assert (got.value, got.mean, got.n_coincident, got.n_panels, got.n_estimable) == (None, None, 2, 3, 0)
+    one = table.where("cell < 40")
+    got = composites.curvature_of_panels(one, arms, 20, 3, 3, 4, 100).first()
+    assert got.value is not None and (got.n_coincident, got.n_panels, got.n_estimable) == (0, 3, 3)
+    nodes, bad = composites.node_curvature_or_none(spark.createDataFrame([(0, [1.0]), (1, [1.0]), (2, [2.0])], "id long, x array<double>"), "id", "x", 1)
+    assert bad == 2 and {(r.status, r.kappa) for r in nodes.collect()} == {("non_estimable_coincident", None)}
+
+
 def test_contacts_of_all_chromosomes_are_one_graph(spark):
     rng = np.random.default_rng(1)
     rows = [(f"chr{c}", i, j, float(rng.poisson(400 / (j - i + 1)) + 1)) for c in range(2) for i in range(25) for j in range(i, 25)]
