@@ -35,6 +35,13 @@ def test_query_against_sql(spark, tables, name):
     assert shown(ours) == shown(theirs)
 
 
+@pytest.mark.parametrize("name", ["dispersion_seurat", "dispersion_cell_ranger"])
+def test_dispersions_are_given_for_any_number_of_genes(spark, tables, name):
+    df = entry.queries()[name](spark, DATA)
+    assert "Limit" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() == tables.execute(f"select count(*) from ({entry.oracle_sql()[name]})").fetchone()[0]
+
+
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
