@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -144,3 +145,14 @@ def test_many_rows_cost_no_row_each(spark):
 
 def test_without_a_group(spark):
     assert meta.bootstrap_cliff_counts(spark.createDataFrame([(1.0, True)], "v double, a boolean"), "v", F.col("a")).collect() == []
+
+
+def test_hashed_replicates_make_no_row_for_a_draw(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 50 == 1 else math.nan if i % 40 == 2 else float(rng.integers(0, 60)), None if i % 70 == 3 else bool(i % 3 == 0)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, v double, a boolean").repartition(3)
+    counted, joined = (meta.bootstrap_cliff(df, "id", "v", F.col("a"), 20, 3, most) for most in (meta.PACKED, 0))
+    assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    one, two = ({r.replicate: r.delta for r in x.collect()} for x in (counted, joined))
+    assert one == pytest.approx(two, abs=1e-12) and len(one) == 20 and len(set(one.values())) > 1
+    assert meta.bootstrap_cliff(df.where("a"), "id", "v", F.col("a"), 5).count() == 0
