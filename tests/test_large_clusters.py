@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import batches, cluster, communities, diffusion, eigen, models, normalize, ward
+from orrery.operators import batches, cluster, communities, delaunay, diffusion, eigen, models, normalize, ward
 
 
 def quality(edges, home):
@@ -205,3 +205,24 @@ def test_logit_by_passes_is_the_driver_s(spark):
     assert [one[k] for k in ("log_likelihood", "log_likelihood_null", "llr_p")] == pytest.approx([two[k] for k in ("log_likelihood", "log_likelihood_null", "llr_p")])
     p = 1 / (1 + np.exp(-(one["coef"]["intercept"] + x @ [one["coef"]["a"], one["coef"]["b"]])))
     assert np.abs((y - p) @ np.column_stack([np.ones(300), x])).max() < 1e-7
+
+
+def test_delaunay_by_tiles_is_that_of_the_whole_table(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.random((150, 2)), np.array([(x / 8, y / 8) for x in range(9) for y in range(9)]), 20 + rng.random((40, 2)) * [30, 0.01]])  # scattered, on lines and circles, far away
+    rows = [(7 * i + 3, *map(float, v)) for i, v in enumerate(p)]
+    df = spark.createDataFrame([*rows, (10_000, *rows[0][1:]), (10_001, None, 1.0)], "id long, x double, y double").repartition(3)
+    t = delaunay.triangles(p, np.array([r[0] for r in rows]))
+    want = {tuple(sorted((rows[a][0], rows[b][0]))) for r in t.tolist() for a, b in ((r[0], r[1]), (r[1], r[2]), (r[2], r[0])) if min(a, b) >= 0}
+    for size in (12, 1000):
+        got = delaunay.edges(df.where("id < 10000"), size).collect()
+        assert {(r.u, r.v) for r in got} == want and len(got) == len(want)
+    far = delaunay.delaunay_graph(df, "id", "x", "y", size=40).collect()
+    lengths = {(r.u, r.v): r.weight for r in got}
+    assert {(r.u, r.v) for r in far} == {e for e, w in lengths.items() if w <= 1.5 * np.median(list(lengths.values()))}
+
+
+def test_delaunay_on_a_line(spark):
+    df = spark.createDataFrame([(i, float((i * 7) % 11), 2.0 * ((i * 7) % 11)) for i in range(11)], "id long, x double, y double")
+    place = {i: (i * 7) % 11 for i in range(11)}
+    assert sorted(abs(place[r.u] - place[r.v]) for r in delaunay.edges(df).collect()) == [1] * 10

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from orrery.functions import tails
-from orrery.operators import cluster, curvature, ward
+from orrery.operators import cluster, curvature, delaunay, ward
 
 
 def graph(edges):
@@ -209,3 +209,15 @@ def test_an_edge_costs_what_is_around_it_not_the_graph():
     part = np.isin(u, near) & np.isin(v, near)
     weight = {(a, b): w for a, b, w in zip(*(np.repeat(np.arange(side * side), np.diff(whole.start)), whole.to, whole.weight))}
     assert curvature.ollivier(curvature.Graph(u[part], v[part], np.array([weight[e] for e in zip(u[part], v[part])])), middle, middle + 1) == pytest.approx((kappa, d), abs=1e-12)
+
+
+def test_triangles_are_exact_where_points_lie_on_lines_and_circles():
+    """A grid: all edges of its squares and one diagonal of each, the same whatever other points are there."""
+    p = np.array([(x, y) for x in range(6) for y in range(6)], float)
+    ids = np.random.default_rng(1).permutation(36)
+    t = delaunay.triangles(p, ids)
+    real = t[t[:, 2] >= 0]
+    assert len(real) == 50 and len(t) == 70 and (delaunay.orientation(p[real[:, 0]], p[real[:, 1]], p[real[:, 2]]) == 1).all()
+    some = np.flatnonzero((p < 4).all(axis=1))
+    part = {frozenset(ids[some][list(r)].tolist()) for r in delaunay.triangles(p[some], ids[some]).tolist() if min(r) >= 0}
+    assert part <= {frozenset(ids[list(r)].tolist()) for r in real.tolist()}
