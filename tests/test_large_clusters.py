@@ -226,3 +226,15 @@ def test_delaunay_on_a_line(spark):
     df = spark.createDataFrame([(i, float((i * 7) % 11), 2.0 * ((i * 7) % 11)) for i in range(11)], "id long, x double, y double")
     place = {i: (i * 7) % 11 for i in range(11)}
     assert sorted(abs(place[r.u] - place[r.v]) for r in delaunay.edges(df).collect()) == [1] * 10
+
+
+def test_a_basis_is_given_back_when_the_next_is_written(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    there = lambda: {f for f in os.listdir(folder) if f.startswith(("basis-", "block-"))}
+    before = there() if os.path.isdir(folder) else set()
+    edges = spark.range(30).selectExpr("id as u", "id as v", "cast(30 - id as double) as t")
+    root = spark.range(30).selectExpr("id", "if(id = 0, 1.0D, 0.0D) as root")
+    values, axes = eigen.leading(lambda x, width: diffusion.times(edges, x, width), root, 30.0, 2, 3)
+    assert values == pytest.approx([29, 28]) and axes.count() == 30 and len(there() - before) <= 2
