@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.functions import tails
 from orrery.operators import cluster, curvature, delaunay, ward
@@ -221,3 +222,20 @@ def test_triangles_are_exact_where_points_lie_on_lines_and_circles():
     some = np.flatnonzero((p < 4).all(axis=1))
     part = {frozenset(ids[some][list(r)].tolist()) for r in delaunay.triangles(p[some], ids[some]).tolist() if min(r) >= 0}
     assert part <= {frozenset(ids[list(r)].tolist()) for r in real.tolist()}
+
+
+def test_a_hubs_edges_are_dealt_over_tasks_and_wide_transports_agree(spark):
+    """All edges of one hub lay in one task when they were dealt by ranges of an end."""
+    star = [(0, i, 1.0 + i / 1000) for i in range(1, 201)] + [(i, i + 1, 1.0) for i in range(1, 200)]
+    edges = spark.createDataFrame(star, "u long, v long, weight double")
+    hub = edges.where("u = 0").select("u", "v")
+    parts = [r["count"] for r in curvature.ollivier_edges(edges, hub).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 200 and max(parts) <= 60
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 120), (90, 4), (40, 40), (1, 30)):
+        supply, demand, cost = rng.random(n), rng.random(m), np.round(rng.random((n, m)) * 3, 1)
+        demand *= supply.sum() / demand.sum()
+        flow, reduced = curvature.tree_flow(supply.tolist(), demand.tolist(), cost, 20 * (n + m))
+        other, _ = curvature.augmented_flow(supply, demand, cost)
+        assert abs((flow * cost).sum() - (other * cost).sum()) < 1e-9 and reduced.min() > -1e-9
+        assert np.allclose(flow.sum(1), supply) and np.allclose(flow.sum(0), demand)
