@@ -238,3 +238,28 @@ def test_a_basis_is_given_back_when_the_next_is_written(spark):
     root = spark.range(30).selectExpr("id", "if(id = 0, 1.0D, 0.0D) as root")
     values, axes = eigen.leading(lambda x, width: diffusion.times(edges, x, width), root, 30.0, 2, 3)
     assert values == pytest.approx([29, 28]) and axes.count() == 30 and len(there() - before) <= 2
+
+
+def test_near_eigenvalues_take_few_products(spark, monkeypatch):
+    """Blocks of seven columns make a basis of 84 in so many products; wide ones fill the space."""
+    monkeypatch.setattr(eigen, "STEPS", 12)
+    n = 300
+    edges = spark.range(1, n).selectExpr("id as u", "id as v", f"1 - 0.6D * id / {n} as t")
+    both = edges.unionByName(spark.createDataFrame([(0, 0, 1.5)], edges.schema))
+    root = spark.range(n).selectExpr("id", "if(id = 0, 1.0D, 0.0D) as root")
+    values, axes = eigen.leading(lambda x, width: diffusion.times(both, x, width), root, 1.5, 5)
+    assert values == pytest.approx([1 - 0.6 * i / n for i in range(1, 6)], abs=1e-9) and axes.count() == n
+
+
+def test_products_of_blocks_are_those_of_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(eigen, "ROWS", 16)
+    monkeypatch.setattr(eigen, "ONCE", 20)
+    rng = np.random.default_rng(8)
+    whole = np.where(rng.random((50, 70)) < 0.2, rng.normal(size=(50, 70)), 0.0)
+    whole[:, 0] = 1.0
+    entries = spark.createDataFrame([(i, j, float(whole[i, j])) for i in range(50) for j in range(70) if whole[i, j]], "i long, j long, value double")
+    columns = eigen.Numbered(spark.range(70))
+    x = rng.normal(size=(70, 3))
+    packed = columns.packed(spark.createDataFrame([(j, x[j].tolist()) for j in range(70)], "id long, x array<double>"), 3, "x")
+    got = {r.id: r.y for r in eigen.Numbered(spark.range(50)).rows(eigen.Sparse(entries, 50, 70).times(packed, 3), 3, "y").collect()}
+    assert np.allclose([got[i] for i in range(50)], whole @ x)
