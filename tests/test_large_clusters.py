@@ -147,6 +147,20 @@ def test_rows_that_are_alike_merge_too(spark):
     assert sorted((r.id, r.subclone) for r in got) == [(i, i // 60) for i in range(180)]
 
 
+def test_nearest_clusters_are_found_in_passing(spark):
+    """Those that ask lie in several tasks, which see all others in many small parts and hold none of these."""
+    rng = np.random.default_rng(12)
+    x, size = rng.integers(0, 4, size=(300, 3)).astype(float), rng.integers(1, 4, size=300).astype(float)  # with many equal heights
+    df = spark.createDataFrame([("a" if i < 290 else None, i, float(size[i]), x[i].tolist()) for i in range(300)], "g string, at long, size double, mean array<double>").repartition(3)
+    got = {r.at: (r.g, r.to, r.h) for r in ward._nearest(df.where("at % 3 > 0"), df, 16).collect()}
+    assert got.keys() == {i for i in range(300) if i % 3}
+    for i, (g, to, h) in got.items():
+        among = range(290) if i < 290 else range(290, 300)
+        assert (h, to) == min((2 * size[i] * size[j] / (size[i] + size[j]) * ((x[i] - x[j]) ** 2).sum(), j) for j in among if j != i) and g == ("a" if i < 290 else None)
+    plan = ward._nearest(df, df, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
 def test_leading_eigenvectors_against_the_whole_matrix(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(120, 3))
