@@ -70,6 +70,33 @@ def test_a_grid_without_communities_comes_close(spark):
     assert quality(GRID, home) >= quality(GRID, cluster.louvain(GRID)) - 0.02
 
 
+def test_rounds_over_blocks_are_those_of_joins(spark, monkeypatch):
+    """The same moves, modularity and merged graph, with hubs, loops and several blocks, in one job of packed blocks a round."""
+    monkeypatch.setattr("orrery.operators.eigen.ROWS", 16)
+    edges = [(7 * u - 30, 7 * v - 30, w) for u, v, w in [*GRAPHS["grown"], (5, 5, 2.0), (90, 90, 1.0)]]
+    both = communities._both_ways(spark.createDataFrame(edges, "u long, v long, w double")).persist()
+    total = both.agg(F.sum("w")).first()[0]
+    graph = communities._packed(both, total)
+    assert graph.table.count() > 8
+    state, nodes = graph.alone(), communities._alone(both)
+    for turn in range(2):
+        one, two = graph.moved(state, turn).persist(), communities._round(both, nodes, total, turn).persist()
+        state, nodes = one.select("blk", "ids", F.col("to").alias("com"), "k"), two.select("id", F.col("to").alias("com"), "k", "loop")
+        assert {tuple(r) for r in graph.homes(state).collect()} == {(r.id, r.com) for r in nodes.collect()}
+        sums = one.agg(F.sum("inside"), F.sum("loops"), F.sum("wants"), F.max("squares")).first()
+        masses = two.groupBy("com").agg(F.sum("k").alias("m")).agg(F.sum(F.col("m") * F.col("m"))).first()
+        assert tuple(sums) == pytest.approx((*two.agg(F.sum("inside"), F.sum("loop"), F.count_if("wants")).first(), masses[0]))
+    assert {tuple(r) for r in graph.merged(state).collect()} == {tuple(r) for r in communities._merged(both, nodes).collect()}
+    again = graph.at(graph.homes(state))
+    assert {tuple(r) for r in graph.homes(again).collect()} == {(r.id, r.com) for r in nodes.collect()}
+
+
+def test_nodes_with_too_many_edges_for_a_block_are_left_to_joins(spark, monkeypatch):
+    monkeypatch.setattr(communities, "ENDS", 0)
+    df = spark.createDataFrame([(1, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 1.0), (4, 5, 1.0), (4, 6, 1.0), (5, 6, 1.0)], "u long, v long, weight double")
+    assert {r.id: r.community for r in communities.communities(df, small=0).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1, 6: 1}
+
+
 def test_a_merged_graph_is_finished_on_the_driver(spark):
     edges = GRAPHS["planted"]
     found = communities.communities(spark.createDataFrame(edges, "u long, v long, weight double"), small=60)
