@@ -351,3 +351,29 @@ def test_both_fits_give_the_same_model(spark, monkeypatch):
     beta = ml.logistic_weights(table, 1.0, 5)
     p = 1 / (1 + np.exp(-(z @ beta[:-1] + beta[-1])))
     assert np.abs(z.T @ (w * (p - y[:200])) + beta[:-1]).max() < 1e-6 and abs((w * (p - y[:200])).sum()) < 1e-6
+
+
+def test_runs_made_together_are_those_made_alone(spark, monkeypatch):
+    """Every seed's scores, on the driver and by passes; and the jobs do not grow with the seeds."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    y = x[:, 0] + rng.normal(size=90) > 0.4
+    df = spark.createDataFrame([(i, bool(y[i]), x[i].tolist()) for i in range(90)] + [(90, None, [0.0, 0.0, 0.0])], "id long, y boolean, x array<double>").repartition(3)
+    alone = {}
+    for seed in (1, 2):
+        split = ml.stratified_split(df, "y", "id", 0.2, seed)
+        alone |= {(seed, i): r.score for i, r in enumerate(ml.logistic_scores(split.where("not test"), split.where("test"), "y", "x").orderBy("score").collect())}
+    for local in (ml.LOCAL, 0):
+        monkeypatch.setattr(ml, "LOCAL", local)
+        scored = ml._runs_scored(df, "y", "id", "x", 2, 0.2, 3)
+        got = {(seed, i): r.score for seed in (1, 2) for i, r in enumerate(scored.where(f"run = {seed}").orderBy("score").collect())}
+        assert got.keys() == alone.keys() and all(abs(got[k] - alone[k]) < 1e-9 for k in got)
+    monkeypatch.undo()
+    jobs = []
+    for seeds in (1, 4):
+        spark.sparkContext.setJobGroup(f"seeds-{seeds}", "")
+        assert ml.repeated_auc(df, "y", "id", "x", seeds).first().n == seeds
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"seeds-{seeds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 3
+    assert ml.repeated_auc(df.limit(0), "y", "id", "x", 3).first().n == 0
