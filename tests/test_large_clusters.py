@@ -304,3 +304,23 @@ def test_products_of_blocks_are_those_of_the_whole(spark, monkeypatch):
     packed = columns.packed(spark.createDataFrame([(j, x[j].tolist()) for j in range(70)], "id long, x array<double>"), 3, "x")
     got = {r.id: r.y for r in eigen.Numbered(spark.range(50)).rows(eigen.Sparse(entries, 50, 70).times(packed, 3), 3, "y").collect()}
     assert np.allclose([got[i] for i in range(50)], whole @ x)
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_scaled_rows_of_what_is_absent_are_made_from_gaps(spark, monkeypatch, most):
+    """A gene's other rows are made from the gaps between its cells, long gaps in pieces, and not joined with what is present."""
+    monkeypatch.setattr(normalize, "GAP", 7)
+    monkeypatch.setattr(normalize, "MAX_CELLS", most)
+    rng = np.random.default_rng(6)
+    whole = np.where(rng.random((50, 20)) < 0.1, rng.gamma(2.0, 1.0, (50, 20)), 0.0)
+    whole[[0, 49], 0], whole[:, 1], whole[:, 2] = 1.0, 2.0, 0.0
+    whole[20, 2] = 3.0
+    rows = [(f"c{i:02}", j, float(whole[i, j])) for i in range(50) for j in range(20) if whole[i, j]]
+    cells = spark.createDataFrame([(f"c{i:02}",) for i in range(50)], "cell string")
+    out = normalize.scaled(spark.createDataFrame(rows, "cell string, gene int, value double"), 2.0, 0, cells, 6)
+    sd = whole.std(axis=0)
+    wanted = np.clip(np.divide(whole - whole.mean(axis=0), sd, out=np.zeros_like(whole), where=sd > 1e-9), -2, 2)
+    got = {(r.cell, r.gene): r.value for r in out.collect()}
+    assert len(got) == out.count() == 1000
+    assert all(abs(got[f"c{i:02}", j] - wanted[i, j]) < 1e-6 for i in range(50) for j in range(20))
+    assert "Join Cross" not in out._jdf.queryExecution().optimizedPlan().toString()
