@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import batches, cluster, communities, delaunay, diffusion, eigen, models, normalize, ward
+from orrery.plans import composites
 
 
 def quality(edges, home):
@@ -324,3 +325,12 @@ def test_scaled_rows_of_what_is_absent_are_made_from_gaps(spark, monkeypatch, mo
     assert len(got) == out.count() == 1000
     assert all(abs(got[f"c{i:02}", j] - wanted[i, j]) < 1e-6 for i in range(50) for j in range(20))
     assert "Join Cross" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_curvatures_are_compared_over_all_edges(spark):
+    """A ring whose nodes reach two on: 4,200 edges."""
+    rng = np.random.default_rng(7)
+    pairs = [sorted((i, (i + step) % 2100)) for i in range(2100) for step in (1, 2)]
+    edges = spark.createDataFrame([(u, v, float(w)) for (u, v), w in zip(pairs, rng.uniform(0.5, 1.5, len(pairs)))], "u long, v long, weight double")
+    got = composites.forman_against_ollivier(edges).first()
+    assert got.n == 4200 and -1 <= got.rho <= 1
