@@ -334,3 +334,29 @@ def test_curvatures_are_compared_over_all_edges(spark):
     edges = spark.createDataFrame([(u, v, float(w)) for (u, v), w in zip(pairs, rng.uniform(0.5, 1.5, len(pairs)))], "u long, v long, weight double")
     got = composites.forman_against_ollivier(edges).first()
     assert got.n == 4200 and -1 <= got.rho <= 1
+
+
+@pytest.mark.parametrize("shared", [eigen.SHARED, 0])
+def test_components_by_blocks_of_genes_are_those_by_joins(spark, monkeypatch, shared):
+    """Repeated pairs are added up either way; the matrix is met where it lies, in several blocks, or joined with the columns."""
+    monkeypatch.setattr(eigen, "SHARED", shared)
+    monkeypatch.setattr(eigen, "ENTRIES", 50)
+    joined, times = [], eigen.Gram.times
+
+    def watched(gram, *args):
+        out = times(gram, *args)
+        joined.append("Join" in out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(eigen.Gram, "times", watched)
+    rng = np.random.default_rng(8)
+    whole, rows = np.zeros((60, 30)), []
+    for i, j, x in zip(rng.integers(0, 60, 700), rng.integers(0, 30, 700), rng.gamma(2.0, 1.0, 700)):
+        whole[i, j] += x
+        rows.append((int(i), int(j), float(x)))
+    got = {r.cell: r.pcs for r in normalize.sparse_components(spark.createDataFrame(rows, "cell int, gene int, value double"), 3).collect()}
+    centred = whole - whole.mean(axis=0)
+    axes = np.linalg.svd(centred)[2][:3].T
+    axes *= np.sign(axes[np.abs(axes).argmax(axis=0), range(3)])
+    assert len(got) == 60 and np.array([got[i] for i in range(60)]) == pytest.approx(centred @ axes, abs=1e-6)
+    assert bool(joined) == bool(shared) and not any(joined)
